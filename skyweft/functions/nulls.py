@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
-def nan_to_null(df: DataFrame) -> DataFrame:
-    """Replace NaN with NULL in every floating-point column."""
+def nan_to_null(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Replace NaN with NULL in the given or else in every floating-point column."""
     floating = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+    if columns is not None:
+        floating &= set(columns)
     return df.select(
         *[
             F.when(~F.isnan(F.col(f"`{c}`")), F.col(f"`{c}`")).alias(c) if c in floating else F.col(f"`{c}`")

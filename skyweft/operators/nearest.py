@@ -55,13 +55,20 @@ class _Profile:
     idle_right_share: float  # right rows in cells without left rows
 
 
-def _with_geometry(df: DataFrame, ra: str, dec: str) -> DataFrame:
-    """Add clean coordinates, the sine and cosine of declination and the unit vector."""
-    clean = {}
-    for name, source in (("_ra", ra), ("_dec", dec)):
-        value = F.col(f"`{source}`").cast("double")
-        clean[name] = F.when(~F.isnan(value), value)
-    df = df.withColumns(clean)
+def _has_place(ra: str, dec: str) -> Column:
+    places = [F.col(f"`{c}`") for c in (ra, dec)]
+    return places[0].isNotNull() & places[1].isNotNull() & ~F.isnan(places[0]) & ~F.isnan(places[1])
+
+
+def _with_geometry(df: DataFrame, ra: str, dec: str, complete: bool) -> DataFrame:
+    """Add coordinates, the sine and cosine of declination and the unit vector.
+
+    ``complete`` says that rows without coordinates are gone; otherwise theirs are NULL.
+    """
+    places = {"_ra": F.col(f"`{ra}`").cast("double"), "_dec": F.col(f"`{dec}`").cast("double")}
+    if not complete:
+        places = {name: F.when(_has_place(ra, dec), value) for name, value in places.items()}
+    df = df.withColumns(places)
     x, y, z = unit_vector(F.col("_ra"), F.col("_dec"))
     return df.withColumns(
         {"_sin": F.sin(F.radians("_dec")), "_cos": F.cos(F.radians("_dec")), "_x": x, "_y": y, "_z": z}
@@ -118,14 +125,18 @@ def _profile(tally: DataFrame) -> _Profile:
     return _Profile(cells, left or 0, right or 0, 1.0 - (used or 0) / total if total else 0.0)
 
 
-def _closest(candidates: Column, threshold: float) -> Column:
-    """Smallest (separation, key, columns) below the threshold among an array of right rows."""
+def _closest(candidates: str, threshold: float) -> Column:
+    """Array with the smallest (separation, key, columns) below the threshold, or without any.
+
+    Exploding it drops rows without a match and computes separations only once.
+    """
 
     def measure(r: Column) -> Column:
         distance = _separation(F.col("_ra"), F.col("_sin"), F.col("_cos"), r["ra"], r["sin"], r["cos"])
         return F.struct(distance.alias("separation"), r["key"].alias("key"), r["row"].alias("row"))
 
-    return F.array_min(F.filter(F.transform(candidates, measure), lambda m: m["separation"] < F.lit(threshold)))
+    near = F.filter(F.transform(candidates, measure), lambda m: m["separation"] < F.lit(threshold))
+    return F.slice(F.array_sort(near), 1, 1)
 
 
 def _right_body(key: str, columns: list[str]) -> Column:
@@ -169,10 +180,10 @@ def crossmatch_nearest(
     edge = max(reach * options.cell_factor, 1e-9)
     left_columns, right_columns = left.columns, right.columns
 
-    lefts = _own_cell(_with_geometry(left, left_ra, left_dec), edge, left_key)
-    if how == "inner":
-        lefts = lefts.filter(F.col("_x").isNotNull())
-    placed = _with_geometry(right, right_ra, right_dec).filter(F.col("_x").isNotNull())
+    inner = how == "inner"
+    lefts = left.filter(_has_place(left_ra, left_dec)) if inner else left
+    lefts = _own_cell(_with_geometry(lefts, left_ra, left_dec, inner), edge, left_key)
+    placed = _with_geometry(right.filter(_has_place(right_ra, right_dec)), right_ra, right_dec, True)
     rights = _touched_cells(placed, edge, reach)
 
     tally = _tally(lefts, rights)
@@ -190,7 +201,8 @@ def crossmatch_nearest(
         joined = salted_join(lefts, arrays, CELL, left_key, how, options.max_left_rows)
     else:
         joined = lefts.join(arrays, list(CELL), how)
-    matched = joined.withColumn("_best", _closest(F.col("_near"), threshold))
+    explode = F.explode if inner else F.explode_outer
+    matched = joined.withColumn("_best", explode(_closest("_near", threshold)))
 
     if crowded is not None:
         found = _descend(crowded_left, crowded_right, left_key, right_key, right_columns, threshold, reach, options)
@@ -198,8 +210,6 @@ def crossmatch_nearest(
         kept = [F.col(f"`{c}`") for c in left_columns] + [F.col("_best")]
         matched = matched.select(*kept).unionByName(descended.select(*kept))
 
-    if how == "inner":
-        matched = matched.filter(F.col("_best").isNotNull())
     return matched.select(
         *[F.col(f"`{c}`").alias(left_prefix + c) for c in left_columns],
         *[F.col("_best.row").getField(c).alias(right_prefix + c) for c in right_columns],
@@ -273,7 +283,7 @@ def _descend(
 
     leaves = points.groupBy("_node").agg(F.collect_list("_body").alias("_near"))
     reached = salted_join(frontier, leaves, ["_node"], "_left", "inner", options.max_left_rows)
-    best = reached.withColumn("_best", _closest(F.col("_near"), threshold)).filter(F.col("_best").isNotNull())
+    best = reached.withColumn("_best", F.explode(_closest("_near", threshold)))
     return best.groupBy(F.col("_left").alias(left_key)).agg(F.min("_best").alias("_best"))
 
 

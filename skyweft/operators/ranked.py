@@ -24,7 +24,8 @@ def _bucketed(df: DataFrame, value: str, sums: Mapping[str, Column], by: Sequenc
     )
     cuts = [i / buckets for i in range(1, buckets)]
     splits = merged.agg(F.percentile_approx(value, F.array(*[F.lit(c) for c in cuts]), F.lit(buckets * 10))).scalar()
-    return merged.withColumn("_bucket", F.size(F.filter(splits, lambda s: s <= F.col(value))))
+    placed = merged.withColumn("_splits", splits)
+    return placed.withColumn("_bucket", F.size(F.filter("_splits", lambda s: s <= F.col(value)))).drop("_splits")
 
 
 def _offsets(bucketed: DataFrame, sums: Sequence[str], value: str, by: Sequence[str], descending: bool) -> DataFrame:

@@ -20,11 +20,14 @@ from __future__ import annotations
 
 from string import Formatter
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from skyweft.functions.nulls import nan_to_null
+from skyweft.functions.sphere import cone_solid_angle
 
 FIELD_RADIUS_DEG = 0.3
+FIELD_CONE = (119.5, -60.83, FIELD_RADIUS_DEG)
+CLUSTER_NAMES = ("NGC_2516", "NGC2516")
 
 _FIELD = "CAST(floor(k / 15000e0) AS BIGINT)"
 _RA = f"(119.2e0 + ({_FIELD} % 340) * 0.7e0 + ((k * 7919) % 20011) / 20011e0 * 0.6e0)"
@@ -187,16 +190,27 @@ class Survey:
     def __init__(self, spark: SparkSession, table_dir: str):
         self._spark = spark
         self._dir = table_dir.rstrip("/")
+        self._plans: dict[str, DataFrame] = {}
 
     def relation(self, name: str) -> DataFrame:
-        """A derived catalog by name, or else one of the given tables."""
+        """A derived catalog by name, or else one of the given tables (the plan, not the rows)."""
+        if name not in self._plans:
+            self._plans[name] = self._plan(name)
+        return self._plans[name]
+
+    def _plan(self, name: str) -> DataFrame:
         if name not in _TEMPLATES:
             return self._spark.read.parquet(f"{self._dir}/{name}.parquet")
         template = _TEMPLATES[name].replace('"', "`")
         return self._spark.sql(template, **{i: self.relation(i) for i in _inputs(template)})
 
-    gaia = property(lambda self: nan_to_null(self.relation("gaia")), doc="Optical sources, epoch 2016.0.")
-    wise = property(lambda self: nan_to_null(self.relation("wise")), doc="Infrared sources, epoch 2010.5.")
+    def area_sr(self) -> Column:
+        """Solid angle of all fields: one cone each, as a single value of its own small plan."""
+        last = self.relation("orders").agg(F.max(F.floor(F.col("o_orderkey") / F.lit(15000.0)))).scalar()
+        return (last + F.lit(1)).cast("double") * F.lit(cone_solid_angle(FIELD_RADIUS_DEG))
+
+    gaia = property(lambda self: nan_to_null(self.relation("gaia"), ["bp_rp"]), doc="Optical sources, epoch 2016.0.")
+    wise = property(lambda self: nan_to_null(self.relation("wise"), ["w2sigmpro"]), doc="Infrared sources, epoch 2010.5.")
     tic = property(lambda self: self.relation("tic"), doc="Input catalog with optical identifiers.")
     simbad = property(lambda self: self.relation("simbad"), doc="Known objects.")
     members = property(lambda self: self.relation("members"), doc="Published member list, epoch 2015.5.")

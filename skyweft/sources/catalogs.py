@@ -23,16 +23,20 @@ def in_cone(df: DataFrame, cone: Cone | None) -> DataFrame:
     return df if cone is None else df.filter(within_cone(F.col("ra"), F.col("dec"), *cone))
 
 
-def scan_gaia_quick(df: DataFrame, cone: Cone | None = None, limit: int | None = 20000) -> DataFrame:
+def scan_gaia_quick(
+    df: DataFrame, cone: Cone | None = None, limit: int | None = 20000, clean: bool = True
+) -> DataFrame:
     """The 14-column optical scan; ``limit`` keeps the smallest identifiers."""
-    rows = conform(in_cone(df, cone), schemas.GAIA_QUICK)
+    rows = conform(in_cone(df, cone), schemas.GAIA_QUICK, clean)
     return rows if limit is None else rows.orderBy("source_id").limit(limit)
 
 
-def scan_gaia(df: DataFrame, cone: Cone | None = None, max_g_mag: float = 19.0) -> DataFrame:
+def scan_gaia(
+    df: DataFrame, cone: Cone | None = None, max_g_mag: float = 19.0, clean: bool = True
+) -> DataFrame:
     """The 17-column optical scan: brighter than ``max_g_mag``, with a parallax."""
     rows = in_cone(df, cone).filter(F.col("phot_g_mean_mag") < F.lit(max_g_mag)).filter(F.col("parallax").isNotNull())
-    return conform(rows, schemas.GAIA)
+    return conform(rows, schemas.GAIA, clean)
 
 
 def scan_allwise(df: DataFrame, cone: Cone | None = None, keep_all: bool = False) -> DataFrame:
@@ -41,12 +45,12 @@ def scan_allwise(df: DataFrame, cone: Cone | None = None, keep_all: bool = False
     return rows if keep_all else select_present(rows, schemas.ALLWISE.fieldNames())
 
 
-def scan_tic(df: DataFrame, cone: Cone | None = None) -> DataFrame:
-    return conform(in_cone(df, cone), schemas.TIC)
+def scan_tic(df: DataFrame, cone: Cone | None = None, clean: bool = True) -> DataFrame:
+    return conform(in_cone(df, cone), schemas.TIC, clean)
 
 
-def scan_simbad(df: DataFrame, cone: Cone | None = None) -> DataFrame:
-    return conform(in_cone(df, cone), schemas.SIMBAD)
+def scan_simbad(df: DataFrame, cone: Cone | None = None, clean: bool = True) -> DataFrame:
+    return conform(in_cone(df, cone), schemas.SIMBAD, clean)
 
 
 def scan_lightcurve(df: DataFrame, target_id: str | None = None) -> DataFrame:

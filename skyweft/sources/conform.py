@@ -33,6 +33,10 @@ def _cast(df: DataFrame, field: T.StructField) -> Column:
     return F.col(f"`{field.name}`").cast(field.dataType).alias(field.name)
 
 
-def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Exactly the columns of ``schema``: cast, absent ones NULL, NaN made NULL."""
-    return nan_to_null(df.select(*[_cast(df, f) for f in schema.fields]))
+def conform(df: DataFrame, schema: T.StructType, clean: bool = True) -> DataFrame:
+    """Exactly the columns of ``schema``: cast, absent ones NULL, NaN made NULL.
+
+    ``clean=False`` leaves values alone, for a table whose NaNs are NULL already.
+    """
+    shaped = df.select(*[_cast(df, f) for f in schema.fields])
+    return nan_to_null(shaped) if clean else shaped
