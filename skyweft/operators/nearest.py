@@ -56,8 +56,8 @@ class _Profile:
 
 
 def _has_place(ra: str, dec: str) -> Column:
-    places = [F.col(f"`{c}`") for c in (ra, dec)]
-    return places[0].isNotNull() & places[1].isNotNull() & ~F.isnan(places[0]) & ~F.isnan(places[1])
+    """Both coordinates present and finite, as one comparison (NaN sorts above infinity)."""
+    return F.col(f"`{ra}`") + F.col(f"`{dec}`") < F.lit(float("inf"))
 
 
 def _with_geometry(df: DataFrame, ra: str, dec: str, complete: bool) -> DataFrame:
