@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from skyweft.operators.nearest import NearestOptions, crossmatch_nearest
 from skyweft.operators.skew import hot_keys, salted_join
+from skyweft.operators.topk import first_rows
 
 MAX_BROADCAST_LIMIT = 50_000
 
@@ -96,7 +97,7 @@ def flag_known_objects(
     """Look up the first ``limit`` rows by key: 1 found, 0 not found, NULL not looked up."""
     checked = matches.select(key, ra, dec)
     if limit is not None:
-        checked = checked.orderBy(key).limit(limit)
+        checked = first_rows(checked, key, limit)
     found = _nearest_known(checked, simbad, key, ra, dec, radius_arcsec, options).select(
         key,
         F.col("_known_main_id").isNotNull().cast("int").alias("known_in_simbad"),

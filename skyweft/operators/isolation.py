@@ -76,19 +76,20 @@ def _grow(rows: pd.DataFrame, features: Sequence[str], seed: int) -> pd.DataFram
 
 
 def draw_subsamples(
-    df: DataFrame, features: Sequence[str], key: str, trees: int, max_samples: int, seed: int
+    df: DataFrame, n_rows: int, features: Sequence[str], key: str, trees: int, max_samples: int, seed: int
 ) -> DataFrame:
     """``max_samples`` rows per tree, drawn without replacement by hash of the row key.
 
     A bounded pool of rows with the smallest hashes is a uniform sample of the
-    table; each tree draws from that pool by a hash of its own.
+    table; each tree draws from that pool by a hash of its own. A hash threshold
+    thins a large table to about twice the pool before the pool is ordered.
     """
-    pool = (
-        df.select(F.col(key).alias("_key"), *features)
-        .withColumn("_draw", F.xxhash64(F.lit(seed), "_key"))
-        .orderBy("_draw", "_key")
-        .limit(trees * max_samples)
-    )
+    size = trees * max_samples
+    draw = F.xxhash64(F.lit(seed), "_key")
+    pool = df.select(F.col(key).alias("_key"), *features).withColumn("_draw", draw)
+    if n_rows > 4 * size:
+        pool = pool.filter(F.col("_draw") < F.lit(int(-(2**63) + 2**64 * (2 * size / n_rows))))
+    pool = pool.orderBy("_draw", "_key").limit(size)
     dealt = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn(
         "_draw", F.xxhash64(F.lit(seed), "tree", "_key")
     )
@@ -107,25 +108,23 @@ def fit_isolation_forest(
 ) -> Forest | None:
     """Grow the trees on rows whose features are all finite; None without any row."""
     features = list(features)
+    n_rows = df.count()
+    if n_rows == 0:
+        return None
 
     def grow(rows: pd.DataFrame) -> pd.DataFrame:
         return _grow(rows, features, seed)
 
-    drawn = draw_subsamples(df, features, key, trees, max_samples, seed)
-    grown = (
-        drawn.select("tree", "_draw", *features).groupBy("tree").applyInPandas(grow, _MODEL_SCHEMA).toPandas()
-    )
-    if grown.empty:
-        return None
-    width = int(grown["node"].max()) + 1
-    used = sorted(grown["tree"].unique())
+    drawn = draw_subsamples(df, n_rows, features, key, trees, max_samples, seed)
+    grown = drawn.select("tree", "_draw", *features).groupBy("tree").applyInPandas(grow, _MODEL_SCHEMA).toPandas()
+    shape = (trees, int(grown["node"].max()) + 1)
+    places = (grown["tree"].to_numpy(), grown["node"].to_numpy())
+    kinds = {"feature": np.int16, "threshold": float, "low": np.int32, "high": np.int32, "path": float}
     arrays = {}
-    for name, kind in (("feature", np.int16), ("threshold", float), ("low", np.int32), ("high", np.int32), ("path", float)):
-        filled = np.zeros((len(used), width), dtype=kind)
-        filled[grown["tree"].to_numpy(), grown["node"].to_numpy()] = grown[name].to_numpy()
-        arrays[name] = filled
-    # A tree over n distinct rows has n leaves; the sample size follows from the pool.
-    samples = min(max_samples, df.select(key).limit(max_samples).count())
+    for name, kind in kinds.items():
+        arrays[name] = np.zeros(shape, dtype=kind)
+        arrays[name][places] = grown[name].to_numpy()
+    samples = min(max_samples, n_rows)
     return Forest(**arrays, samples=samples, depth=depth_limit(samples))
 
 

@@ -120,7 +120,7 @@ def _tally(left_cells: DataFrame, right_cells: DataFrame) -> DataFrame:
 def _profile(tally: DataFrame) -> _Profile:
     in_use = F.col("l") > 0
     cells, left, right, total, used = tally.agg(
-        F.count_if(in_use), F.max("l"), F.max(F.when(in_use, F.col("r"))), F.sum("r"), F.sum(F.when(in_use, F.col("r")))
+        F.count_if(in_use), F.max("l"), F.max("r"), F.sum("r"), F.sum(F.when(in_use, F.col("r")))
     ).first()
     return _Profile(cells, left or 0, right or 0, 1.0 - (used or 0) / total if total else 0.0)
 
@@ -194,7 +194,7 @@ def crossmatch_nearest(
 
     crowded = None
     if profile.densest_right > options.max_candidates:
-        crowded, lefts, crowded_left, rights, crowded_right = _set_apart(lefts, rights, tally, options)
+        lefts, rights, crowded = _set_apart(lefts, rights, tally, options)
 
     arrays = rights.groupBy(*CELL).agg(F.collect_list(_right_body(right_key, right_columns)).alias("_near"))
     if profile.densest_left > options.max_left_rows:
@@ -205,6 +205,7 @@ def crossmatch_nearest(
     matched = joined.withColumn("_best", explode(_closest("_near", threshold)))
 
     if crowded is not None:
+        crowded_left, crowded_right = crowded
         found = _descend(crowded_left, crowded_right, left_key, right_key, right_columns, threshold, reach, options)
         descended = crowded_left.join(found, left_key, how)
         kept = [F.col(f"`{c}`") for c in left_columns] + [F.col("_best")]
@@ -218,18 +219,26 @@ def crossmatch_nearest(
 
 
 def _set_apart(lefts: DataFrame, rights: DataFrame, tally: DataFrame, options: NearestOptions) -> tuple:
-    """Split both sides into ordinary cells and cells with too many right rows."""
-    is_crowded = (F.col("l") > 0) & (F.col("r") > options.max_candidates)
-    crowded = cut_lineage(tally.filter(is_crowded).select(*CELL))
-    marks = F.broadcast(crowded) if crowded.count() <= options.max_broadcast_rows else crowded
-    on = list(CELL)
-    return (
-        crowded,
-        lefts.join(marks, on, "left_anti"),
-        lefts.join(marks, on, "left_semi"),
-        rights.join(marks, on, "left_anti"),
-        rights.join(marks, on, "left_semi"),
+    """Both sides of ordinary cells, and both sides of cells with too many right rows.
+
+    The latter is None if no left row lies in such a cell; their right rows can
+    then match nothing.
+    """
+    crowded = cut_lineage(
+        tally.filter(F.col("r") > options.max_candidates).select(*CELL, (F.col("l") > 0).alias("_in_use"))
     )
+    n_crowded, n_in_use = crowded.agg(F.count(F.lit(1)), F.count_if("_in_use")).first()
+
+    def marks(cells: DataFrame) -> DataFrame:
+        cells = cells.select(*CELL)
+        return F.broadcast(cells) if n_crowded <= options.max_broadcast_rows else cells
+
+    on, in_use = list(CELL), crowded.filter("_in_use")
+    apart = None
+    if n_in_use:
+        apart = (lefts.join(marks(in_use), on, "left_semi"), rights.join(marks(in_use), on, "left_semi"))
+        lefts = lefts.join(marks(in_use), on, "left_anti")
+    return lefts, rights.join(marks(crowded), on, "left_anti"), apart
 
 
 def _box_distances(box: Column) -> tuple[Column, Column]:

@@ -13,19 +13,35 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BUCKETS = 128
+MAX_BUCKETS = 256
+BUCKET_ROWS = 500_000
 
 
-def _bucketed(df: DataFrame, value: str, sums: Mapping[str, Column], by: Sequence[str], buckets: int) -> DataFrame:
-    merged = (
-        df.filter(F.col(value).isNotNull() & ~F.isnan(value))
-        .groupBy(*by, value)
-        .agg(*[c.alias(name) for name, c in sums.items()])
-    )
-    cuts = [i / buckets for i in range(1, buckets)]
-    splits = merged.agg(F.percentile_approx(value, F.array(*[F.lit(c) for c in cuts]), F.lit(buckets * 10))).scalar()
-    placed = merged.withColumn("_splits", splits)
-    return placed.withColumn("_bucket", F.size(F.filter("_splits", lambda s: s <= F.col(value)))).drop("_splits")
+def _bucket_of(value: Column, cuts: Sequence[float], first: int = 0) -> Column:
+    """Number of cuts at or below the value, by binary search in generated code."""
+    if not cuts:
+        return F.lit(first)
+    middle = len(cuts) // 2
+    return F.when(
+        value < F.lit(cuts[middle]), _bucket_of(value, cuts[:middle], first)
+    ).otherwise(_bucket_of(value, cuts[middle + 1 :], first + middle + 1))
+
+
+def _bucketed(df: DataFrame, value: str, sums: Mapping[str, Column], by: Sequence[str], bucket_rows: int) -> DataFrame:
+    """Merge equal values and deal them into buckets of about ``bucket_rows`` distinct values.
+
+    One aggregate over the merged values brings their number and at most
+    ``MAX_BUCKETS`` cut points to the driver.
+    """
+    present = df.filter(F.col(value).isNotNull() & ~F.isnan(value))
+    merged = present.groupBy(*by, value).agg(*[c.alias(name) for name, c in sums.items()])
+    shares = [i / MAX_BUCKETS for i in range(1, MAX_BUCKETS)]
+    rows, quantiles = merged.agg(
+        F.count(F.lit(1)), F.percentile_approx(value, F.array(*[F.lit(p) for p in shares]), F.lit(MAX_BUCKETS * 10))
+    ).first()
+    step = max(1, MAX_BUCKETS // max(1, -(-rows // bucket_rows)))
+    cuts = sorted(set((quantiles or [])[step - 1 :: step])) if rows > bucket_rows else []
+    return merged.withColumn("_bucket", _bucket_of(F.col(value), cuts))
 
 
 def _offsets(bucketed: DataFrame, sums: Sequence[str], value: str, by: Sequence[str], descending: bool) -> DataFrame:
@@ -55,7 +71,7 @@ def cumulative(
     *,
     by: Sequence[str] = (),
     descending: bool = False,
-    buckets: int = BUCKETS,
+    bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """One row per distinct value with running sums in value order.
 
@@ -64,7 +80,7 @@ def cumulative(
     ``s_next`` (sum at the following value, NULL at the end).
     """
     names = list(sums)
-    bucketed = _bucketed(df, value, sums, by, buckets)
+    bucketed = _bucketed(df, value, sums, by, bucket_rows)
     offsets = _offsets(bucketed, names, value, by, descending)
     if not by:
         offsets = F.broadcast(offsets)  # at most one row per bucket
@@ -83,13 +99,13 @@ def cumulative(
 
 
 def exact_quantiles(
-    df: DataFrame, value: str, probabilities: Mapping[str, float], *, by: Sequence[str] = (), buckets: int = BUCKETS
+    df: DataFrame, value: str, probabilities: Mapping[str, float], *, by: Sequence[str] = (), bucket_rows: int = BUCKET_ROWS
 ) -> DataFrame:
     """Quantiles with linear interpolation, one row per group; missing values are left out.
 
     Only the buckets that hold a wanted rank are ordered at all.
     """
-    bucketed = _bucketed(df, value, {"_n": F.count(F.lit(1))}, by, buckets)
+    bucketed = _bucketed(df, value, {"_n": F.count(F.lit(1))}, by, bucket_rows)
     offsets = _offsets(bucketed, ["_n"], value, by, False)
     start, end = F.col("_before__n"), F.col("_before__n") + F.col("_within__n")
 

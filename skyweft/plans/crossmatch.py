@@ -11,6 +11,7 @@ from skyweft.operators.assign import one_to_one
 from skyweft.operators.enrich import enrich_known_objects, flag_known_objects, join_tic
 from skyweft.operators.isolation import fit_isolation_forest, score_isolation_forest
 from skyweft.operators.nearest import NearestOptions, crossmatch_nearest
+from skyweft.session import cut_lineage
 
 FEATURES = ("gaia_bp_rp", "w1_w2", "m_g_approx")
 GAIA_KEPT = ("source_id", "ra", "dec", "parallax", "pmra", "pmdec", "phot_g_mean_mag", "bp_rp", "ruwe")
@@ -39,9 +40,12 @@ def quick_match_raw(gaia: DataFrame, wise: DataFrame, field: FieldConfig, option
 
 
 def quick_pipeline(gaia: DataFrame, wise: DataFrame, simbad: DataFrame, field: FieldConfig) -> DataFrame:
-    """Quick match with known-object flags on the first rows."""
+    """Quick match with known-object flags on the first rows.
+
+    The matches are written out once, because looking up goes over them twice.
+    """
     return flag_known_objects(
-        quick_match(gaia, wise, field), simbad,
+        cut_lineage(quick_match(gaia, wise, field)), simbad,
         radius_arcsec=field.known_object_radius_arcsec, limit=field.known_object_limit,
     )
 

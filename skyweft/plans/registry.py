@@ -271,7 +271,9 @@ def smoke_crossmatch(s: Survey) -> DataFrame:
     cone = (SMOKE_FIELD.ra, SMOKE_FIELD.dec, SMOKE_FIELD.radius)
     gaia = catalogs.scan_gaia_quick(s.gaia, cone, SMOKE_FIELD.gaia_limit, clean=False)
     wise = catalogs.scan_allwise(s.wise, cone)
-    matched = crossmatch_nearest(gaia.select("source_id", "ra", "dec"), wise.select("designation", "ra", "dec"))
+    matched = cut_lineage(
+        crossmatch_nearest(gaia.select("source_id", "ra", "dec"), wise.select("designation", "ra", "dec"))
+    )
     return rounded(enrich.flag_known_objects(matched, s.simbad, limit=SMOKE_FIELD.known_object_limit))
 
 
@@ -405,13 +407,15 @@ def simbad_enrich_nearest(s: Survey) -> DataFrame:
 
 @query
 def simbad_lookup_limit(s: Survey) -> DataFrame:
-    found = enrich.flag_known_objects(xm.quick_match_raw(s.gaia, s.wise, FIELD), s.simbad, limit=100)
+    matched = cut_lineage(xm.quick_match_raw(s.gaia, s.wise, FIELD).select("gaia_source_id", "gaia_ra", "gaia_dec"))
+    found = enrich.flag_known_objects(matched, s.simbad, limit=100)
     return found.select("gaia_source_id", "known_in_simbad", "simbad_main_id", "simbad_type")
 
 
 @query
 def simbad_lookup_all(s: Survey) -> DataFrame:
-    found = enrich.flag_known_objects(xm.quick_match_raw(s.gaia, s.wise, FIELD), s.simbad, limit=None)
+    matched = cut_lineage(xm.quick_match_raw(s.gaia, s.wise, FIELD).select("gaia_source_id", "gaia_ra", "gaia_dec"))
+    found = enrich.flag_known_objects(matched, s.simbad, limit=None)
     return found.select("gaia_source_id", "known_in_simbad", "simbad_main_id", "simbad_type")
 
 

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skyweft.functions.sphere import within_cone
+from skyweft.operators.topk import first_rows
 from skyweft.sources import schemas
 from skyweft.sources.conform import conform, find_column, select_present
 
@@ -28,7 +29,7 @@ def scan_gaia_quick(
 ) -> DataFrame:
     """The 14-column optical scan; ``limit`` keeps the smallest identifiers."""
     rows = conform(in_cone(df, cone), schemas.GAIA_QUICK, clean)
-    return rows if limit is None else rows.orderBy("source_id").limit(limit)
+    return rows if limit is None else first_rows(rows, "source_id", limit)
 
 
 def scan_gaia(
