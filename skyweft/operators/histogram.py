@@ -7,12 +7,28 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-def _binned(value: Column, low: Column, high: Column, bins: int) -> Column:
-    """Bin number over [low, high] with the last bin closed; a single value sits in a unit-wide range."""
+def _scale(low: Column, high: Column) -> tuple[Column, Column]:
+    """Start and width of the binned range; a single value sits in a unit-wide range."""
     flat = low == high
-    start = F.when(flat, low - F.lit(0.5)).otherwise(low)
-    width = F.when(flat, F.lit(1.0)).otherwise(high - low)
-    return F.least(F.floor((value - start) / width * F.lit(float(bins))), F.lit(bins - 1)).cast("int")
+    return F.when(flat, low - F.lit(0.5)).otherwise(low), F.when(flat, F.lit(1.0)).otherwise(high - low)
+
+
+def _edge(number: Column, low: Column, high: Column, bins: int) -> Column:
+    start, width = _scale(low, high)
+    return number * (width / F.lit(float(bins))) + start
+
+
+def _binned(value: Column, low: Column, high: Column, bins: int) -> Column:
+    """Bin number over [low, high], last bin closed, agreeing with the edges as reported."""
+    start, width = _scale(low, high)
+    last = F.lit(bins - 1)
+    guess = F.least(F.floor((value - start) / width * F.lit(float(bins))), last)
+    return (
+        F.when(value < _edge(guess, low, high, bins), guess - 1)
+        .when((guess < last) & (value >= _edge(guess + 1, low, high, bins)), guess + 1)
+        .otherwise(guess)
+        .cast("int")
+    )
 
 
 def histogram(df: DataFrame, value: str, bins: int = 30) -> DataFrame:
@@ -41,17 +57,14 @@ def histogram_by(df: DataFrame, value: str, category: str, categories: Sequence[
 
 
 def _filled(df: DataFrame, counts: DataFrame, low: Column, high: Column, bins: int) -> DataFrame:
-    flat = low == high
-    start = F.when(flat, low - F.lit(0.5)).otherwise(low)
-    step = F.when(flat, F.lit(1.0)).otherwise(high - low) / F.lit(float(bins))
     grid = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     return (
         grid.join(F.broadcast(counts), "bin", "left")
         .filter(low.isNotNull())
         .select(
             "bin",
-            (start + F.col("bin") * step).alias("low"),
-            (start + (F.col("bin") + 1) * step).alias("high"),
+            _edge(F.col("bin"), low, high, bins).alias("low"),
+            _edge(F.col("bin") + 1, low, high, bins).alias("high"),
             F.coalesce("n", F.lit(0)).alias("n"),
         )
     )
