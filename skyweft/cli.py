@@ -23,7 +23,7 @@ def run_field(
     gaia = catalogs.scan_gaia_quick(spark.read.parquet(gaia_path), cone, field.gaia_limit)
     wise = catalogs.scan_allwise(spark.read.parquet(wise_path), cone)
     simbad = catalogs.scan_simbad(spark.read.parquet(simbad_path))
-    matches = cut_lineage(crossmatch.quick_pipeline(gaia, wise, simbad, field))
+    matches = cut_lineage(crossmatch.match_field(gaia, wise, simbad, field))
     sinks.write_csv(matches, out)
     if plot_data:
         sinks.write_csv(color_magnitude(matches), f"{plot_data}/color_magnitude")

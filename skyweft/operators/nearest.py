@@ -25,7 +25,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from skyweft.functions.sphere import chord_length, unit_vector
 from skyweft.operators.skew import salted_join
@@ -33,6 +33,7 @@ from skyweft.session import cut_lineage
 
 CELL = ("_cx", "_cy", "_cz")
 AXES = ("_x", "_y", "_z")
+PLACE = ("_ra", "_dec")
 SLACK = 1e-13  # chord length; far above rounding, far below any useful radius
 
 
@@ -42,6 +43,7 @@ class NearestOptions:
 
     cell_factor: float = 4.0
     max_candidates: int = 256
+    leaf_rows: int = 32
     max_left_rows: int = 500_000
     max_broadcast_rows: int = 50_000
     split_per_axis: int = 4
@@ -168,10 +170,11 @@ def crossmatch_nearest(
 ) -> DataFrame:
     """For each left row the nearest right row strictly below the threshold.
 
-    ``how`` is ``inner`` or ``left``. ``left_key`` identifies a left row, and
-    the smaller ``right_key`` wins among equally near right rows. Rows without
-    coordinates match nothing. Output: prefixed left columns, prefixed right
-    columns and the separation in arcsec.
+    ``how`` is ``inner`` or ``left``. The smaller ``right_key`` wins among
+    equally near right rows; ``left_key`` need not be unique, it only spreads
+    rows that would share a task. Rows without coordinates match nothing.
+    Output: prefixed left columns, prefixed right columns and the separation in
+    arcsec.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be 'inner' or 'left'")
@@ -206,8 +209,8 @@ def crossmatch_nearest(
 
     if crowded is not None:
         crowded_left, crowded_right = crowded
-        found = _descend(crowded_left, crowded_right, left_key, right_key, right_columns, threshold, reach, options)
-        descended = crowded_left.join(found, left_key, how)
+        found = _descend(crowded_left, crowded_right, right_key, right_columns, threshold, reach, options)
+        descended = salted_join(crowded_left, found, PLACE, left_key, how, options.max_left_rows)
         kept = [F.col(f"`{c}`") for c in left_columns] + [F.col("_best")]
         matched = matched.select(*kept).unionByName(descended.select(*kept))
 
@@ -259,30 +262,33 @@ def _bounds() -> list[Column]:
 def _descend(
     lefts: DataFrame,
     rights: DataFrame,
-    left_key: str,
     right_key: str,
     right_columns: list[str],
     threshold: float,
     reach: float,
     options: NearestOptions,
 ) -> DataFrame:
-    """Nearest neighbour within crowded cells: ``left_key`` and ``_best``."""
+    """Nearest neighbour of every place in crowded cells: coordinates and ``_best``.
+
+    Copies of a place count once on either side.
+    """
     node = F.concat_ws(":", *CELL).alias("_node")
     body = _right_body(right_key, right_columns)
     points = cut_lineage(
-        rights.select(node, "_ra", "_dec", *AXES, body.alias("_body"), F.col(f"`{right_key}`").alias("_key"))
-        .groupBy("_node", "_ra", "_dec", *AXES)
+        rights.select(node, *PLACE, *AXES, body.alias("_body"), F.col(f"`{right_key}`").alias("_key"))
+        .groupBy("_node", *PLACE, *AXES)
         .agg(F.min_by("_body", "_key").alias("_body"))
     )
-    frontier = lefts.select(
-        F.col(f"`{left_key}`").alias("_left"), *AXES, "_ra", "_sin", "_cos", node,
-        F.lit(reach).alias("_bound"), F.lit(0.0).alias("_gap"),
+    frontier = (
+        lefts.select(*PLACE, "_sin", "_cos", *AXES, node)
+        .distinct()
+        .withColumns({"_bound": F.lit(reach), "_gap": F.lit(0.0)})
     )
 
     while True:
         extent = F.greatest(*[F.col(f"high{a}") - F.col(f"low{a}") for a in AXES])
         boxes = points.groupBy("_node").agg(F.count(F.lit(1)).alias("_rows"), *_bounds())
-        large = cut_lineage(boxes.filter((F.col("_rows") > options.max_candidates) & (extent > 0)))
+        large = cut_lineage(boxes.filter((F.col("_rows") > options.leaf_rows) & (extent > 0)))
         n_large = large.count()
         if n_large == 0:
             break
@@ -291,9 +297,9 @@ def _descend(
         points = points.drop("_parent")
 
     leaves = points.groupBy("_node").agg(F.collect_list("_body").alias("_near"))
-    reached = salted_join(frontier, leaves, ["_node"], "_left", "inner", options.max_left_rows)
+    reached = salted_join(frontier, leaves, ["_node"], "_x", "inner", options.max_left_rows)
     best = reached.withColumn("_best", F.explode(_closest("_near", threshold)))
-    return best.groupBy(F.col("_left").alias(left_key)).agg(F.min("_best").alias("_best"))
+    return best.groupBy(*PLACE).agg(F.min("_best").alias("_best"))
 
 
 def _split_points(points: DataFrame, large: DataFrame, n_large: int, options: NearestOptions) -> DataFrame:
@@ -326,7 +332,7 @@ def _follow(frontier: DataFrame, points: DataFrame, n_large: int, options: Neare
     if n_large * options.split_per_axis**3 <= options.max_broadcast_rows:
         joined = frontier.join(F.broadcast(children), "_node", "left")
     else:
-        joined = salted_join(frontier, children, ["_node"], "_left", "left", options.max_left_rows)
+        joined = salted_join(frontier, children, ["_node"], "_x", "left", options.max_left_rows)
 
     def measure(child: Column) -> Column:
         near, far = _box_distances(child)
@@ -342,15 +348,17 @@ def _follow(frontier: DataFrame, points: DataFrame, n_large: int, options: Neare
     )
     kept = F.filter("_options", lambda o: o["near"] <= F.col("_bound") + F.lit(SLACK))
     exploded = bounded.withColumn("_option", F.explode(kept))
-    fields = ["_left", *AXES, "_ra", "_sin", "_cos"]
-    tight = exploded.groupBy("_left").agg(F.min("_bound").alias("_tight"))
+    tight = F.min("_bound").over(Window.partitionBy(*PLACE))
     return (
-        exploded.join(tight, "_left")
-        .filter(F.col("_option.near") <= F.col("_tight") + F.lit(SLACK))
+        exploded.withColumn("_bound", tight)
+        .filter(F.col("_option.near") <= F.col("_bound") + F.lit(SLACK))
         .select(
-            *fields,
-            F.col("_option.node").alias("_node"),
-            F.col("_tight").alias("_bound"),
+            *PLACE,
+            "_sin",
+            "_cos",
+            *AXES,
+            "_bound",
             F.col("_option.near").alias("_gap"),
+            F.col("_option.node").alias("_node"),
         )
     )

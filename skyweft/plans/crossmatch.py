@@ -1,4 +1,4 @@
-"""The cross-match plans: quick pipeline and full probabilistic match."""
+"""The cross-match plans: quick match and full probabilistic match."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from skyweft.operators.enrich import enrich_known_objects, flag_known_objects, j
 from skyweft.operators.isolation import fit_isolation_forest, score_isolation_forest
 from skyweft.operators.nearest import NearestOptions, crossmatch_nearest
 from skyweft.session import cut_lineage
+from skyweft.sources.conform import select_present
 
 FEATURES = ("gaia_bp_rp", "w1_w2", "m_g_approx")
 GAIA_KEPT = ("source_id", "ra", "dec", "parallax", "pmra", "pmdec", "phot_g_mean_mag", "bp_rp", "ruwe")
@@ -39,7 +40,7 @@ def quick_match_raw(gaia: DataFrame, wise: DataFrame, field: FieldConfig, option
     )
 
 
-def quick_pipeline(gaia: DataFrame, wise: DataFrame, simbad: DataFrame, field: FieldConfig) -> DataFrame:
+def match_field(gaia: DataFrame, wise: DataFrame, simbad: DataFrame, field: FieldConfig) -> DataFrame:
     """Quick match with known-object flags on the first rows.
 
     The matches are written out once, because looking up goes over them twice.
@@ -51,7 +52,7 @@ def quick_pipeline(gaia: DataFrame, wise: DataFrame, simbad: DataFrame, field: F
 
 
 def quick_summary(gaia: DataFrame, wise: DataFrame, raw: DataFrame, matches: DataFrame) -> DataFrame:
-    """One row of counts over a quick pipeline run."""
+    """One row of counts over a quick run."""
     def count(df: DataFrame) -> Column:
         return df.agg(F.count(F.lit(1))).scalar()
 
@@ -65,6 +66,11 @@ def quick_summary(gaia: DataFrame, wise: DataFrame, raw: DataFrame, matches: Dat
     )
 
 
+def needed_columns(wise: DataFrame) -> DataFrame:
+    """The infrared columns a full match uses, so that the scan reads no others."""
+    return select_present(wise, ("designation", "sigra", "sigdec", *WISE_KEPT))
+
+
 def candidate_pairs(
     gaia: DataFrame, wise: DataFrame, config: MatchConfig = MatchConfig(), options: NearestOptions = NearestOptions()
 ) -> DataFrame:
@@ -134,7 +140,7 @@ def probabilistic_matches(
     options: NearestOptions = NearestOptions(),
 ) -> DataFrame:
     """From two catalogs to unique matches with posterior, colour and member flag."""
-    pairs = candidate_pairs(gaia, wise, config, options)
+    pairs = candidate_pairs(gaia, needed_columns(wise), config, options)
     return resolve_matches(score_pairs(pairs, prior_odds(gaia, wise, area_sr, config)), config, cluster)
 
 

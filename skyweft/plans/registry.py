@@ -61,7 +61,7 @@ def _moved(s: Survey) -> DataFrame:
 
 
 def _pairs(s: Survey) -> DataFrame:
-    return xm.candidate_pairs(_gaia(s), s.wise)
+    return xm.candidate_pairs(_gaia(s), xm.needed_columns(s.wise))
 
 
 def _scored(s: Survey) -> DataFrame:
@@ -253,7 +253,7 @@ def bf_arcsec_posterior(s: Survey) -> DataFrame:
 
 @query
 def quick_run(s: Survey) -> DataFrame:
-    out = xm.quick_pipeline(s.gaia, s.wise, s.simbad, FIELD)
+    out = xm.match_field(s.gaia, s.wise, s.simbad, FIELD)
     return rounded(out.select(
         "gaia_source_id", "wise_designation", "gaia_bp_rp", "gaia_phot_g_mean_mag", "distance_arcsec",
         "posterior_match", "known_in_simbad", "simbad_main_id", "simbad_type"))
@@ -261,7 +261,7 @@ def quick_run(s: Survey) -> DataFrame:
 
 @query
 def quick_run_summary(s: Survey) -> DataFrame:
-    out = xm.quick_pipeline(s.gaia, s.wise, s.simbad, FIELD)
+    out = xm.match_field(s.gaia, s.wise, s.simbad, FIELD)
     return xm.quick_summary(s.gaia, s.wise, xm.quick_match_raw(s.gaia, s.wise, FIELD), out)
 
 

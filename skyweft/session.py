@@ -22,6 +22,8 @@ def build_session(app_name: str = "skyweft", master: str | None = None, **conf:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        # Arrays per grid cell stay in the hash aggregate instead of turning to sorting after 128 cells.
+        "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "20000",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         **{name: str(value) for name, value in conf.items()},
     }

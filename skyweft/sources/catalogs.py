@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from skyweft.functions.sphere import within_cone
 from skyweft.operators.topk import first_rows
@@ -80,13 +80,18 @@ def scan_members(df: DataFrame, names: Sequence[str], cone: Cone | None = None)
     return ranked.filter(F.col("_rank") == best).drop("_rank")
 
 
+def _number(identifier: Column) -> Column:
+    """A whole number per identifier: itself where it is one, else a hash of its text."""
+    return F.coalesce(identifier.try_cast("long"), F.xxhash64(identifier))
+
+
 def standard_members(df: DataFrame) -> DataFrame:
     """Member list under fixed column names, whatever names it arrived with.
 
     Optional columns that are absent become NULL; ``ordinal`` (row order of the
     list, used when several rows fall on one source) defaults to the identifier.
     """
-    def pick(out: str, names: Sequence[str], kind: str, ignore_case: bool = False, required: bool = False):
+    def pick(out: str, names: Sequence[str], kind: str, ignore_case: bool = False, required: bool = False) -> Column:
         found = find_column(df.columns, names, ignore_case)
         if found is None and required:
             raise ValueError(f"member list has none of the columns {tuple(names)}")
@@ -94,7 +99,7 @@ def standard_members(df: DataFrame) -> DataFrame:
         return column.cast(kind).alias(out)
 
     identifier = pick("member_id", schemas.MEMBER_ID_NAMES, "string", True)
-    ordinal = F.col("ordinal").cast("long") if "ordinal" in df.columns else pick("o", schemas.MEMBER_ID_NAMES, "long", True)
+    ordinal = F.col("ordinal").cast("long") if "ordinal" in df.columns else _number(identifier)
     return df.select(
         identifier,
         ordinal.alias("ordinal"),

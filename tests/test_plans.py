@@ -99,7 +99,7 @@ def test_pipeline_of_an_empty_field(spark):
     survey = Survey(spark, SMALL)
     field = FieldConfig(10.0, 10.0, 0.1)
     gaia = catalogs.scan_gaia_quick(survey.gaia, (10.0, 10.0, 0.1))
-    out = crossmatch.quick_pipeline(gaia, survey.wise, survey.simbad, field)
+    out = crossmatch.match_field(gaia, survey.wise, survey.simbad, field)
     assert out.count() == 0 and "known_in_simbad" in out.columns
     pairs = crossmatch.candidate_pairs(catalogs.scan_gaia(survey.gaia, (10.0, 10.0, 0.1)), survey.wise)
     assert pairs.count() == 0
