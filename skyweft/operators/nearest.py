@@ -57,6 +57,11 @@ class _Profile:
     idle_right_share: float  # right rows in cells without left rows
 
 
+def _reach(threshold: float) -> float:
+    """Chord of the threshold angle, widened far beyond rounding."""
+    return chord_length(threshold) * (1.0 + 1e-9) + SLACK
+
+
 def _has_place(ra: str, dec: str) -> Column:
     """Both coordinates present and finite, as one comparison (NaN sorts above infinity)."""
     return F.col(f"`{ra}`") + F.col(f"`{dec}`") < F.lit(float("inf"))
@@ -130,14 +135,18 @@ def _profile(tally: DataFrame) -> _Profile:
 def _closest(candidates: str, threshold: float) -> Column:
     """Array with the smallest (separation, key, columns) below the threshold, or without any.
 
-    Exploding it drops rows without a match and computes separations only once.
+    A cheap bound on one axis comes first: no chord is shorter than its part
+    along the polar axis. Exploding the array drops rows without a match and
+    computes separations only once.
     """
+    reach = _reach(threshold)
 
     def measure(r: Column) -> Column:
         distance = _separation(F.col("_ra"), F.col("_sin"), F.col("_cos"), r["ra"], r["sin"], r["cos"])
         return F.struct(distance.alias("separation"), r["key"].alias("key"), r["row"].alias("row"))
 
-    near = F.filter(F.transform(candidates, measure), lambda m: m["separation"] < F.lit(threshold))
+    level = F.filter(candidates, lambda r: F.abs(r["sin"] - F.col("_sin")) <= F.lit(reach))
+    near = F.filter(F.transform(level, measure), lambda m: m["separation"] < F.lit(threshold))
     return F.slice(F.array_sort(near), 1, 1)
 
 
@@ -179,7 +188,7 @@ def crossmatch_nearest(
     if how not in ("inner", "left"):
         raise ValueError("how must be 'inner' or 'left'")
     threshold = float(threshold_arcsec)
-    reach = chord_length(threshold) * (1.0 + 1e-9) + SLACK
+    reach = _reach(threshold)
     edge = max(reach * options.cell_factor, 1e-9)
     left_columns, right_columns = left.columns, right.columns
 

@@ -10,8 +10,8 @@ import __spark_entry__ as entry
 from conftest import plan_text
 from skyweft import cli
 from skyweft.config import FieldConfig
-from skyweft.plans import crossmatch, registry, report
-from skyweft.plans.survey import FIELD_CONE, Survey
+from skyweft.plans import crossmatch, registry, report, runs
+from skyweft.plans.survey import CLUSTER_NAMES, FIELD_CONE, Survey
 from skyweft.session import cut_lineage
 from skyweft.sources import catalogs, sinks
 
@@ -113,3 +113,29 @@ def test_report(spark):
     c = results.confusion
     assert f"{c['tp']} (TP)" in text and "ROC-AUC" in text and text.count("parallax +-") >= 6
     assert f"{results.rate['n_matched']} of {results.rate['n_members']} listed members" in text
+
+
+def test_full_run_and_validation(spark, tmp_path):
+    survey = Survey(spark, SMALL)
+    for name in ("gaia", "wise", "simbad", "tic"):
+        sinks.write_parquet(survey.relation(name), f"{tmp_path}/{name}")
+    # Every source gets a light curve, so the best candidate has one whoever it is.
+    curves = survey.lightcurve.limit(3).select("time", "flux")
+    wide = catalogs.scan_tic(survey.tic).select("ID").distinct().withColumnRenamed("ID", "target_id")
+    sinks.write_parquet(wide.join(curves), f"{tmp_path}/curves")
+    paths = runs.CatalogPaths(*[f"{tmp_path}/{n}" for n in ("gaia", "wise", "tic", "simbad", "curves")])
+    field, out = FieldConfig(*FIELD_CONE), f"{tmp_path}/out"
+    summary = runs.run_full_match(spark, paths, field, out)
+    matches = spark.read.parquet(f"{out}/matches")
+    assert matches.count() == summary["n_matches"] > 0
+    assert spark.read.option("header", True).csv(f"{out}/top_candidates").count() == 15
+    assert spark.read.option("header", True).csv(f"{out}/matches_csv").count() == summary["n_matches"]
+    assert spark.read.option("header", True).csv(f"{out}/lightcurve").count() > 0
+    results = runs.run_validation(
+        spark, [f"{tmp_path}/nowhere", f"{out}/matches"], survey.members, CLUSTER_NAMES, field, out, "NGC 2516", "derived",
+    )
+    compared = sum(results.confusion.values())
+    assert 0 < compared <= summary["n_matches"]
+    text = next((tmp_path / "out" / "report").glob("*.txt")).read_text(encoding="utf-8")
+    assert f"Sources compared: {compared}" in text
+    assert spark.read.option("header", True).csv(f"{out}/ablation").count() == 8
