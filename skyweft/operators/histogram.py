@@ -38,10 +38,21 @@ def histogram(df: DataFrame, value: str, bins: int = 30) -> DataFrame:
     present value means no bins.
     """
     present = df.select(F.col(f"`{value}`").cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
-    limits = present.agg(F.struct(F.min("v").alias("low"), F.max("v").alias("high"))).scalar()
-    low, high = limits["low"], limits["high"]
-    counts = present.groupBy(_binned(F.col("v"), low, high, bins).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    return _filled(df, counts, low, high, bins).select("bin", "low", "high", "n")
+    limits = present.agg(F.struct(F.min("v").alias("lowest"), F.max("v").alias("highest"))).scalar()
+    lowest, highest = F.col("_limits.lowest"), F.col("_limits.highest")
+    number = _binned(F.col("v"), lowest, highest, bins).alias("bin")
+    counts = present.withColumn("_limits", limits).groupBy(number).agg(F.count(F.lit(1)).alias("n"))
+    grid = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")).withColumn("_limits", limits)
+    return (
+        grid.join(F.broadcast(counts), "bin", "left")
+        .filter(lowest.isNotNull())
+        .select(
+            "bin",
+            _edge(F.col("bin"), lowest, highest, bins).alias("low"),
+            _edge(F.col("bin") + 1, lowest, highest, bins).alias("high"),
+            F.coalesce("n", F.lit(0)).alias("n"),
+        )
+    )
 
 
 def histogram_by(df: DataFrame, value: str, category: str, categories: Sequence[str], bins: int = 30) -> DataFrame:
@@ -56,20 +67,6 @@ def histogram_by(df: DataFrame, value: str, category: str, categories: Sequence[
     return result
 
 
-def _filled(df: DataFrame, counts: DataFrame, low: Column, high: Column, bins: int) -> DataFrame:
-    grid = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
-    return (
-        grid.join(F.broadcast(counts), "bin", "left")
-        .filter(low.isNotNull())
-        .select(
-            "bin",
-            _edge(F.col("bin"), low, high, bins).alias("low"),
-            _edge(F.col("bin") + 1, low, high, bins).alias("high"),
-            F.coalesce("n", F.lit(0)).alias("n"),
-        )
-    )
-
-
 def color_magnitude(matches: DataFrame, color: str = "gaia_bp_rp", magnitude: str = "gaia_phot_g_mean_mag") -> DataFrame:
     """The two columns of a colour-magnitude diagram, complete rows only."""
     return matches.select(color, magnitude).na.drop()

@@ -256,11 +256,15 @@ def _shift(east: str) -> str:
 
 
 def _histogram(source: str, value: str, where: str = "true", extra: str = "") -> str:
-    counts = f"SELECT CAST({value} AS DOUBLE) AS v FROM {source} WHERE {value} IS NOT NULL AND {where}"
+    """Bins as intervals between edges: closed below, open above, the last closed on both sides."""
+    values = f"SELECT CAST({value} AS DOUBLE) AS v FROM {source} WHERE {value} IS NOT NULL AND {where}"
+    edges = (
+        "SELECT CAST(i AS INTEGER) AS bin, i * ((hi - lo)/30e0) + lo AS low, (i + 1) * ((hi - lo)/30e0) + lo AS high"
+        f" FROM (SELECT min(v) AS lo, max(v) AS hi FROM ({values})), range(30) AS t(i)"
+    )
     return (
-        f"SELECT {extra}CAST(i AS INTEGER) AS bin, round(lo + i*(hi - lo)/30e0, 6) AS low, round(lo + (i + 1)*(hi - lo)/30e0, 6) AS high,"
-        f" (SELECT count(*) FROM ({counts}) WHERE least(floor((v - lo)/(hi - lo)*30e0), 29) = i) AS n"
-        f" FROM (SELECT min(v) AS lo, max(v) AS hi FROM ({counts})), range(30) AS t(i)"
+        f"SELECT {extra}bin, round(low, 6) AS low, round(high, 6) AS high, (SELECT count(*) FROM ({values})"
+        f" WHERE (v >= low OR bin = 0) AND (v < high OR bin = 29)) AS n FROM ({edges})"
     )
 
 
