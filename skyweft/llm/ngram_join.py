@@ -49,6 +49,8 @@ WORDS, PERCENT = 5, 80
 TABLE_BITS, CHUNK_BITS = 20, 16
 MERGED_AT_ONCE = 64
 GROUP_ROWS = 4096
+#: Rows of small groups that one task takes together.
+ROWS_AT_ONCE = 2000
 SEEN_SETS = 200_000
 HASHED_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
@@ -310,18 +312,53 @@ def _met(rows: DataFrame, lists: DataFrame) -> DataFrame:
     return rows.join(lists, "class").withColumn("rest", F.transform(later, lambda x: x["token"])).drop("_list")
 
 
+def _viable(rows: DataFrame, percent: int) -> DataFrame:
+    """Rows (token, class, n, place, rest) that sizes and remaining lengths in their token's group do not exclude.
+
+    The trie's bound for a whole group at once: only its longest rest and its
+    smallest and largest set count, so the group itself is never gathered.
+    """
+    groups = rows.groupBy("token").agg(
+        F.count(F.lit(1)).alias("_rows"), F.max("rest").alias("_rest"), F.min("n").alias("_lo"), F.max("n").alias("_hi"))
+    met = rows.join(groups.filter(F.col("_rows") > 1), "token").withColumns({
+        "_least": F.greatest("_lo", F.expr(f"({percent} * n + 99) div 100")),
+        "_most": F.least("_hi", F.expr(f"100 * n div {percent}"))})
+    prefix = lambda n: f"({n} - ({percent} * {n} + 99) div 100 + 1)"
+    overlap = lambda m: f"(({percent} * (n + {m}) + {99 + percent}) div {100 + percent})"
+    needed = F.least(
+        F.expr(f"{prefix('n')} - n + {overlap('_least')}"), F.expr(f"{prefix('_most')} - _most + {overlap('_most')}")) - 1
+    kept = (F.least("rest", "_rest") + 1 >= needed) & (F.col("place") <= F.expr(f"n - {overlap('_least')}"))
+    return met.filter(kept).select(*rows.columns)
+
+
+def _found(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
+    """Candidate edges of all groups named by ``keys``; tasks take many small groups at a time."""
+    rows = land(rows)
+    buckets = F.lit(-(-rows.count() // ROWS_AT_ONCE) or 1)
+
+    def find(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(k, "ascending") for k in keys])
+        values = np.column_stack([table.column(k).to_numpy() for k in keys])
+        cuts = [0, *(np.flatnonzero((values[1:] != values[:-1]).any(axis=1)) + 1).tolist(), len(values)]
+        return pa.concat_tables([_candidates(table.slice(i, j - i), percent) for i, j in zip(cuts, cuts[1:], strict=False)])
+
+    return rows.groupBy(spread(keys, buckets).alias("_bucket")).applyInArrow(find, "a long, b long")
+
+
 def candidate_edges(shared: DataFrame, percent: int, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Edges (a, b) that connect all classes which may be linked. ``shared``: a written table (token, class, at)."""
-    lists = shared.groupBy("class").agg(F.array_sort(F.collect_list(F.struct(
-        F.col("at").bitwiseAND(0xFFFFFFFF).alias("place"), "token"))).alias("_list"))
+    place = F.col("at").bitwiseAND(0xFFFFFFFF)
+    listed = F.array_sort(F.collect_list(F.struct(place.alias("place"), "token"))).alias("_list")
+    all_lists = shared.groupBy("class").agg(F.max(F.shiftright("at", 32)).alias("n"), listed)
+    rows = all_lists.select("class", "n", F.size("_list").alias("_size"), F.posexplode("_list").alias("_i", "_x")).select(
+        "_x.token", "class", "n", "_x.place", (F.col("_size") - F.col("_i") - 1).alias("rest"))
+    rows = land(_viable(land(_viable(rows, percent)), percent))
+    shared = land(rows.select("token", "class", (F.shiftleft("n", 32) + F.col("place")).alias("at")))
+    lists = all_lists.select("class", "_list").join(shared.select("class").distinct(), "class", "left_semi")
     sizes = shared.groupBy("token").agg(F.count(F.lit(1)).alias("_rows"))
     dealt = shared.join(sizes, "token").withColumn("_chunk", spread(["token", "class"], F.ceil(F.col("_rows") / group_rows)))
-    find = lambda group: _candidates(group, percent)
-    within = (
-        _met(dealt.drop("_rows"), lists).withColumn("known", F.lit(None).cast("long"))
-        .groupBy("token", "_chunk").applyInArrow(find, "a long, b long")
-    )
-    within = land(within.distinct())
+    within = _met(dealt.drop("_rows"), lists).withColumn("known", F.lit(None).cast("long"))
+    within = land(_found(within, ["token", "_chunk"], percent).distinct())
     large = land(sizes.filter(F.col("_rows") > group_rows))
     if large.isEmpty():
         return within
@@ -340,7 +377,7 @@ def candidate_edges(shared: DataFrame, percent: int, group_rows: int = GROUP_ROW
         F.sequence(F.lit(0).cast("long"), outer + inner - 1))
     rows = rows.withColumn("_own", own).withColumn("_other", F.explode(meets)).select(
         "token", "class", "at", "known", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"))
-    across = _met(rows, lists).groupBy("token", "_i", "_j").applyInArrow(find, "a long, b long")
+    across = _found(_met(rows, lists), ["token", "_i", "_j"], percent)
     return land(within.union(across).distinct())
 
 
@@ -412,7 +449,8 @@ def ngram_components(
     table = spark.sparkContext.broadcast(_frequency_table(shares, n_parts))  # 2 ** TABLE_BITS counts
     sets = first.filter(F.col("counts").isNull()).select("doc_id", "n", "hi", "lo")
     full = sets.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    classes = full.groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("class"))
+    # Written first, so that the join can split a class that very many documents are in.
+    classes = land(full.groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("class")))
     members = land(full.join(classes, ["hi", "lo", "n"]).select("doc_id", "class"))
 
     prefixes = texts.filter(F.col("doc_id").isNotNull()).mapInArrow(
