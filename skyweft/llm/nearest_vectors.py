@@ -29,60 +29,70 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from skyweft.llm.common import land, prepare, spread
 
 NEAREST = 20
-PROJECTIONS = 32
+PROJECTIONS = 64
 #: Share of the directions in which a vector has to collide.
-COLLISIONS = 0.65
-WIDER = 1.4
+COLLISIONS = 0.75
+WIDER = 1.1
 #: First window, as a share of the spread of the projected values.
-FIRST_WINDOW = 0.35
-#: Vectors to verify for each block, beyond the asked-for number.
-VERIFIED = 180
+FIRST_WINDOW = 0.1
+#: Share of a block's vectors to verify, beyond the asked-for number.
+VERIFIED = 0.25
+#: And at least so many.
+LEAST_VERIFIED = 400
+#: Rows that tell how far the windows have to open before all rows are counted.
+TRIAL_ROWS = 512
 VECTOR_ROWS, QUERY_ROWS = 8192, 2048
 SEED = 20
 
 
 class ProjectionIndex:
-    """Sorted projections of a block's vectors."""
+    """Sorted projections of a block's vectors, and each vector's place in every sorted array."""
 
     def __init__(self, vectors: np.ndarray, largest_norm: float):
         chance = np.random.default_rng(SEED)
         self.directions = chance.standard_normal((vectors.shape[1] + 1, PROJECTIONS))
-        self.norm = largest_norm
+        self.norm, self.rows = largest_norm, len(vectors)
         rest = np.sqrt(np.maximum(largest_norm**2 - (vectors**2).sum(axis=1), 0.0))
         values = np.column_stack([vectors, rest]) @ self.directions
-        self.order = np.argsort(values, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(values, self.order, axis=0)
+        order = np.argsort(values, axis=0, kind="stable")
+        self.sorted = np.ascontiguousarray(np.take_along_axis(values, order, axis=0).T)
+        self.place = np.empty((PROJECTIONS, self.rows), np.int32)
+        np.put_along_axis(self.place, order.T, np.arange(self.rows, dtype=np.int32)[None, :], axis=1)
+        self.trial = values[chance.permutation(self.rows)[:TRIAL_ROWS]]
         self.window = FIRST_WINDOW * float(values.std(axis=0).mean()) or 1.0
-        self.rows = len(vectors)
-        self.span = 2.0 * float(np.abs(values).max()) + 2.0 * largest_norm * float(np.abs(self.directions).sum())
-
-    def candidates(self, queries: np.ndarray, wanted: int):
-        """For each query the rows that collide often enough, at least ``wanted`` of them or all."""
+        self.least = int(np.ceil(COLLISIONS * PROJECTIONS))
+        #: From here on every window holds the whole array.
+        self.last_round = int(np.ceil(np.log(4 * np.abs(values).max() / self.window + 4) / np.log(WIDER))) if np.isfinite(
+            self.window) else 0
+
+    def _colliding(self, values: np.ndarray, reach: float) -> np.ndarray:
+        """Rows that lie in the query-centred windows of enough sorted arrays."""
+        low = np.array([np.searchsorted(a, v - reach, side="left") for a, v in zip(self.sorted, values, strict=True)])
+        high = np.array([np.searchsorted(a, v + reach, side="right") for a, v in zip(self.sorted, values, strict=True)])
+        inside = (self.place - low[:, None].astype(np.int32)).view(np.uint32) < (high - low)[:, None].astype(np.uint32)
+        return np.flatnonzero(inside.sum(axis=0, dtype=np.int16) >= self.least)
+
+    def candidates(self, queries: np.ndarray, nearest: int):
+        """For each query the rows that collide often enough: those asked for and the share to verify, or all."""
         scaled = queries * (self.norm / np.sqrt((queries**2).sum(axis=1)))[:, None]
-        values = scaled @ self.directions[:-1]
-        least = int(np.ceil(COLLISIONS * PROJECTIONS))
-        wanted = min(wanted, self.rows)
-        low = np.empty(values.shape, np.int64)
-        for p in range(PROJECTIONS):
-            low[:, p] = np.searchsorted(self.sorted[:, p], values[:, p])
-        high, counts = low.copy(), np.zeros((len(queries), self.rows), np.int16)
-        open_, reach = np.arange(len(queries)), self.window
-        while len(open_):
-            if not reach <= self.span:  # also where norms are too large for their squares
-                yield from ((q, np.arange(self.rows)) for q in open_.tolist())
-                return
-            for p in range(PROJECTIONS):
-                new_low = np.searchsorted(self.sorted[:, p], values[open_, p] - reach, side="left")
-                new_high = np.searchsorted(self.sorted[:, p], values[open_, p] + reach, side="right")
-                order = self.order[:, p]
-                for q, a, b in zip(open_.tolist(), new_low.tolist(), new_high.tolist(), strict=True):
-                    counts[q, order[a : low[q, p]]] += 1
-                    counts[q, order[high[q, p] : b]] += 1
-                    low[q, p], high[q, p] = min(a, low[q, p]), max(b, high[q, p])
-            found = (counts[open_] >= least).sum(axis=1)
-            for q in open_[found >= wanted].tolist():
-                yield q, np.flatnonzero(counts[q] >= least)
-            open_, reach = open_[found < wanted], reach * WIDER
+        wanted = min(self.rows, nearest + max(LEAST_VERIFIED, int(VERIFIED * self.rows)))
+        wanted_trial = wanted / self.rows * len(self.trial)
+        level = 0
+        for q, values in enumerate(scaled @ self.directions[:-1]):
+            away = np.abs(self.trial - values)
+            enough = lambda n: (
+                ((away <= self.window * WIDER**n).sum(axis=1) >= self.least).sum() >= wanted_trial)  # noqa: B023
+            while level < self.last_round and not enough(level):
+                level += 1
+            while level > 0 and enough(level - 1):
+                level -= 1
+            for further in range(level, self.last_round):
+                rows = self._colliding(values, self.window * WIDER**further)
+                if len(rows) >= wanted:
+                    yield q, rows
+                    break
+            else:
+                yield q, np.arange(self.rows)
 
 
 def _matrix(column: pa.ChunkedArray, n: int) -> np.ndarray:
@@ -103,18 +113,21 @@ def _searched(queries: pa.Table, vectors: pa.Table, nearest: int, largest_norm:
     index = ProjectionIndex(distinct, largest_norm)
     asked, asked_ids = _matrix(queries.column("vector"), queries.num_rows), queries.column("vec_id").to_pylist()
     out: list[tuple[int, int, float]] = []
-    for start in range(0, len(asked), 128):
-        for q, rows in index.candidates(asked[start : start + 128], VERIFIED + nearest):
-            scores = (distinct[rows] * asked[start + q]).sum(axis=1)
-            own, best = asked_ids[start + q], []
-            for row, score in sorted(zip(rows.tolist(), scores.tolist(), strict=True), key=lambda x: -x[1]):
-                if len(best) > nearest and score < best[nearest - 1][0]:
-                    break
-                same = ids[by_kind[firsts[row] : firsts[row + 1]][: nearest + 1]]
-                best += [(score, v) for v in same.tolist() if v != own]
-                best.sort(key=lambda x: (-x[0], x[1]))
-                del best[nearest + 1 :]
-            out += [(own, v, score) for score, v in best[:nearest]]
+    for q, rows in index.candidates(asked, nearest):
+        own, best = asked_ids[q], []
+        close = distinct[rows] @ asked[q]
+        if len(rows) > nearest + 1:  # a last digit may differ from the score itself
+            least = np.partition(close, -nearest - 1)[-nearest - 1]
+            rows = rows[~(close < least - 1e-9 * max(1.0, abs(least)))]
+        scores = (distinct[rows] * asked[q]).sum(axis=1)
+        for row, score in sorted(zip(rows.tolist(), scores.tolist(), strict=True), key=lambda x: -x[1]):
+            if len(best) > nearest and score < best[nearest - 1][0]:
+                break
+            same = ids[by_kind[firsts[row] : firsts[row + 1]][: nearest + 1]]
+            best += [(score, v) for v in same.tolist() if v != own]
+            best.sort(key=lambda x: (-x[0], x[1]))
+            del best[nearest + 1 :]
+        out += [(own, v, score) for score, v in best[:nearest]]
     columns = list(zip(*out, strict=True)) or [[]] * 3
     return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
