@@ -6,8 +6,8 @@ The cube method moves these probabilities three documents at a time along the
 direction in which neither the sum of sizes nor the number of documents changes,
 until one of the three is 0 or 1. A source's documents are dealt to groups of
 bounded size; what a group cannot settle, at most two documents, goes on to the
-next level, where groups are dealt anew. The last group of a source lands its rest
-at whichever of the possible ends is nearest in size.
+next level, where groups are dealt anew. The last group of a source stops a dozen
+documents short: that small landing problem is solved by trying all its ends.
 
 Chance comes from hashes of doc_id and ``seed`` alone, so reruns agree.
 
@@ -21,6 +21,7 @@ from __future__ import annotations
 import random
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -29,6 +30,8 @@ from skyweft.llm.common import WORD, land, prepare, spread
 WEIGHTS = (1, 2, 3)
 MOST_REPEATS = 3
 GROUP_ROWS = 2000
+#: Documents of a source that are spared for the landing; with two more it has 2 ** (LANDED + 2) ends.
+LANDED = 10
 SETTLED = 1e-9
 
 
@@ -55,11 +58,11 @@ def source_targets(sized: DataFrame, weights: Sequence[int] = WEIGHTS, most: int
     return table.select("source", "source_size", "n_docs", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
-def flight(sizes: list[int], chances: list[float], draw: random.Random) -> list[float]:
-    """Chances after moving them in threes; at most two are left that are neither 0 nor 1."""
+def flight(sizes: list[int], chances: list[float], draw: random.Random, spared: int = 0) -> list[float]:
+    """Chances after moving them in threes; beside the last ``spared``, at most two are left that are neither 0 nor 1."""
     left = list(chances)
     open_: list[int] = []
-    for i in range(len(left)):
+    for i in range(max(0, len(left) - spared)):
         if not SETTLED < left[i] < 1 - SETTLED:
             left[i] = float(round(left[i]))
             continue
@@ -84,19 +87,25 @@ def flight(sizes: list[int], chances: list[float], draw: random.Random) -> list[
 
 
 def landing(sizes: list[int], chances: list[float]) -> list[float]:
-    """Settle the last open chances at the end whose size is nearest to what they ask for."""
+    """Settle the few open chances at the end whose sizes, then number, are nearest to what they ask for."""
     open_ = [i for i, p in enumerate(chances) if 0 < p < 1]
-    asked = sum(sizes[i] * chances[i] for i in open_)
-    ends = range(1 << len(open_))
-    end = min(ends, key=lambda e: (abs(sum(sizes[i] for k, i in enumerate(open_) if e >> k & 1) - asked), e))
-    return [float(end >> open_.index(i) & 1) if i in open_ else p for i, p in enumerate(chances)]
+    taken = np.arange(1 << len(open_))[:, None] >> np.arange(len(open_)) & 1
+    size, chance = np.array([sizes[i] for i in open_], float), np.array([chances[i] for i in open_], float)
+    off = np.round(np.abs(taken @ size - size @ chance), 6)
+    number = np.round(np.abs(taken.sum(axis=1) - chance.sum()), 6)
+    end = taken[np.lexsort((number, off))[0]]
+    settled = list(chances)
+    for i, s in zip(open_, end.tolist(), strict=True):
+        settled[i] = float(s)
+    return settled
 
 
 def _moved(group: pd.DataFrame, seed: int) -> pd.DataFrame:
-    group = group.sort_values(["_order", "doc_id", "size"], kind="stable")
+    last = group["_parts"].iloc[0] == 1  # there the largest are landed: their sizes combine to nearly any sum
+    group = group.sort_values([*["size"] * last, "_order", "doc_id"], kind="stable")
     sizes, draw = group["size"].tolist(), random.Random(int(group["_order"].iloc[0]) ^ seed)
-    left = flight(sizes, group["chance"].tolist(), draw)
-    if group["_parts"].iloc[0] == 1:
+    left = flight(sizes, group["chance"].tolist(), draw, LANDED if last else 0)
+    if last:
         left = landing(sizes, left)
     return group.assign(chance=left).drop(columns=["_order", "_part", "_parts"])
 
