@@ -101,8 +101,8 @@ def landing(sizes: list[int], chances: list[float]) -> list[float]:
 
 
 def _moved(group: pd.DataFrame, seed: int) -> pd.DataFrame:
-    last = group["_parts"].iloc[0] == 1  # there the largest are landed: their sizes combine to nearly any sum
-    group = group.sort_values([*["size"] * last, "_order", "doc_id"], kind="stable")
+    last = int(group["_parts"].iloc[0]) == 1  # there the largest are landed: their sizes combine to nearly any sum
+    group = group.sort_values(["size", "_order", "doc_id"] if last else ["_order", "doc_id", "size"], kind="stable")
     sizes, draw = group["size"].tolist(), random.Random(int(group["_order"].iloc[0]) ^ seed)
     left = flight(sizes, group["chance"].tolist(), draw, LANDED if last else 0)
     if last:
