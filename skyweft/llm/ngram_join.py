@@ -9,7 +9,8 @@ components. The join is exact on the sets:
    sets one global order, frequent shingles last. Any order gives right results;
    this one keeps passages that very many documents share out of the prefixes.
 3. Similar sets share a shingle among the first ``n - ceil(t n) + 1`` in that order.
-   Prefix shingles that only one class has are dropped; few are left.
+   Prefix shingles that only one class has are dropped, and of those that the same
+   classes have all but the first; few are left.
 4. Classes that share a prefix shingle meet, each with the rest of its prefix. The
    rests are stored in a trie; every class walks it, sharing the overlap of common
    paths, and leaves subtrees whose remaining length cannot reach the overlap that
@@ -312,6 +313,20 @@ def _met(rows: DataFrame, lists: DataFrame) -> DataFrame:
     return rows.join(lists, "class").withColumn("rest", F.transform(later, lambda x: x["token"])).drop("_list")
 
 
+def _telling(rows: DataFrame) -> DataFrame:
+    """Rows (token, class, place, ...) of the first token of every different group of classes.
+
+    Tokens that the same classes share say the same about them. All pairs of such
+    classes have these tokens in common, so only the first in the global order can
+    be the first of any pair. Groups are told apart by two 64-bit sums of hashes.
+    """
+    groups = rows.groupBy("token").agg(
+        F.count(F.lit(1)).alias("_rows"), F.bit_xor(F.xxhash64("class")).alias("_x"),
+        F.bit_xor(F.xxhash64("class", F.lit(1))).alias("_y"), F.min_by("place", "class").alias("_place"))
+    first = groups.filter(F.col("_rows") > 1).groupBy("_rows", "_x", "_y").agg(F.min_by("token", "_place").alias("token"))
+    return rows.join(first.select("token"), "token")
+
+
 def _viable(rows: DataFrame, percent: int) -> DataFrame:
     """Rows (token, class, n, place, rest) that sizes and remaining lengths in their token's group do not exclude.
 
@@ -352,7 +367,7 @@ def candidate_edges(shared: DataFrame, percent: int, group_rows: int = GROUP_ROW
     all_lists = shared.groupBy("class").agg(F.max(F.shiftright("at", 32)).alias("n"), listed)
     rows = all_lists.select("class", "n", F.size("_list").alias("_size"), F.posexplode("_list").alias("_i", "_x")).select(
         "_x.token", "class", "n", "_x.place", (F.col("_size") - F.col("_i") - 1).alias("rest"))
-    rows = land(_viable(land(_viable(rows, percent)), percent))
+    rows = land(_viable(land(_viable(land(_telling(land(rows))), percent)), percent))
     shared = land(rows.select("token", "class", (F.shiftleft("n", 32) + F.col("place")).alias("at")))
     lists = all_lists.select("class", "_list").join(shared.select("class").distinct(), "class", "left_semi")
     sizes = shared.groupBy("token").agg(F.count(F.lit(1)).alias("_rows"))
