@@ -54,6 +54,8 @@ GROUP_ROWS = 4096
 ROWS_AT_ONCE = 2000
 SEEN_SETS = 200_000
 HASHED_BYTES = 1 << 20
+#: Bits of the filter that tells which texts need not be looked at again. When full, it lets all through.
+FILTER_BITS = 23
 _BASE = 0x9E3779B97F4A7C15
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -171,12 +173,12 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], words: int, percent: int, table: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(token, doc_id, n * 2 ** 32 + place) of prefix shingles; a set met before in the task is left out."""
+    """(token, digest, doc_id, n * 2 ** 32 + place) of prefix shingles; a set met before in the task is left out."""
     seen: set[bytes] = set()
     for batch in batches:
         for start in range(0, batch.num_rows, SLICE_ROWS):
             part = batch.slice(start, SLICE_ROWS)
-            tokens, owners, places = [], [], []
+            tokens, digests, owners, places = [], [], [], []
             with np.errstate(over="ignore"):
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     shingles = shingle_set(text, words)
@@ -189,10 +191,11 @@ def _prefixes(batches: Iterator[pa.RecordBatch], words: int, percent: int, table
                     seen.add(digest)
                     prefix = shingles[np.argsort(table[_bucket(shingles)], kind="stable")[: prefix_length(n, percent)]]
                     tokens.append(prefix.view(np.int64))
+                    digests.append(np.full(len(prefix), np.frombuffer(digest, np.int64)[0]))
                     owners.append(np.full(len(prefix), doc_id, np.int64))
                     places.append((n << 32) + np.arange(len(prefix), dtype=np.int64))
-            joined = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (tokens, owners, places)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in joined], names=["token", "doc_id", "at"])
+            joined = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (tokens, digests, owners, places)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in joined], names=["token", "digest", "doc_id", "at"])
 
 
 # Candidates
@@ -361,9 +364,12 @@ def _found(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
 
 
 def candidate_edges(shared: DataFrame, percent: int, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Edges (a, b) that connect all classes which may be linked. ``shared``: a written table (token, class, at)."""
+    """Edges (a, b) that connect all classes which may be linked.
+
+    ``shared``: a written table (token, class, at); a class may have a row more than once.
+    """
     place = F.col("at").bitwiseAND(0xFFFFFFFF)
-    listed = F.array_sort(F.collect_list(F.struct(place.alias("place"), "token"))).alias("_list")
+    listed = F.array_sort(F.collect_set(F.struct(place.alias("place"), "token"))).alias("_list")
     all_lists = shared.groupBy("class").agg(F.max(F.shiftright("at", 32)).alias("n"), listed)
     rows = all_lists.select("class", "n", F.size("_list").alias("_size"), F.posexplode("_list").alias("_i", "_x")).select(
         "_x.token", "class", "n", "_x.place", (F.col("_size") - F.col("_i") - 1).alias("rest"))
@@ -429,16 +435,22 @@ def _true_links(docs: DataFrame, clusters: DataFrame, words: int, percent: int,
     chunks = F.ceil(F.col("_rows") / group_rows)
     members = clusters.join(sizes, "component").select(
         F.col("node").alias("doc_id"), "component", spread(["node"], chunks).alias("_own"), chunks.alias("_chunks"))
-    texts = docs.select("doc_id", "text").join(members, "doc_id")
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS))
+    bits = clusters.select(bit("node").alias("_bit")).groupBy(F.shiftright("_bit", 5).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(_bit & 31 as int))")).alias("bits")).collect()  # 2 ** (FILTER_BITS - 5) rows
+    marked = np.zeros(1 << FILTER_BITS - 5, np.int64)
+    marked[[row.word for row in bits]] = [row.bits for row in bits]
+    shared = docs.sparkSession.sparkContext.broadcast(np.unpackbits(marked.astype("<u4").view(np.uint8), bitorder="little"))
 
     def as_sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+        batch = batch.filter(pa.array(shared.value[batch.column(2).to_numpy()] > 0))
         with np.errstate(over="ignore"):
             sets = [shingle_set(text, words).tobytes() for text in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), *batch.columns[2:], pa.array(sets, pa.binary())],
-            names=["class", "component", "_own", "_chunks", "shingles"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
 
-    sets = map_slices(texts, as_sets, "class long, component long, _own long, _chunks long, shingles binary")
+    named = docs.select("doc_id", "text", bit("doc_id").alias("_bit")).filter(F.col("doc_id").isNotNull())
+    sets = map_slices(named, as_sets, "doc_id long, shingles binary").join(members, "doc_id")
+    sets = sets.withColumnRenamed("doc_id", "class")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_chunks") - 1)).alias("_other")
     dealt = sets.select("class", "component", "_own", "shingles", other).select(
         "class", "component", "shingles", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"))
@@ -469,12 +481,11 @@ def ngram_components(
     members = land(full.join(classes, ["hi", "lo", "n"]).select("doc_id", "class"))
 
     prefixes = texts.filter(F.col("doc_id").isNotNull()).mapInArrow(
-        lambda batches: _prefixes(batches, words, percent, table.value), "token long, doc_id long, at long")
-    met = prefixes.groupBy("token").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b"))
+        lambda batches: _prefixes(batches, words, percent, table.value),
+        "token long, digest long, doc_id long, at long")
+    met = prefixes.groupBy("token").agg(F.min("digest").alias("_a"), F.max("digest").alias("_b"))
     met = met.filter(F.col("_a") != F.col("_b")).select("token")
-    shared = land(prefixes.join(met, "token").join(members, "doc_id").select("token", "class", "at").distinct())
-    several = shared.groupBy("token").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).select("token")
-    shared = land(shared.join(several, "token"))
+    shared = land(prefixes.join(met, "token").join(members, "doc_id").select("token", "class", "at"))
 
     clusters = connected_components(candidate_edges(shared, percent, group_rows))
     links = land(_true_links(docs, clusters, words, percent, group_rows).distinct())
