@@ -41,8 +41,8 @@ def build_parser() -> argparse.ArgumentParser:
     parser.add_argument("--out", default="data/processed/matches")
     parser.add_argument("--plot-data", default=None)
     parser.add_argument("--threshold-arcsec", type=float, default=2.0)
-    parser.add_argument("--gaia-limit", type=int, default=20000)
-    parser.add_argument("--simbad-limit", type=int, default=100)
+    parser.add_argument("--gaia-limit", type=int, default=None)
+    parser.add_argument("--simbad-limit", type=int, default=None)
     return parser
 
 

@@ -20,9 +20,9 @@ class FieldConfig:
     ra: float
     dec: float
     radius: float
-    gaia_limit: int | None = 20000
+    gaia_limit: int | None = None
     match_threshold_arcsec: float = 2.0
-    known_object_limit: int | None = 100
+    known_object_limit: int | None = None
     known_object_radius_arcsec: float = 2.0
     gaia_epoch: float = OPTICAL_EPOCH
     wise_epoch: float = INFRARED_EPOCH

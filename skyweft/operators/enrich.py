@@ -8,7 +8,6 @@ from skyweft.operators.nearest import NearestOptions, crossmatch_nearest
 from skyweft.operators.skew import hot_keys, salted_join
 from skyweft.operators.topk import first_rows
 
-MAX_BROADCAST_LIMIT = 50_000
 
 
 def join_tic(
@@ -36,7 +35,7 @@ def join_tic(
     densest = lookup.groupBy("_key").count().agg(F.max("count")).first()[0] or 0
     if densest <= max_rows_per_key:
         return keyed.join(lookup, "_key", "left").drop("_key")
-    hot = F.broadcast(hot_keys(lookup, ["_key"], max_rows_per_key).select("_key"))
+    hot = hot_keys(lookup, ["_key"], max_rows_per_key).select("_key")
     ordinary = keyed.join(hot, "_key", "left_anti").join(lookup.join(hot, "_key", "left_anti"), "_key", "left")
     crowded = salted_join(
         lookup.join(hot, "_key", "left_semi"), keyed.join(hot, "_key", "left_semi"), ["_key"], "tic_id",
@@ -91,19 +90,30 @@ def flag_known_objects(
     ra: str = "gaia_ra",
     dec: str = "gaia_dec",
     radius_arcsec: float = 2.0,
-    limit: int | None = 100,
+    limit: int | None = None,
     options: NearestOptions = NearestOptions(),
 ) -> DataFrame:
-    """Look up the first ``limit`` rows by key: 1 found, 0 not found, NULL not looked up."""
-    checked = matches.select(key, ra, dec)
-    if limit is not None:
-        checked = first_rows(checked, key, limit)
-    found = _nearest_known(checked, simbad, key, ra, dec, radius_arcsec, options).select(
-        key,
-        F.col("_known_main_id").isNotNull().cast("int").alias("known_in_simbad"),
-        F.col("_known_main_id").alias("simbad_main_id"),
-        F.col("_known_otype").alias("simbad_type"),
+    """Look up known objects: 1 found, 0 not found.
+
+    With a ``limit``, only rows whose key is among its ``limit`` smallest are looked
+    up, and the others get NULL. All columns go through the one nearest join, so a
+    repeated key keeps its number of rows.
+    """
+
+    def looked_up(rows: DataFrame) -> DataFrame:
+        return _nearest_known(rows, simbad, key, ra, dec, radius_arcsec, options).select(
+            *[F.col(f"`{c}`") for c in matches.columns],
+            F.col("_known_main_id").isNotNull().cast("int").alias("known_in_simbad"),
+            F.col("_known_main_id").alias("simbad_main_id"),
+            F.col("_known_otype").alias("simbad_type"),
+        )
+
+    if limit is None:
+        return looked_up(matches)
+    last = first_rows(matches.select(key), key, limit).agg(F.max(key)).scalar()
+    chosen = F.coalesce(F.col(key) <= last, F.lit(False))
+    rest = matches.filter(~chosen).select(
+        "*", F.lit(None).cast("int").alias("known_in_simbad"), F.lit(None).cast("string").alias("simbad_main_id"),
+        F.lit(None).cast("string").alias("simbad_type"),
     )
-    if limit is not None and limit <= MAX_BROADCAST_LIMIT:
-        found = F.broadcast(found)
-    return matches.join(found, key, "left")
+    return looked_up(matches.filter(chosen)).union(rest)

@@ -78,23 +78,20 @@ def _grow(rows: pd.DataFrame, features: Sequence[str], seed: int) -> pd.DataFram
 def draw_subsamples(
     df: DataFrame, n_rows: int, features: Sequence[str], key: str, trees: int, max_samples: int, seed: int
 ) -> DataFrame:
-    """``max_samples`` rows per tree, drawn without replacement by hash of the row key.
+    """``max_samples`` rows per tree, drawn without replacement from the whole table by hash of the row key.
 
-    A bounded pool of rows with the smallest hashes is a uniform sample of the
-    table; each tree draws from that pool by a hash of its own. A hash threshold
-    thins a large table to about twice the pool before the pool is ordered.
+    In one pass every row is offered to all trees; a tree takes it when its own
+    hash of the key is below a threshold that lets about twice as many rows
+    through as it needs, and keeps those with the smallest hashes.
     """
-    size = trees * max_samples
-    draw = F.xxhash64(F.lit(seed), "_key")
-    pool = df.select(F.col(key).alias("_key"), *features).withColumn("_draw", draw)
-    if n_rows > 4 * size:
-        pool = pool.filter(F.col("_draw") < F.lit(int(-(2**63) + 2**64 * (2 * size / n_rows))))
-    pool = pool.orderBy("_draw", "_key").limit(size)
-    dealt = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn(
-        "_draw", F.xxhash64(F.lit(seed), "tree", "_key")
-    )
+    share = min(1.0, 2 * max_samples / max(1, n_rows))
+    below = F.lit(int(-(2**63) + (2**64 - 1) * share)) if share < 1 else F.lit(2**63 - 1)
+    own = lambda tree: F.xxhash64(F.lit(seed), tree, F.col("_key"))
+    offered = df.select(F.col(key).alias("_key"), *features).withColumn(
+        "tree", F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: own(tree) <= below)))
     first = Window.partitionBy("tree").orderBy("_draw", "_key")
-    return dealt.withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= max_samples)
+    drawn = offered.withColumn("_draw", own(F.col("tree"))).withColumn("_rank", F.row_number().over(first))
+    return drawn.filter(F.col("_rank") <= max_samples)
 
 
 def fit_isolation_forest(

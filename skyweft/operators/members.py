@@ -47,12 +47,13 @@ def match_members(
 def mark_listed(matches: DataFrame, member_matches: DataFrame, *, key: str = "gaia_source_id") -> DataFrame:
     """Write list membership and probability onto our rows.
 
-    Where several listed members fall on one source, the last in list order counts.
+    Where several listed members fall on one source, the last in list order counts,
+    and of equals in that order the more probable one.
     """
     last = (
         member_matches.filter(F.col("source_key").isNotNull())
         .groupBy(F.col("source_key").alias(key))
-        .agg(F.max_by("proba", "ordinal").alias("list_proba"), F.lit(True).alias("_listed"))
+        .agg(F.max_by("proba", F.struct("ordinal", "proba")).alias("list_proba"), F.lit(True).alias("_listed"))
     )
     return matches.join(last, key, "left").withColumn("in_list", flag(F.col("_listed"))).drop("_listed")
 

@@ -6,23 +6,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-MAX_HOT_KEYS = 1000
 SALT = "_salt"
 PARTS = "_parts"
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int) -> DataFrame:
-    """Keys with more than ``min_rows`` rows and more than 1/1000 of all rows.
-
-    By the second condition there are fewer than ``MAX_HOT_KEYS`` of them
-    whatever the size of ``df``, so the result may be broadcast. ``_parts`` says
-    into how many pieces a key has to be split to get below the limit.
-    """
+    """Keys with more than ``min_rows`` rows; ``_parts`` says into how many pieces of that size each has to be split."""
     tally = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    total = tally.agg(F.sum("_rows")).scalar()
-    limit = F.greatest(F.lit(float(min_rows)), total / F.lit(float(MAX_HOT_KEYS)))
-    return tally.filter(F.col("_rows") > limit).select(
-        *keys, F.ceil(F.col("_rows") / limit).cast("int").alias(PARTS)
+    return tally.filter(F.col("_rows") > min_rows).select(
+        *keys, F.ceil(F.col("_rows") / F.lit(float(min_rows))).cast("int").alias(PARTS)
     )
 
 
@@ -40,7 +32,7 @@ def salted_join(
     ``spread_by``; only the matching rows of ``one`` are copied to them.
     """
     keys = list(keys)
-    hot = F.broadcast(hot_keys(many, keys, min_rows))
+    hot = hot_keys(many, keys, min_rows)
     parts = F.coalesce(F.col(PARTS), F.lit(1))
     spread = many.join(hot, keys, "left").withColumn(SALT, F.pmod(F.xxhash64(spread_by), parts).cast("int"))
     copies = one.join(hot, keys, "left").withColumn(SALT, F.explode(F.sequence(F.lit(0), parts - 1)))

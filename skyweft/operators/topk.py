@@ -2,22 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
-
-DIRECT_ROWS = 1000
-LANES = 64
+from pyspark.sql import DataFrame
 
 
 def first_rows(df: DataFrame, key: str, n: int) -> DataFrame:
-    """The ``n`` rows with the smallest keys.
-
-    A small ``n`` is a plain ordered limit, where every task hands over at most
-    ``n`` rows. A large one first reduces hash lanes side by side, so the final
-    task sees ``LANES * n`` rows however many input partitions there are.
-    """
-    if n > DIRECT_ROWS:
-        lane = F.pmod(F.xxhash64(key), F.lit(LANES))
-        place = F.row_number().over(Window.partitionBy("_lane").orderBy(key))
-        df = df.withColumn("_lane", lane).withColumn("_place", place).filter(F.col("_place") <= n)
-        df = df.drop("_lane", "_place")
+    """The ``n`` rows with the smallest keys; every task hands over at most ``n`` rows."""
     return df.orderBy(key).limit(n)

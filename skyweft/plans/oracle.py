@@ -228,12 +228,10 @@ _RELATIONS: dict[str, str] = {
         "SELECT lk, rk, sep, 2e0/0.26e0 * exp(-(sep*sep)/(2e0*0.26e0)) AS b FROM nn_pm"
     ),
     "nn_quick_known": _nearest("g", "source_id", "ra", "dec", "simbad", "main_id", "ra", "dec", 2.0),
-    "quick_first": "SELECT lk FROM nn_pm ORDER BY lk LIMIT 100",
     "raw_first": "SELECT lk FROM nn_raw ORDER BY lk LIMIT 100",
-    "g_smoke": f"SELECT * FROM g WHERE {_cone(119.5, -60.83, 0.05)} ORDER BY source_id LIMIT 2000",
+    "g_smoke": f"SELECT * FROM g WHERE {_cone(119.5, -60.83, 0.05)}",
     "w_smoke": f"SELECT * FROM w WHERE {_cone(119.5, -60.83, 0.05)}",
     "nn_smoke": _nearest("g_smoke", "source_id", "ra", "dec", "w_smoke", "designation", "ra", "dec", 2.0),
-    "smoke_first": "SELECT lk FROM nn_smoke ORDER BY lk LIMIT 50",
 }
 
 
@@ -280,7 +278,8 @@ _CURVE = "SELECT CAST(NULL AS DOUBLE) AS threshold, 0e0 AS fpr, 0e0 AS tpr UNION
 _NAMES = ", ".join(f"'{n}'" for n in CLUSTER_NAMES)
 
 _QUERIES: dict[str, str] = {
-    "scan_cone": f"SELECT {_plain(QUICK, {'source_id'})} FROM g WHERE {_cone(RA0, DEC0, R0)} ORDER BY source_id LIMIT 20000",
+    "scan_cone": f"SELECT {_plain(QUICK, {'source_id'})} FROM g WHERE {_cone(RA0, DEC0, R0)}",
+    "scan_cone_top": f"SELECT {_plain(QUICK, {'source_id'})} FROM g WHERE {_cone(RA0, DEC0, R0)} ORDER BY source_id LIMIT 1500",
     "scan_gaia_filtered": (
         f"SELECT {_plain(FULL, {'source_id'})} FROM g WHERE {_cone(RA0, DEC0, R0)} AND phot_g_mean_mag < 19e0 AND parallax IS NOT NULL"
     ),
@@ -337,7 +336,7 @@ _QUERIES: dict[str, str] = {
     ),
     "quick_run": (
         "SELECT k.*, round(g.bp_rp, 6) AS gaia_bp_rp, round(g.phot_g_mean_mag, 6) AS gaia_phot_g_mean_mag FROM ("
-        + _checked("quick", "quick_first",
+        + _checked("quick", None,
                    "b.lk AS gaia_source_id, b.rk AS wise_designation, round(sep, 6) AS distance_arcsec,"
                    " round(b.b/(1e0 + b.b), 6) AS posterior_match".replace("round(sep", "round(b.sep"))
         + ") k JOIN g ON k.gaia_source_id = g.source_id"
@@ -345,11 +344,11 @@ _QUERIES: dict[str, str] = {
     "quick_run_summary": (
         "SELECT (SELECT count(*) FROM g) AS total_gaia, (SELECT count(*) FROM w) AS total_wise,"
         " (SELECT count(*) FROM nn_raw) AS matches_raw, count(*) AS matches_pm, count(known_in_simbad) AS checked,"
-        " CAST(coalesce(sum(known_in_simbad), 0) AS BIGINT) AS known FROM (" + _checked("quick", "quick_first", "b.lk") + ")"
+        " CAST(coalesce(sum(known_in_simbad), 0) AS BIGINT) AS known FROM (" + _checked("quick", None, "b.lk") + ")"
     ),
     "smoke_crossmatch": (
         "SELECT k.*, round(g.ra, 6) AS gaia_ra, round(g.dec, 6) AS gaia_dec, round(w.ra, 6) AS wise_ra, round(w.dec, 6) AS wise_dec FROM ("
-        + _checked("nn_smoke", "smoke_first",
+        + _checked("nn_smoke", None,
                    "b.lk AS gaia_source_id, b.rk AS wise_designation, round(b.sep, 6) AS distance_arcsec")
         + ") k JOIN g ON k.gaia_source_id = g.source_id JOIN w ON k.wise_designation = w.designation"
     ),

@@ -13,13 +13,13 @@ from skyweft.operators.assign import one_to_one
 from skyweft.operators.nearest import crossmatch_nearest
 from skyweft.plans import crossmatch as xm, validation
 from skyweft.plans.survey import CLUSTER_NAMES, FIELD_CONE, FIELD_RADIUS_DEG, Survey
-from skyweft.session import cut_lineage
+from skyweft.session import cut_lineage, ship_code
 from skyweft.sources import catalogs, schemas
 from skyweft.sources.conform import conform, prefixed
 
 Query = Callable[[SparkSession, str], DataFrame]
 FIELD = FieldConfig(*FIELD_CONE)
-SMOKE_FIELD = FieldConfig(119.5, -60.83, 0.05, gaia_limit=2000, known_object_limit=50)
+SMOKE_FIELD = FieldConfig(119.5, -60.83, 0.05)
 _QUERIES: dict[str, Query] = {}
 
 
@@ -27,6 +27,7 @@ def query(function: Callable[[Survey], DataFrame]) -> Callable[[Survey], DataFra
     """Register a function of the survey under its own name."""
 
     def run(spark: SparkSession, table_dir: str) -> DataFrame:
+        ship_code(spark)
         return function(Survey(spark, table_dir))
 
     _QUERIES[function.__name__] = run
@@ -110,7 +111,13 @@ def _count(name: str) -> Column:
 
 @query
 def scan_cone(s: Survey) -> DataFrame:
-    return rounded(catalogs.scan_gaia_quick(s.gaia, FIELD_CONE, FIELD.gaia_limit, clean=False))
+    return rounded(catalogs.scan_gaia_quick(s.gaia, FIELD_CONE, clean=False))
+
+
+@query
+def scan_cone_top(s: Survey) -> DataFrame:
+    """The cone scan with an explicit limit."""
+    return rounded(catalogs.scan_gaia_quick(s.gaia, FIELD_CONE, limit=1500, clean=False))
 
 
 @query
@@ -267,14 +274,14 @@ def quick_run_summary(s: Survey) -> DataFrame:
 
 @query
 def smoke_crossmatch(s: Survey) -> DataFrame:
-    """A small cone, matched without epoch correction, with the first 50 rows looked up."""
+    """A small cone, matched without epoch correction, with all rows looked up."""
     cone = (SMOKE_FIELD.ra, SMOKE_FIELD.dec, SMOKE_FIELD.radius)
-    gaia = catalogs.scan_gaia_quick(s.gaia, cone, SMOKE_FIELD.gaia_limit, clean=False)
+    gaia = catalogs.scan_gaia_quick(s.gaia, cone, clean=False)
     wise = catalogs.scan_allwise(s.wise, cone)
     matched = cut_lineage(
         crossmatch_nearest(gaia.select("source_id", "ra", "dec"), wise.select("designation", "ra", "dec"))
     )
-    return rounded(enrich.flag_known_objects(matched, s.simbad, limit=SMOKE_FIELD.known_object_limit))
+    return rounded(enrich.flag_known_objects(matched, s.simbad))
 
 
 # Bayes factors, priors and posteriors
@@ -415,7 +422,7 @@ def simbad_lookup_limit(s: Survey) -> DataFrame:
 @query
 def simbad_lookup_all(s: Survey) -> DataFrame:
     matched = cut_lineage(xm.quick_match_raw(s.gaia, s.wise, FIELD).select("gaia_source_id", "gaia_ra", "gaia_dec"))
-    found = enrich.flag_known_objects(matched, s.simbad, limit=None)
+    found = enrich.flag_known_objects(matched, s.simbad)
     return found.select("gaia_source_id", "known_in_simbad", "simbad_main_id", "simbad_type")
 
 

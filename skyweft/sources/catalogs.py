@@ -25,7 +25,7 @@ def in_cone(df: DataFrame, cone: Cone | None) -> DataFrame:
 
 
 def scan_gaia_quick(
-    df: DataFrame, cone: Cone | None = None, limit: int | None = 20000, clean: bool = True
+    df: DataFrame, cone: Cone | None = None, limit: int | None = None, clean: bool = True
 ) -> DataFrame:
     """The 14-column optical scan; ``limit`` keeps the smallest identifiers."""
     rows = conform(in_cone(df, cone), schemas.GAIA_QUICK, clean)

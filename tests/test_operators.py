@@ -49,13 +49,19 @@ def test_assignment_tie_and_group_limit(spark):
     assert "WindowGroupLimit" in plan_text(chosen)
 
 
-def test_first_rows_small_and_large(spark, monkeypatch):
-    df = spark.range(500).select(((F.col("id") * 37) % 500).alias("key"))
-    assert [r.key for r in first_rows(df, "key", 20).collect()] == list(range(20))
-    monkeypatch.setattr("skyweft.operators.topk.DIRECT_ROWS", 10)
-    large = first_rows(df, "key", 30)
-    assert sorted(r.key for r in large.collect()) == list(range(30))
-    assert "WindowGroupLimit" in plan_text(large)
+def test_first_rows_small_and_large(spark):
+    df = spark.range(5000).select(((F.col("id") * 37) % 5000).alias("key"))
+    for n in (20, 3000):
+        assert [r.key for r in first_rows(df, "key", n).collect()] == list(range(n))
+
+
+def test_known_object_flag_keeps_repeated_keys(spark):
+    matches = spark.createDataFrame([(1, 10.0, 0.0), (1, 10.0, 0.0), (2, 20.0, 0.0)], "gaia_source_id long, gaia_ra double, gaia_dec double")
+    simbad = spark.createDataFrame([("A", "Star", 10.0, 0.0)], "main_id string, otype string, ra double, dec double")
+    for limit in (None, 1):
+        rows = enrich.flag_known_objects(matches, simbad, limit=limit).collect()
+        expected = [(1, 1), (1, 1), (2, 0 if limit is None else None)]
+        assert sorted(((r.gaia_source_id, r.known_in_simbad) for r in rows), key=lambda x: x[0]) == expected
 
 
 # Enrichment
