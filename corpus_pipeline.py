@@ -42,7 +42,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that an earlier document has."""
-    return line_dedup.dedup_lines(docs, carry=tuple(docs.columns)).select(*docs.columns)
+    return line_dedup.dedup_lines(docs, carry=tuple(docs.columns), report=False)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -103,8 +103,13 @@ def cleaned(text: str, repeats: list[int], least_words: int) -> tuple[str, int,
     return "".join(kept) if removed else text, len(units), removed
 
 
-def dedup_lines(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), least_words: int = LEAST_WORDS) -> DataFrame:
-    """The columns ``carry`` and the cleaned text, with _n_units and _removed, an array of (start, end)."""
+def dedup_lines(
+    docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), least_words: int = LEAST_WORDS, report: bool = True
+) -> DataFrame:
+    """The columns ``carry`` with the cleaned text, where they name it or else after them.
+
+    With ``report`` come _n_units and _removed, an array of (start, end), as well.
+    """
     prepare(docs.sparkSession)
     rank = F.coalesce(F.col("doc_id"), F.lit(_LAST)).alias("_rank")
     units = land(map_slices(docs.select(rank, "text"), _first_units, "_rank long, _place int, _hi long, _lo long"))
@@ -112,20 +117,21 @@ def dedup_lines(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), least_wor
     first = first.filter(F.col("_first") != F.col("_other")).select("_hi", "_lo", "_first")
     repeats = units.join(first, ["_hi", "_lo"]).filter(F.col("_rank") > F.col("_first"))
     repeats = repeats.groupBy("_rank").agg(F.collect_set("_place").alias("_repeats"))
-    carried = [c for c in carry if c != "text"]
-    rows = docs.select(*carried, "text", rank).join(repeats, "_rank", "left").select(*carried, "text", "_repeats")
+    others = F.struct(*[F.col(f"`{c}`") for c in carry if c != "text"], F.lit(0).alias("_")).alias("_others")
+    rows = docs.select(rank, others, "text").join(repeats, "_rank", "left").select("_others", "text", "_repeats")
 
     def clean(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column(len(carried)).to_pylist()
-        repeated = batch.column(len(carried) + 1).to_pylist()
+        texts, repeated = batch.column(1).to_pylist(), batch.column(2).to_pylist()
         done = [cleaned(t, r or [], least_words) if t else (t, 0, []) for t, r in zip(texts, repeated, strict=True)]
         ranges = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         return pa.RecordBatch.from_arrays(
-            [*batch.columns[: len(carried)], pa.array([d[0] for d in done], pa.string()),
-             pa.array([d[1] for d in done], pa.int32()),
+            [batch.column(0), pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int32()),
              pa.array([[{"start": a, "end": b} for a, b in d[2]] for d in done], ranges)],
-            names=[*carried, "text", "_n_units", "_removed"])
-
-    schema = T.StructType([*(docs.schema[c] for c in carried), T.StructField("text", T.StringType())])
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-    return map_slices(rows, clean, f"{columns}, _n_units int, _removed array<struct<start: int, end: int>>")
+            names=["_others", "text", "_n_units", "_removed"])
+
+    kept = T.StructType([
+        rows.schema["_others"], T.StructField("text", T.StringType()), T.StructField("_n_units", T.IntegerType())])
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.fields)
+    done = map_slices(rows, clean, f"{columns}, _removed array<struct<start: int, end: int>>")
+    named = [F.col("text") if c == "text" else F.col("_others")[c].alias(c) for c in carry]
+    return done.select(*named, *["text"] * ("text" not in carry), *["_n_units", "_removed"] * report)

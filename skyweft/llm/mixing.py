@@ -152,9 +152,11 @@ def mix_documents(
 
 def mixed_rows(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The rows of ``docs``, each as often as ``mix_documents`` takes it."""
-    key = F.struct("doc_id").alias("_key")  # equal also where null
-    turns = mixed.groupBy(key).agg(F.array_sort(F.collect_list("repeats")).alias("_repeats"))
-    nth = F.row_number().over(Window.partitionBy("_key").orderBy("text"))
-    rows = docs.withColumn("_key", F.struct("doc_id")).withColumn("_nth", nth).join(turns, "_key")
-    times = F.explode(F.sequence(F.lit(1), F.element_at("_repeats", F.col("_nth"))))
-    return rows.filter(F.element_at("_repeats", F.col("_nth")) > 0).withColumn("_time", times).select(*docs.columns)
+    turns = mixed.groupBy(F.struct("doc_id").alias("_key")).agg(  # in a struct, nulls are equal too
+        F.array_sort(F.collect_list("repeats")).alias("_repeats"))
+    rows = docs.select(F.struct("*").alias("_row"))
+    rows = rows.withColumn("_key", F.struct(F.col("_row.doc_id").alias("doc_id")))
+    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy("_row.text")))
+    rows = rows.join(turns, "_key").withColumn("_times", F.element_at("_repeats", F.col("_nth")))
+    rows = rows.filter(F.col("_times") > 0).withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return rows.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
