@@ -1,10 +1,10 @@
 """Exact global order statistics without sorting everything in one task.
 
 A running sum over one global order would put the whole table into a single
-window. Here equal values are first merged (map side), the merged values are
-dealt into buckets at approximate quantiles, each bucket has its own window,
-and a small table of bucket totals supplies the offsets. Approximate cut points
-only affect balance; the sums are exact.
+window. Here equal values are first merged (map side) and written once, the merged
+values are dealt into ranges of a fixed size, each range has its own window, and
+a table of range totals supplies the offsets. The number of ranges grows with the
+data, their size does not; where the cuts fall only affects balance.
 """
 
 from __future__ import annotations
@@ -13,35 +13,23 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-MAX_BUCKETS = 256
-BUCKET_ROWS = 500_000
-
+from skyweft.session import cut_lineage
 
-def _bucket_of(value: Column, cuts: Sequence[float], first: int = 0) -> Column:
-    """Number of cuts at or below the value, by binary search in generated code."""
-    if not cuts:
-        return F.lit(first)
-    middle = len(cuts) // 2
-    return F.when(
-        value < F.lit(cuts[middle]), _bucket_of(value, cuts[:middle], first)
-    ).otherwise(_bucket_of(value, cuts[middle + 1 :], first + middle + 1))
+BUCKET_ROWS = 500_000
 
 
 def _bucketed(df: DataFrame, value: str, sums: Mapping[str, Column], by: Sequence[str], bucket_rows: int) -> DataFrame:
-    """Merge equal values and deal them into buckets of about ``bucket_rows`` distinct values.
+    """Merge equal values and deal them into ranges of about ``bucket_rows`` distinct values.
 
-    One aggregate over the merged values brings their number and at most
-    ``MAX_BUCKETS`` cut points to the driver.
+    The dealt table is written out too, because a range partitioning that is
+    computed twice may cut at different values.
     """
     present = df.filter(F.col(value).isNotNull() & ~F.isnan(value))
-    merged = present.groupBy(*by, value).agg(*[c.alias(name) for name, c in sums.items()])
-    shares = [i / MAX_BUCKETS for i in range(1, MAX_BUCKETS)]
-    rows, quantiles = merged.agg(
-        F.count(F.lit(1)), F.percentile_approx(value, F.array(*[F.lit(p) for p in shares]), F.lit(MAX_BUCKETS * 10))
-    ).first()
-    step = max(1, MAX_BUCKETS // max(1, -(-rows // bucket_rows)))
-    cuts = sorted(set((quantiles or [])[step - 1 :: step])) if rows > bucket_rows else []
-    return merged.withColumn("_bucket", _bucket_of(F.col(value), cuts))
+    merged = cut_lineage(present.groupBy(*by, value).agg(*[c.alias(name) for name, c in sums.items()]))
+    buckets = -(-merged.count() // bucket_rows)
+    if buckets <= 1:
+        return merged.withColumn("_bucket", F.lit(0))
+    return cut_lineage(merged.repartitionByRange(buckets, *by, value).withColumn("_bucket", F.spark_partition_id()))
 
 
 def _offsets(bucketed: DataFrame, sums: Sequence[str], value: str, by: Sequence[str], descending: bool) -> DataFrame:
@@ -82,8 +70,6 @@ def cumulative(
     names = list(sums)
     bucketed = _bucketed(df, value, sums, by, bucket_rows)
     offsets = _offsets(bucketed, names, value, by, descending)
-    if not by:
-        offsets = F.broadcast(offsets)  # at most one row per bucket
     joined = bucketed.join(offsets, [*by, "_bucket"])
     order = F.col(value).desc() if descending else F.col(value).asc()
     ordered = Window.partitionBy(*by, "_bucket").orderBy(order)
@@ -99,10 +85,12 @@ def cumulative(
 
 
 def exact_quantiles(
-    df: DataFrame, value: str, probabilities: Mapping[str, float], *, by: Sequence[str] = (), bucket_rows: int = BUCKET_ROWS
+    df: DataFrame, value: str, probabilities: Mapping[str, float], *, by: Sequence[str] = (),
+    count_as: str | None = None, bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """Quantiles with linear interpolation, one row per group; missing values are left out.
 
+    With ``count_as`` the number of present values comes as a column of that name.
     Only the buckets that hold a wanted rank are ordered at all.
     """
     bucketed = _bucketed(df, value, {"_n": F.count(F.lit(1))}, by, bucket_rows)
@@ -120,8 +108,6 @@ def exact_quantiles(
         for rank in (F.floor(position(p)), F.ceil(position(p))):
             wanted = wanted | holds(rank, start, end)
     needed = offsets.filter(wanted)
-    if not by:
-        needed = F.broadcast(needed)
     running = (
         Window.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
@@ -139,7 +125,8 @@ def exact_quantiles(
         low, high = F.col(f"_low_{name}"), F.col(f"_high_{name}")
         fraction = position(p) - F.floor(position(p))
         interpolated.append((low + (high - low) * fraction).alias(name))
-    return picked.select(*by, *interpolated)
+    counted = [F.col("_n_total").alias(count_as)] if count_as else []
+    return picked.select(*by, *interpolated, *counted)
 
 
 def describe(df: DataFrame, value: str, probabilities: Mapping[str, float]) -> DataFrame:

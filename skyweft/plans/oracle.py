@@ -275,6 +275,10 @@ def _gridded(digits: int) -> str:
 
 
 _CURVE = "SELECT CAST(NULL AS DOUBLE) AS threshold, 0e0 AS fpr, 0e0 AS tpr UNION ALL SELECT round(score, 9), round(fp/n, 6), round(tp/p, 6) FROM sweep"
+_LISTED = (
+        'SELECT "Source", ordinal, round("RA_ICRS", 6) AS "RA_ICRS", round("DE_ICRS", 6) AS "DE_ICRS", round("pmRA", 6) AS "pmRA",'
+        ' round("pmDE", 6) AS "pmDE", round("Plx", 6) AS "Plx", round("Gmag", 6) AS "Gmag", round(proba, 6) AS proba, "Cluster"'
+)
 _NAMES = ", ".join(f"'{n}'" for n in CLUSTER_NAMES)
 
 _QUERIES: dict[str, str] = {
@@ -291,11 +295,15 @@ _QUERIES: dict[str, str] = {
     "scan_tic": 'SELECT CAST("ID" AS VARCHAR) AS "ID", round(ra, 6) AS ra, round(dec, 6) AS dec, round("Tmag", 6) AS "Tmag", "GAIA" FROM tic',
     "scan_simbad_field": f"SELECT round(ra, 6) AS ra, round(dec, 6) AS dec, main_id, otype FROM simbad WHERE {_cone(RA0, DEC0, R0)}",
     "scan_members_cascade": (
-        'SELECT "Source", ordinal, round("RA_ICRS", 6) AS "RA_ICRS", round("DE_ICRS", 6) AS "DE_ICRS", round("pmRA", 6) AS "pmRA",'
-        ' round("pmDE", 6) AS "pmDE", round("Plx", 6) AS "Plx", round("Gmag", 6) AS "Gmag", round(proba, 6) AS proba, "Cluster"'
+        _LISTED +
         f" FROM members WHERE \"Cluster\" = (SELECT CASE WHEN count(*) FILTER (\"Cluster\" = '{CLUSTER_NAMES[0]}') > 0"
         f" THEN '{CLUSTER_NAMES[0]}' ELSE '{CLUSTER_NAMES[1]}' END FROM members)"
     ),
+    "members_cascade_second": f"{_LISTED} FROM members WHERE \"Cluster\" = '{CLUSTER_NAMES[1]}'",
+    "members_cascade_cone": (
+        f"{_LISTED} FROM members WHERE {_sep('\"RA_ICRS\"', '\"DE_ICRS\"', f'({RA0}::DOUBLE)', f'({DEC0}::DOUBLE)')}"
+        f" <= {R0 * 3600.0}::DOUBLE"
+    ),
     "members_standard_columns": (
         f"SELECT member_id, ordinal, {_r('proba; g_mag; ra; dec; pmra; pmdec; parallax')} FROM m_std"
     ),
@@ -322,6 +330,9 @@ _QUERIES: dict[str, str] = {
         " round(w.dec, 6) AS wise_dec, round(w.w1mpro, 6) AS wise_w1mpro, round(sep, 6) AS distance_arcsec"
         " FROM nn_pm JOIN g_moved g ON lk = g.source_id JOIN w ON rk = w.designation"
     ),
+    "xmatch_nearest_crowded": (
+        "SELECT lk AS gaia_source_id, rk AS wise_designation, round(sep, 6) AS distance_arcsec FROM nn_five"
+    ),
     "xmatch_gain": (
         "SELECT (SELECT count(*) FROM nn_raw) AS n_raw, (SELECT count(*) FROM nn_pm) AS n_pm,"
         " (SELECT count(*) FROM nn_pm) - (SELECT count(*) FROM nn_raw) AS gain"
@@ -406,6 +417,7 @@ _QUERIES: dict[str, str] = {
         " known_in_simbad, simbad_otype, simbad_main_id, tic_id, round(tic_Tmag, 6) AS tic_Tmag FROM enriched"
     ),
     "tic_left_join": "SELECT source_id AS gaia_source_id, tic_id, round(tic_Tmag, 6) AS tic_Tmag FROM with_tic",
+    "tic_join_hot": "SELECT source_id AS gaia_source_id, tic_id, round(tic_Tmag, 6) AS tic_Tmag FROM with_tic",
     "tic_join_dedupe": (
         "SELECT source_id AS gaia_source_id, tic_id, round(tic_Tmag, 6) AS tic_Tmag FROM (SELECT *,"
         " row_number() OVER (PARTITION BY source_id ORDER BY tic_id) AS place FROM with_tic) WHERE place = 1"
@@ -473,6 +485,13 @@ _QUERIES: dict[str, str] = {
         f"SELECT round(p, 6) AS precision, round(r, 6) AS recall, round({_f1('p', 'r')}, 6) AS f1, round(a, 6) AS accuracy FROM (SELECT"
         f" {_ratio('tp', '(tp + fp)')} AS p, {_ratio('tp', '(tp + fn)')} AS r, {_ratio('(tp + tn)', '(tn + fp + fn + tp)')} AS a FROM confusion)"
     ),
+    "validation_summary": (
+        "SELECT tn, fp, fn, tp, round(p, 6) AS precision, round(r, 6) AS recall,"
+        f" round({_f1('p', 'r')}, 6) AS f1, round(a, 6) AS accuracy, round(roc_auc, 6) AS roc_auc,"
+        " round(100e0 * (SELECT count(*) FROM nn_members) / (SELECT count(*) FROM m_std), 6) AS coverage_percent"
+        f" FROM (SELECT *, {_ratio('tp', '(tp + fp)')} AS p, {_ratio('tp', '(tp + fn)')} AS r,"
+        f" {_ratio('(tp + tn)', '(tn + fp + fn + tp)')} AS a FROM confusion) JOIN auc ON true"
+    ),
     "class_report": (
         "SELECT label, round(p, 6) AS precision, round(r, 6) AS recall, round(f, 6) AS f1, support FROM class_scores"
         " UNION ALL SELECT 'macro avg', round(avg(p), 6), round(avg(r), 6), round(avg(f), 6), CAST(sum(support) AS BIGINT) FROM class_scores"

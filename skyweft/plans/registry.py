@@ -10,7 +10,7 @@ from skyweft.config import INFRARED_EPOCH, OPTICAL_EPOCH, REFERENCE_EPOCH, Field
 from skyweft.functions import astrometry, bayes, photometry, sphere
 from skyweft.operators import enrich, histogram as hist, lightcurve, members, metrics, ranked
 from skyweft.operators.assign import one_to_one
-from skyweft.operators.nearest import crossmatch_nearest
+from skyweft.operators.nearest import NearestOptions, crossmatch_nearest
 from skyweft.plans import crossmatch as xm, validation
 from skyweft.plans.survey import CLUSTER_NAMES, FIELD_CONE, FIELD_RADIUS_DEG, Survey
 from skyweft.session import cut_lineage, ship_code
@@ -152,6 +152,18 @@ def scan_members_cascade(s: Survey) -> DataFrame:
     return rounded(catalogs.scan_members(s.members, CLUSTER_NAMES, FIELD_CONE))
 
 
+@query
+def members_cascade_second(s: Survey) -> DataFrame:
+    """The list under the second name, the first one having no rows."""
+    return rounded(catalogs.scan_members(s.members, ("no such cluster", CLUSTER_NAMES[1]), FIELD_CONE))
+
+
+@query
+def members_cascade_cone(s: Survey) -> DataFrame:
+    """The list by position, no name having rows."""
+    return rounded(catalogs.scan_members(s.members, ("no such cluster",), FIELD_CONE))
+
+
 @query
 def members_standard_columns(s: Survey) -> DataFrame:
     return rounded(_members(s))
@@ -233,6 +245,17 @@ def xmatch_nearest_pm(s: Survey) -> DataFrame:
     )
 
 
+@query
+def xmatch_nearest_crowded(s: Survey) -> DataFrame:
+    """The widest join with sizes so small that cells are split by boxes and salted."""
+    small = NearestOptions(max_candidates=1, leaf_rows=1, max_left_rows=2)
+    near = crossmatch_nearest(
+        _moved(s).select("source_id", "ra_epoch", "dec_epoch"), s.wise.select("designation", "ra", "dec"),
+        left_ra="ra_epoch", left_dec="dec_epoch", threshold_arcsec=5.0, options=small,
+    )
+    return rounded(near.select("gaia_source_id", "wise_designation", "distance_arcsec"))
+
+
 @query
 def xmatch_gain(s: Survey) -> DataFrame:
     keys = _moved(s).select("source_id", "ra_epoch", "dec_epoch")
@@ -398,6 +421,13 @@ def tic_join_dedupe(s: Survey) -> DataFrame:
     return rounded(joined.select("gaia_source_id", "tic_id", "tic_Tmag"))
 
 
+@query
+def tic_join_hot(s: Survey) -> DataFrame:
+    """The join with a limit so small that every repeated identifier counts as hot."""
+    joined = enrich.join_tic(_matches(s), catalogs.scan_tic(s.tic, clean=False), max_rows_per_key=1)
+    return rounded(joined.select("gaia_source_id", "tic_id", "tic_Tmag"))
+
+
 @query
 def tic_match_rate(s: Survey) -> DataFrame:
     joined = enrich.join_tic(_matches(s), catalogs.scan_tic(s.tic, clean=False))
@@ -545,6 +575,14 @@ def prf_metrics(s: Survey) -> DataFrame:
     return rounded(metrics.headline_metrics(metrics.confusion_counts(_labelled(s))))
 
 
+@query
+def validation_summary(s: Survey) -> DataFrame:
+    ours = _landed_matches(s)
+    listed = cut_lineage(members.match_members(_members(s), ours).select("source_key"))
+    labels = cut_lineage(validation.labelled_matches(ours, _members(s)).select("y_true", "y_pred", "membership_score"))
+    return rounded(validation.validation_summary(labels, listed))
+
+
 @query
 def class_report(s: Survey) -> DataFrame:
     return rounded(metrics.class_report(metrics.confusion_counts(_labelled(s))))
@@ -622,9 +660,7 @@ def hist_separation_30(s: Survey) -> DataFrame:
 
 @query
 def hist_member_list(s: Survey) -> DataFrame:
-    listed = _members(s)
-    parts = [hist.histogram(listed, c).select(F.lit(c).alias("column"), "*") for c in ("proba", "g_mag", "parallax")]
-    return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    return rounded(hist.histogram_columns(_members(s), ("proba", "g_mag", "parallax")))
 
 
 @query

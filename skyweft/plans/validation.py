@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from skyweft.config import ClusterConfig
 from skyweft.functions import photometry
-from skyweft.operators import members as member_ops
+from skyweft.operators import members as member_ops, metrics
 from skyweft.operators.nearest import NearestOptions
-from skyweft.operators.ranked import exact_quantiles
+from skyweft.operators.ranked import exact_quantiles, roc_auc
 
 BRIGHTEST_COLUMNS = (
     "gaia_source_id", "gaia_phot_g_mean_mag", "gaia_parallax", "gaia_pmra", "gaia_pmdec", "list_proba"
@@ -81,6 +81,19 @@ def error_summary(labelled: DataFrame) -> DataFrame:
     summary = labelled.groupBy("category").agg(
         F.count(F.lit(1)).alias("n"), F.min("list_proba").alias("min_proba"), F.max("list_proba").alias("max_proba")
     )
-    for name, column in medians.items():
-        summary = summary.join(exact_quantiles(labelled, column, {name: 0.5}, by=["category"]), "category", "left")
-    return summary
+    values = F.explode(F.array(*[F.struct(F.lit(n).alias("_name"), F.col(c).alias("_value")) for n, c in medians.items()]))
+    long = labelled.select("category", values.alias("_v")).select("category", "_v.*")
+    middle = exact_quantiles(long, "_value", {"_median": 0.5}, by=["category", "_name"]).groupBy("category").agg(
+        *[F.max(F.when(F.col("_name") == n, F.col("_median"))).alias(n) for n in medians])
+    return summary.join(middle, "category", "left")
+
+
+def validation_summary(labelled: DataFrame, member_matches: DataFrame) -> DataFrame:
+    """One row: compared sources, confusion, precision, recall, F1, accuracy, AUC and coverage of the list."""
+    confusion = metrics.confusion_counts(labelled)
+    auc = roc_auc(labelled, "membership_score", "y_true").scalar()
+    coverage = member_matches.agg(F.try_divide(F.lit(100.0) * F.count("source_key"), F.count(F.lit(1)))).scalar()
+    counts = confusion.select(F.struct("tn", "fp", "fn", "tp")).scalar()
+    return metrics.headline_metrics(confusion).select(
+        *[counts.getField(c).alias(c) for c in ("tn", "fp", "fn", "tp")], "precision", "recall", "f1", "accuracy",
+        auc.alias("roc_auc"), coverage.alias("coverage_percent"))

@@ -268,3 +268,13 @@ def test_subsamples_have_the_wanted_size_without_repeats(spark):
 def test_average_path():
     assert [isolation.average_path(n) for n in (0, 1, 2)] == [0.0, 0.0, 1.0]
     assert isolation.average_path(256) == pytest.approx(10.2448, abs=1e-3)
+
+
+def test_number_of_ranges_grows_with_the_data(spark):
+    values = spark.range(3000).select(((F.col("id") * 7919) % 3000).cast("double").alias("v"), (F.col("id") % 2).alias("g"))
+    got = ranked.exact_quantiles(values, "v", {"q": 0.25}, by=["g"], count_as="n", bucket_rows=10).orderBy("g").collect()
+    expected = [np.quantile([(i * 7919) % 3000 for i in range(g, 3000, 2)], 0.25) for g in (0, 1)]
+    assert [r.q for r in got] == pytest.approx(expected)
+    assert [r.n for r in got] == [1500, 1500]
+    running = ranked.cumulative(values, "v", {"n": F.count(F.lit(1))}, descending=True, bucket_rows=10).collect()
+    assert all(r.n_upto == 3000 - r.v and r.n_total == 3000 for r in running)
