@@ -8,14 +8,17 @@ batches. The only thing that reaches the driver is the model, whose size
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+#: Draws and splits come from MD5 and this prime alone, so any engine can repeat them.
+PRIME, FACTOR = 2**31 - 1, 1103515245
 EULER_GAMMA = 0.5772156649015329
 LEAF = -1
 _MODEL_SCHEMA = "tree int, node int, feature int, threshold double, low int, high int, path double"
@@ -51,12 +54,11 @@ def _grow(rows: pd.DataFrame, features: Sequence[str], seed: int) -> pd.DataFram
     """One tree over one subsample, as a table of nodes."""
     tree = int(rows["tree"].iloc[0])
     data = rows.sort_values("_draw")[list(features)].to_numpy(float)
-    rng = np.random.default_rng([seed, tree])
     limit = depth_limit(len(data))
     nodes: list[list] = []
-    pending = [(np.arange(len(data)), 0, None, None)]
+    pending = [(np.arange(len(data)), 0, None, None, 1)]
     while pending:
-        members, depth, parent, side = pending.pop()
+        members, depth, parent, side, place = pending.pop()
         number = len(nodes)
         if parent is not None:
             nodes[parent][side] = number
@@ -65,39 +67,49 @@ def _grow(rows: pd.DataFrame, features: Sequence[str], seed: int) -> pd.DataFram
         if depth >= limit or len(members) <= 1 or len(spread) == 0:
             nodes.append([tree, number, LEAF, 0.0, LEAF, LEAF, depth + average_path(len(members))])
             continue
-        feature = int(rng.choice(spread))
+        digest = hashlib.md5(f"{seed}:{tree}:{place}".encode()).hexdigest()
+        feature = int(spread[int(digest[:7], 16) % len(spread)])
         column = part[:, feature]
-        threshold = float(rng.uniform(column.min(), column.max()))
+        threshold = float(column.min() + int(digest[7:14], 16) / 2.0**28 * (column.max() - column.min()))
         nodes.append([tree, number, feature, threshold, LEAF, LEAF, 0.0])
         below = column <= threshold
-        pending.append((members[~below], depth + 1, number, 5))
-        pending.append((members[below], depth + 1, number, 4))
+        pending.append((members[~below], depth + 1, number, 5, 2 * place + 1))
+        pending.append((members[below], depth + 1, number, 4, 2 * place))
     return pd.DataFrame(nodes, columns=["tree", "node", "feature", "threshold", "low", "high", "path"])
 
 
 def draw_subsamples(
-    df: DataFrame, n_rows: int, features: Sequence[str], key: str, trees: int, max_samples: int, seed: int
+    df: DataFrame, n_rows: int, features: Sequence[str], key: str | Sequence[str], trees: int, max_samples: int, seed: int
 ) -> DataFrame:
     """``max_samples`` rows per tree, drawn without replacement from the whole table by hash of the row key.
 
     In one pass every row is offered to all trees; a tree takes it when its own
-    hash of the key is below a threshold that lets about twice as many rows
-    through as it needs, and keeps those with the smallest hashes.
+    draw is below a threshold that lets about twice as many rows through as it
+    needs, and keeps those with the smallest. A row's key is hashed once, to two
+    numbers below ``PRIME``; each tree combines them with its own factor.
     """
-    share = min(1.0, 2 * max_samples / max(1, n_rows))
-    below = F.lit(int(-(2**63) + (2**64 - 1) * share)) if share < 1 else F.lit(2**63 - 1)
-    own = lambda tree: F.xxhash64(F.lit(seed), tree, F.col("_key"))
-    offered = df.select(F.col(key).alias("_key"), *features).withColumn(
-        "tree", F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: own(tree) <= below)))
+    keys = [key] if isinstance(key, str) else list(key)
+    below = F.lit(int(min(1.0, 2 * max_samples / max(1, n_rows)) * PRIME * (PRIME + 1)))
+
+    def draw(tree: Column) -> Column:
+        own = (tree.cast("long") + 1) * FACTOR % PRIME
+        return (F.col("_h") * own + F.col("_k")) % PRIME * (PRIME + 1) + (F.col("_k") * own + F.col("_h")) % PRIME
+
+    text = F.concat_ws(":", *[F.col(k).cast("string") for k in keys])
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col("_key")))
+    number = lambda start: F.conv(F.substring(digest, start, 8), 16, 10).cast("long") % PRIME
+    hashed = df.select(text.alias("_key"), *features).withColumns({"_h": number(1), "_k": number(9)})
+    offered = hashed.withColumn(
+        "tree", F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: draw(tree) <= below)))
     first = Window.partitionBy("tree").orderBy("_draw", "_key")
-    drawn = offered.withColumn("_draw", own(F.col("tree"))).withColumn("_rank", F.row_number().over(first))
-    return drawn.filter(F.col("_rank") <= max_samples)
+    drawn = offered.withColumn("_draw", draw(F.col("tree"))).withColumn("_rank", F.row_number().over(first))
+    return drawn.filter(F.col("_rank") <= max_samples).drop("_h", "_k")
 
 
 def fit_isolation_forest(
     df: DataFrame,
     features: Sequence[str],
-    key: str,
+    key: str | Sequence[str],
     *,
     trees: int = 100,
     max_samples: int = 256,

@@ -170,8 +170,12 @@ def with_features(matches: DataFrame) -> DataFrame:
     )
 
 
-def with_anomaly(featured: DataFrame, *, key: str = "gaia_source_id", seed: int = 42) -> DataFrame:
-    """Isolation-forest score of the rows with valid features, NULL for the others."""
+def with_anomaly(featured: DataFrame, *, seed: int = 42) -> DataFrame:
+    """Isolation-forest score of the rows with valid features, NULL for the others.
+
+    A source that input-catalog entries repeat is drawn row by row.
+    """
+    key = [c for c in ("gaia_source_id", "tic_id") if c in featured.columns]
     forest = fit_isolation_forest(featured.filter("valid_features"), FEATURES, key, seed=seed)
     return score_isolation_forest(featured, forest, FEATURES, "valid_features")
 

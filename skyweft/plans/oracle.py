@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 
 from skyweft.config import ABLATION_SCENARIOS
+from skyweft.operators.isolation import EULER_GAMMA, FACTOR, PRIME
 from skyweft.plans.survey import CLUSTER_NAMES, FIELD_CONE, catalog_sql
 
 RA0, DEC0, R0 = FIELD_CONE
@@ -84,6 +85,69 @@ def _scenario_values() -> str:
     return ", ".join(rows)
 
 
+TREES, SAMPLES, SEED = 100, 256, 42
+
+
+def _average_path(n: str) -> str:
+    return (
+        f"CASE WHEN {n} <= 1 THEN 0e0 WHEN {n} = 2 THEN 1e0"
+        f" ELSE 2e0*(ln({n} - 1e0) + {EULER_GAMMA}::DOUBLE) - 2e0*({n} - 1e0)/{n} END"
+    )
+
+
+def _forest(name: str, source: str) -> dict[str, str]:
+    """Relations that grow and walk an isolation forest level by level over rows (fkey, bp_rp, w1_w2, m_g, quality).
+
+    All rows go down all trees; the drawn ones decide where nodes split.
+    """
+    own = f"((tree + 1) * {FACTOR}) % {PRIME}"
+    number = "CAST(('0x' || substr({0}, {1}, {2})) AS BIGINT)"
+    digest = f"md5('{SEED}:' || fkey)"
+    out = {
+        f"{name}_keys": (
+            f"SELECT fkey, bp_rp AS x, w1_w2 AS y, m_g AS z, {number.format(digest, 1, 8)} % {PRIME} AS h,"
+            f" {number.format(digest, 9, 8)} % {PRIME} AS k FROM {source}"
+            " WHERE quality AND bp_rp IS NOT NULL AND w1_w2 IS NOT NULL AND m_g IS NOT NULL"
+        ),
+        f"{name}_level_a": (
+            "SELECT tree, 1 AS node, fkey, x, y, z, row_number() OVER (PARTITION BY tree ORDER BY draw, fkey)"
+            f" <= {SAMPLES} AS taken FROM (SELECT *, (h * own + k) % {PRIME} * {PRIME + 1} + (k * own + h) % {PRIME} AS draw"
+            f" FROM (SELECT *, {own} AS own FROM {name}_keys, range({TREES}) AS t(tree)))"
+        ),
+        f"{name}_depth": (
+            f"SELECT greatest(1, ceil(log2(greatest(least(count(*), {SAMPLES}), 2)))) AS depth,"
+            f" {_average_path(f'least(count(*), {SAMPLES})')} AS usual FROM {name}_keys"
+        ),
+    }
+    letters = "abcdefghi"
+    for depth, (here, below) in enumerate(zip(letters, [*letters[1:], None])):
+        d = number.format(f"md5('{SEED}:' || tree || ':' || node)", "{}", 7)
+        out[f"{name}_nodes_{here}"] = (
+            f"SELECT tree, node, {depth} + {_average_path('n')} AS path, feature,"
+            f" CASE feature WHEN 0 THEN lx + u*(hx - lx) WHEN 1 THEN ly + u*(hy - ly) WHEN 2 THEN lz + u*(hz - lz) END AS cut"
+            f" FROM (SELECT *, CASE WHEN n <= 1 OR wide = 0 OR {depth} >= depth THEN -1 WHEN hx > lx AND pick % wide = 0 THEN 0"
+            " WHEN hy > ly AND pick % wide = CAST(hx > lx AS INTEGER) THEN 1 ELSE 2 END AS feature FROM ("
+            f"SELECT *, CAST(hx > lx AS INTEGER) + CAST(hy > ly AS INTEGER) + CAST(hz > lz AS INTEGER) AS wide,"
+            f" {d.format(1)} AS pick, {d.format(8)} / 268435456e0 AS u FROM (SELECT tree, node, count(*) AS n,"
+            " min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy, min(z) AS lz, max(z) AS hz"
+            f" FROM {name}_level_{here} WHERE taken GROUP BY tree, node)) JOIN {name}_depth ON true)"
+        )
+        if below:
+            out[f"{name}_level_{below}"] = (
+                "SELECT s.tree, 2*s.node + CASE WHEN CASE feature WHEN 0 THEN x WHEN 1 THEN y ELSE z END <= cut THEN 0 ELSE 1 END"
+                f" AS node, fkey, x, y, z, taken FROM {name}_level_{here} s JOIN {name}_nodes_{here} n"
+                " ON s.tree = n.tree AND s.node = n.node WHERE feature >= 0"
+            )
+    ends = " UNION ALL ".join(
+        f"SELECT fkey, path FROM {name}_level_{i} s JOIN {name}_nodes_{i} n ON s.tree = n.tree AND s.node = n.node"
+        " WHERE feature < 0" for i in letters)
+    out[f"{name}_scores"] = (
+        f"SELECT fkey, pow(2e0, -(sum(path) / {TREES}e0) / greatest(max(usual), 1e-12)) AS anomaly_score"
+        f" FROM ({ends}) JOIN {name}_depth ON true GROUP BY fkey"
+    )
+    return out
+
+
 _NOT_NAN = {"bp_rp"}
 _RELATIONS: dict[str, str] = {
     **catalog_sql(),
@@ -158,10 +222,15 @@ _RELATIONS: dict[str, str] = {
         " coalesce(coalesce(w1sigmpro, 99e0) < 0.2e0 AND coalesce(w2sigmpro, 99e0) < 0.2e0"
         " AND phot_g_mean_mag < 17.5e0, false) AS quality FROM enriched"
     ),
-    "anomalous": (
-        "SELECT *, CASE WHEN quality AND bp_rp IS NOT NULL AND w1_w2 IS NOT NULL AND m_g IS NOT NULL"
-        " THEN ((source_id % 1000) * 61 % 100) / 100e0 END AS anomaly_score FROM featured"
+    "own_features": (
+        "SELECT *, CAST(source_id AS VARCHAR) AS fkey, phot_g_mean_mag + 5e0*log10(greatest(parallax, 0.1e0)/1000e0) + 5e0 AS m_g,"
+        " coalesce(coalesce(w1sigmpro, 99e0) < 0.2e0 AND coalesce(w2sigmpro, 99e0) < 0.2e0"
+        " AND phot_g_mean_mag < 17.5e0, false) AS quality FROM matches"
     ),
+    **_forest("own", "own_features"),
+    "all_features": "SELECT *, concat_ws(':', CAST(source_id AS VARCHAR), tic_id) AS fkey FROM featured",
+    **_forest("all", "all_features"),
+    "anomalous": "SELECT f.*, s.anomaly_score FROM all_features f LEFT JOIN all_scores s ON f.fkey = s.fkey",
     "novel": (
         "SELECT *, CASE WHEN quality THEN 1e0 ELSE 0e0 END + CASE WHEN known_in_simbad = 0 THEN 1e0 ELSE 0e0 END"
         " + CASE WHEN posterior > 0.95e0 THEN 0.5e0 ELSE 0e0 END"
@@ -453,6 +522,19 @@ _QUERIES: dict[str, str] = {
         "SELECT source_id AS gaia_source_id, tic_id, round(novelty_score, 6) AS novelty_score FROM top WHERE tic_id IS NOT NULL"
         " ORDER BY round(novelty_score, 6) DESC, source_id, tic_id LIMIT 1"
     ),
+    "isolation_forest_score": (
+        "SELECT source_id AS gaia_source_id, s.fkey IS NOT NULL AS valid_features, round(anomaly_score, 6) AS anomaly_score"
+        " FROM own_features f LEFT JOIN own_scores s ON f.fkey = s.fkey"
+    ),
+    "novelty_with_forest": (
+        "SELECT source_id AS gaia_source_id, round(anomaly_score, 6) AS anomaly_score,"
+        " round(novelty_score, 6) AS novelty_score, tic_id FROM top"
+    ),
+    "top_candidate_lightcurve": (
+        "SELECT target_id, event_id, round(flux / median(flux) OVER (PARTITION BY target_id), 6) AS flux FROM lightcurve"
+        " WHERE flux IS NOT NULL AND target_id IN (SELECT tic_id FROM top WHERE tic_id IS NOT NULL"
+        " ORDER BY round(novelty_score, 6) DESC, source_id, tic_id LIMIT 1)"
+    ),
     "lightcurve_normalize": (
         "SELECT target_id, event_id, round(flux / median(flux) OVER (PARTITION BY target_id), 6) AS flux FROM lightcurve WHERE flux IS NOT NULL"
     ),
@@ -568,6 +650,7 @@ def _needed(text: str) -> list[str]:
 def oracle_sql() -> dict[str, str]:
     out = {}
     for name, text in _QUERIES.items():
-        relations = ", ".join(f"{r} AS ({_RELATIONS[r]})" for r in _needed(text))
+        relations = ", ".join(
+            f"{r} AS {'MATERIALIZED ' if '_level_' in r or '_nodes_' in r else ''}({_RELATIONS[r]})" for r in _needed(text))
         out[name] = f"WITH {relations} {text}" if relations else text
     return out

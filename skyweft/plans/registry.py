@@ -92,12 +92,6 @@ def _landed_labels(s: Survey) -> DataFrame:
     return cut_lineage(_labelled(s).select(*columns))
 
 
-def _anomaly_by_rule(featured: DataFrame) -> DataFrame:
-    """Stand-in score that another engine can compute as well."""
-    rule = (F.col("gaia_source_id") % F.lit(1000) * F.lit(61) % F.lit(100)) / F.lit(100.0)
-    return featured.withColumn("anomaly_score", F.when(F.col("valid_features"), rule))
-
-
 def _enriched(s: Survey) -> DataFrame:
     return xm.enrich_matches(_landed_matches(s), catalogs.scan_tic(s.tic, clean=False), s.simbad)
 
@@ -474,7 +468,7 @@ def abs_mag(s: Survey) -> DataFrame:
 
 
 def _novel(s: Survey) -> DataFrame:
-    return xm.with_novelty(_anomaly_by_rule(xm.with_features(_enriched(s))))
+    return xm.with_novelty(xm.with_anomaly(cut_lineage(xm.with_features(_enriched(s)))))
 
 
 @query
@@ -498,15 +492,21 @@ def first_candidate_with_tic(s: Survey) -> DataFrame:
 @query
 def isolation_forest_score(s: Survey) -> DataFrame:
     featured = xm.with_features(_landed_matches(s))
-    return xm.with_anomaly(featured).select("gaia_source_id", "valid_features", "anomaly_score")
+    return rounded(xm.with_anomaly(featured).select("gaia_source_id", "valid_features", "anomaly_score"))
 
 
 @query
 def novelty_with_forest(s: Survey) -> DataFrame:
-    """Top candidates with the fitted forest in place of the stand-in score."""
-    featured = cut_lineage(xm.with_features(_enriched(s)))
-    return xm.top_candidates(xm.with_novelty(xm.with_anomaly(featured))).select(
-        "gaia_source_id", "anomaly_score", "novelty_score", "tic_id")
+    """The top candidates' scores alone."""
+    return rounded(xm.top_candidates(_novel(s)).select("gaia_source_id", "anomaly_score", "novelty_score", "tic_id"))
+
+
+@query
+def top_candidate_lightcurve(s: Survey) -> DataFrame:
+    """Normalised light curve of the best candidate with an input-catalog entry, as one plan."""
+    best = xm.first_with_tic(xm.top_candidates(_novel(s))).select(F.col("tic_id").alias("target_id"))
+    curve = catalogs.scan_lightcurve(s.lightcurve).join(F.broadcast(best), "target_id", "left_semi")  # one row
+    return rounded(lightcurve.relative_flux(curve).select("target_id", "event_id", "flux"))
 
 
 @query
