@@ -10,10 +10,11 @@ from pyspark.sql import SparkSession
 from skyweft.config import FieldConfig
 from skyweft.operators.histogram import color_magnitude, histogram
 from skyweft.plans import crossmatch
-from skyweft.session import build_session, cut_lineage
+from skyweft.session import build_session, cut_lineage, own_tables
 from skyweft.sources import catalogs, sinks
 
 
+@own_tables
 def run_field(
     spark: SparkSession, field: FieldConfig, gaia_path: str, wise_path: str, simbad_path: str, out: str,
     plot_data: str | None = None,

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from skyweft.operators.nearest import NearestOptions, crossmatch_nearest
 from skyweft.operators.skew import hot_keys, salted_join
 from skyweft.operators.topk import first_rows
-
+from skyweft.session import cut_lineage
 
 
 def join_tic(
@@ -22,7 +22,8 @@ def join_tic(
 
     Entries without an identifier are dropped first. Several entries of one
     source give several rows, or with ``dedupe`` only the smallest entry.
-    An identifier with very many entries is spread over several tasks.
+    The entries of each identifier are counted once, and one with very many is spread
+    over several tasks.
     """
     lookup = tic.filter(F.col("GAIA").isNotNull()).select(
         F.col("ID").alias("tic_id"), F.col("Tmag").alias("tic_Tmag"), F.col("GAIA").cast("string").alias("_key")
@@ -32,14 +33,14 @@ def join_tic(
         lookup = lookup.groupBy("_key").agg(F.min(F.struct("tic_id", "tic_Tmag")).alias("t")).select("_key", "t.*")
         return keyed.join(lookup, "_key", "left").drop("_key")
 
-    densest = lookup.groupBy("_key").count().agg(F.max("count")).first()[0] or 0
-    if densest <= max_rows_per_key:
+    counted = cut_lineage(hot_keys(lookup, ["_key"], max_rows_per_key))
+    if counted.isEmpty():
         return keyed.join(lookup, "_key", "left").drop("_key")
-    hot = hot_keys(lookup, ["_key"], max_rows_per_key).select("_key")
+    hot = counted.select("_key")
     ordinary = keyed.join(hot, "_key", "left_anti").join(lookup.join(hot, "_key", "left_anti"), "_key", "left")
     crowded = salted_join(
         lookup.join(hot, "_key", "left_semi"), keyed.join(hot, "_key", "left_semi"), ["_key"], "tic_id",
-        "inner", max_rows_per_key,
+        "inner", max_rows_per_key, counted,
     )
     return ordinary.unionByName(crowded.select(ordinary.columns)).drop("_key")
 

@@ -12,9 +12,12 @@ No second shuffle per left row is needed, and both sides keep their columns.
 Bounding the search loses nothing: a nearest neighbour below the threshold
 exists exactly where some pair is below it.
 
-Before planning, one aggregation looks at the densest cell of either side:
+The left side is read once. Before planning, one aggregation counts the right
+rows per cell, from their coordinates alone:
 
-* A cell with too many *left* rows is split by salting.
+* A cell with too many *left* rows is split by adaptive execution, which the
+  arrays allow as they hold one row per cell; ``salt_left`` splits it by salting
+  instead, for sessions without adaptive execution, and counts the left rows first.
 * A cell with too many *right* rows gets no array. Its left rows descend a tree
   of ever smaller boxes instead, and keep a box only while it can still hold
   the nearest neighbour. Copies of a position count once, so boxes always get
@@ -47,14 +50,7 @@ class NearestOptions:
     max_left_rows: int = 500_000
     max_broadcast_rows: int = 50_000
     split_per_axis: int = 4
-
-
-@dataclass(frozen=True)
-class _Profile:
-    left_cells: int
-    densest_left: int
-    densest_right: int
-    idle_right_share: float  # right rows in cells without left rows
+    salt_left: bool = False
 
 
 def _reach(threshold: float) -> float:
@@ -115,23 +111,6 @@ def _touched_cells(df: DataFrame, edge: float, reach: float) -> DataFrame:
     return df.filter((nearest <= F.lit(1.0 + 1e-9)) & (farthest >= F.lit(1.0 - 1e-9)))
 
 
-def _tally(left_cells: DataFrame, right_cells: DataFrame) -> DataFrame:
-    """Rows of either side per cell."""
-    one, none = F.lit(1), F.lit(0)
-    both = left_cells.select(*CELL, one.alias("l"), none.alias("r")).unionByName(
-        right_cells.select(*CELL, none.alias("l"), one.alias("r"))
-    )
-    return both.groupBy(*CELL).agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
-
-
-def _profile(tally: DataFrame) -> _Profile:
-    in_use = F.col("l") > 0
-    cells, left, right, total, used = tally.agg(
-        F.count_if(in_use), F.max("l"), F.max("r"), F.sum("r"), F.sum(F.when(in_use, F.col("r")))
-    ).first()
-    return _Profile(cells, left or 0, right or 0, 1.0 - (used or 0) / total if total else 0.0)
-
-
 def _closest(candidates: str, threshold: float) -> Column:
     """Array with the smallest (separation, key, columns) below the threshold, or without any.
 
@@ -198,18 +177,14 @@ def crossmatch_nearest(
     placed = _with_geometry(right.filter(_has_place(right_ra, right_dec)), right_ra, right_dec, True)
     rights = _touched_cells(placed, edge, reach)
 
-    tally = _tally(lefts, rights)
-    profile = _profile(tally)
-    if profile.idle_right_share > 0.5 and profile.left_cells <= options.max_broadcast_rows:
-        occupied = lefts.select(*CELL).distinct()
-        rights = rights.join(F.broadcast(occupied), list(CELL), "left_semi")
-
+    tally = rights.groupBy(*CELL).agg(F.count(F.lit(1)).alias("_rows"))
+    densest = tally.agg(F.max("_rows")).first()[0] or 0
     crowded = None
-    if profile.densest_right > options.max_candidates:
+    if densest > options.max_candidates:
         lefts, rights, crowded = _set_apart(lefts, rights, tally, options)
 
     arrays = rights.groupBy(*CELL).agg(F.collect_list(_right_body(right_key, right_columns)).alias("_near"))
-    if profile.densest_left > options.max_left_rows:
+    if options.salt_left:
         joined = salted_join(lefts, arrays, CELL, left_key, how, options.max_left_rows)
     else:
         joined = lefts.join(arrays, list(CELL), how)
@@ -236,21 +211,19 @@ def _set_apart(lefts: DataFrame, rights: DataFrame, tally: DataFrame, options: N
     The latter is None if no left row lies in such a cell; their right rows can
     then match nothing.
     """
-    crowded = cut_lineage(
-        tally.filter(F.col("r") > options.max_candidates).select(*CELL, (F.col("l") > 0).alias("_in_use"))
-    )
-    n_crowded, n_in_use = crowded.agg(F.count(F.lit(1)), F.count_if("_in_use")).first()
+    on = list(CELL)
 
     def marks(cells: DataFrame) -> DataFrame:
-        cells = cells.select(*CELL)
-        return F.broadcast(cells) if n_crowded <= options.max_broadcast_rows else cells
+        return F.broadcast(cells) if cells.count() <= options.max_broadcast_rows else cells
 
-    on, in_use = list(CELL), crowded.filter("_in_use")
+    crowded = marks(cut_lineage(tally.filter(F.col("_rows") > options.max_candidates).select(*CELL)))
+    in_use = cut_lineage(lefts.select(*CELL).join(crowded, on, "left_semi").distinct())
     apart = None
-    if n_in_use:
-        apart = (lefts.join(marks(in_use), on, "left_semi"), rights.join(marks(in_use), on, "left_semi"))
-        lefts = lefts.join(marks(in_use), on, "left_anti")
-    return lefts, rights.join(marks(crowded), on, "left_anti"), apart
+    if not in_use.isEmpty():
+        used = marks(in_use)
+        apart = (lefts.join(used, on, "left_semi"), rights.join(used, on, "left_semi"))
+        lefts = lefts.join(used, on, "left_anti")
+    return lefts, rights.join(crowded, on, "left_anti"), apart
 
 
 def _box_distances(box: Column) -> tuple[Column, Column]:

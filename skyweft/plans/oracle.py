@@ -178,7 +178,7 @@ _RELATIONS: dict[str, str] = {
         " - sep*sep / (2e0*(a.sigma*a.sigma + b.sigma*b.sigma)) AS ln_b"
         " FROM nn_scan JOIN sigma_g a ON lk = a.source_id JOIN sigma_w b ON rk = b.designation"
     ),
-    "area": "SELECT (max(floor(o_orderkey / 15000e0)) + 1) * 2e0*pi()*(1e0 - cos(radians(0.3e0))) AS area_sr FROM orders",
+    "area": "SELECT least(max(floor(o_orderkey / 15000e0)) + 1, 68000) * 2e0*pi()*(1e0 - cos(radians(0.3e0))) AS area_sr FROM orders",
     "sizes": (
         "SELECT (SELECT count(*) FROM g_scan) AS n_gaia, (SELECT count(*) FROM w) AS n_wise,"
         " (SELECT area_sr FROM area) AS area_sr"

@@ -242,7 +242,7 @@ def xmatch_nearest_pm(s: Survey) -> DataFrame:
 @query
 def xmatch_nearest_crowded(s: Survey) -> DataFrame:
     """The widest join with sizes so small that cells are split by boxes and salted."""
-    small = NearestOptions(max_candidates=1, leaf_rows=1, max_left_rows=2)
+    small = NearestOptions(max_candidates=1, leaf_rows=1, max_left_rows=2, salt_left=True)
     near = crossmatch_nearest(
         _moved(s).select("source_id", "ra_epoch", "dec_epoch"), s.wise.select("designation", "ra", "dec"),
         left_ra="ra_epoch", left_dec="dec_epoch", threshold_arcsec=5.0, options=small,
@@ -517,8 +517,10 @@ def lightcurve_normalize(s: Survey) -> DataFrame:
 
 @query
 def run_summary(s: Survey) -> DataFrame:
-    flagged = enrich.enrich_known_objects(_landed_matches(s), s.simbad)
-    return xm.run_summary(_gaia(s), s.wise, _pairs(s), flagged)
+    pairs = cut_lineage(_pairs(s))
+    scored = xm.score_pairs(pairs, xm.prior_odds(_gaia(s), s.wise, s.area_sr()))
+    flagged = enrich.enrich_known_objects(cut_lineage(xm.resolve_matches(scored)), s.simbad)
+    return xm.run_summary(_gaia(s), s.wise, pairs, flagged)
 
 
 # Comparison with the member list

@@ -11,7 +11,7 @@ from skyweft.config import ClusterConfig, FieldConfig, MatchConfig
 from skyweft.functions.sphere import cone_solid_angle
 from skyweft.operators.lightcurve import relative_flux
 from skyweft.plans import crossmatch, report
-from skyweft.session import cut_lineage
+from skyweft.session import cut_lineage, own_tables
 from skyweft.sources import catalogs, sinks
 
 
@@ -26,6 +26,7 @@ class CatalogPaths:
     lightcurves: str | None = None
 
 
+@own_tables
 def run_full_match(
     spark: SparkSession,
     paths: CatalogPaths,
@@ -46,9 +47,9 @@ def run_full_match(
     tic = catalogs.scan_tic(spark.read.parquet(paths.tic), cone)
     simbad = catalogs.scan_simbad(spark.read.parquet(paths.simbad), cone)
 
-    resolved = cut_lineage(
-        crossmatch.probabilistic_matches(gaia, wise, cone_solid_angle(field.radius), config, cluster)
-    )
+    pairs = cut_lineage(crossmatch.candidate_pairs(gaia, crossmatch.needed_columns(wise), config))
+    odds = crossmatch.prior_odds(gaia, wise, cone_solid_angle(field.radius), config)
+    resolved = cut_lineage(crossmatch.resolve_matches(crossmatch.score_pairs(pairs, odds), config, cluster))
     featured = cut_lineage(crossmatch.with_features(crossmatch.enrich_matches(resolved, tic, simbad, config)))
     matches_path = f"{out}/matches"
     sinks.write_parquet(crossmatch.with_novelty(crossmatch.with_anomaly(featured)), matches_path)
@@ -62,10 +63,10 @@ def run_full_match(
         curve = catalogs.scan_lightcurve(spark.read.parquet(paths.lightcurves), best["tic_id"])
         sinks.write_csv(relative_flux(curve), f"{out}/lightcurve")
 
-    pairs = crossmatch.candidate_pairs(gaia, crossmatch.needed_columns(wise), config)
     return crossmatch.run_summary(gaia, wise, pairs, matches).first().asDict()
 
 
+@own_tables
 def run_validation(
     spark: SparkSession,
     match_paths: Sequence[str],

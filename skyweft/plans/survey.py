@@ -4,7 +4,8 @@ Every catalog column is an arithmetic expression over a table's own keys, valid
 as it stands in Spark SQL and in any ANSI SQL engine (double literals carry an
 exponent), so a check engine can derive the very same catalogs. Sources are laid
 out in fields of 15,000 orders each, so the sky grows with the tables while the
-density stays the same.
+density stays the same. Once the 68,000 places for fields are taken (10^9 orders),
+further fields share them, and density grows instead of the area.
 
 ==========  =========================================================
 gaia        one source per order, and a close companion per part
@@ -27,12 +28,13 @@ from skyweft.functions.sphere import cone_solid_angle
 
 FIELD_RADIUS_DEG = 0.3
 FIELD_CONE = (119.5, -60.83, FIELD_RADIUS_DEG)
+FIELDS_PER_ROW, FIELD_ROWS = 340, 200
 CLUSTER_NAMES = ("NGC_2516", "NGC2516")
 
 _FIELD = "CAST(floor(k / 15000e0) AS BIGINT)"
-_RA = f"(119.2e0 + ({_FIELD} % 340) * 0.7e0 + ((k * 7919) % 20011) / 20011e0 * 0.6e0)"
+_RA = f"(119.2e0 + ({_FIELD} % {FIELDS_PER_ROW}) * 0.7e0 + ((k * 7919) % 20011) / 20011e0 * 0.6e0)"
 _DEC = (
-    f"(-61.13e0 + (CAST(floor(k / 5100000e0) AS BIGINT) % 200) * 0.7e0"
+    f"(-61.13e0 + (CAST(floor(k / {15000 * FIELDS_PER_ROW}e0) AS BIGINT) % {FIELD_ROWS}) * 0.7e0"
     f" + ((k * 104729) % 30011) / 30011e0 * 0.6e0)"
 )
 _FAST = "(CASE WHEN k % 10 = 0 THEN 100e0 ELSE 1e0 END)"
@@ -205,9 +207,10 @@ class Survey:
         return self._spark.sql(template, **{i: self.relation(i) for i in _inputs(template)})
 
     def area_sr(self) -> Column:
-        """Solid angle of all fields: one cone each, as a single value of its own small plan."""
+        """Solid angle of all places that fields take: one cone each, as a single value of its own small plan."""
         last = self.relation("orders").agg(F.max(F.floor(F.col("o_orderkey") / F.lit(15000.0)))).scalar()
-        return (last + F.lit(1)).cast("double") * F.lit(cone_solid_angle(FIELD_RADIUS_DEG))
+        places = F.least(last + F.lit(1), F.lit(FIELDS_PER_ROW * FIELD_ROWS))
+        return places.cast("double") * F.lit(cone_solid_angle(FIELD_RADIUS_DEG))
 
     gaia = property(lambda self: nan_to_null(self.relation("gaia"), ["bp_rp"]), doc="Optical sources, epoch 2016.0.")
     wise = property(lambda self: nan_to_null(self.relation("wise"), ["w2sigmpro"]), doc="Infrared sources, epoch 2010.5.")

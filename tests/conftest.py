@@ -11,11 +11,11 @@ from skyweft.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session(
         "skyweft-tests", "local[4]",
         **{"spark.sql.shuffle.partitions": 4, "spark.ui.enabled": "false", "spark.driver.memory": "6g",
-           "spark.ui.showConsoleProgress": "false", "spark.sql.maxMetadataStringLength": 5000},
+           "spark.checkpoint.dir": str(tmp_path_factory.mktemp("tables")), "spark.ui.showConsoleProgress": "false", "spark.sql.maxMetadataStringLength": 5000},
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -12,7 +12,7 @@ from skyweft.operators.skew import hot_keys, salted_join
 
 SCHEMA_LEFT = "source_id long, ra double, dec double"
 SCHEMA_RIGHT = "designation long, ra double, dec double"
-CROWDED = NearestOptions(max_candidates=8, leaf_rows=6, max_left_rows=20)
+CROWDED = NearestOptions(max_candidates=8, leaf_rows=6, max_left_rows=20, salt_left=True)
 CROWDED_SHUFFLED = NearestOptions(max_candidates=8, leaf_rows=6, max_left_rows=20, max_broadcast_rows=0)
 
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 import os
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -12,7 +13,7 @@ from skyweft import cli
 from skyweft.config import FieldConfig
 from skyweft.plans import crossmatch, oracle, registry, report, runs
 from skyweft.plans.survey import CLUSTER_NAMES, FIELD_CONE, Survey
-from skyweft.session import cut_lineage
+from skyweft.session import cut_lineage, own_tables
 from skyweft.sources import catalogs, sinks
 
 SMALL = "/root/testdata/sf0.001"
@@ -138,3 +139,17 @@ def test_full_run_and_validation(spark, tmp_path):
     text = next((tmp_path / "out" / "report").glob("*.txt")).read_text(encoding="utf-8")
     assert f"Sources compared: {compared}" in text
     assert spark.read.option("header", True).csv(f"{out}/ablation").count() == 8
+
+
+def test_a_run_removes_its_tables(spark, tmp_path):
+    seen = []
+
+    @own_tables
+    def run(session):
+        table = cut_lineage(session.range(5))
+        seen.append(table.inputFiles()[0].removeprefix("file://"))
+        assert Path(seen[0]).exists()
+        return table.count()
+
+    assert run(spark) == 5
+    assert not Path(seen[0]).parent.exists() and not Path(seen[0]).parent.parent.exists()
