@@ -1,13 +1,16 @@
 """Approximate nearest neighbours by collision-counting hashing.
 
-Largest inner product becomes least distance: every vector gets one more
-component that brings it to the largest norm, queries get 0 there and are scaled
-to that norm. Each of ``PROJECTIONS`` random directions is one hash function; its
-values are kept as a sorted array. A query opens windows around its own value in
-all arrays, widened by ``WIDER`` in each round (virtual rehashing), and counts how
-often a vector falls into them. Vectors that collide in at least ``COLLISIONS`` of
-all directions are verified with their true inner product; rounds end when enough
-of them are found or everything collides.
+A block's vectors fall into bands of similar norm. In a band, largest inner product
+becomes least distance: every vector gets one more component that brings it to the
+band's largest norm, queries get 0 there and are scaled to that norm. Each of
+``PROJECTIONS`` random directions is one hash function; its values are kept as a sorted
+array. A query opens windows around its own value in all arrays and counts how
+often a vector falls into them; vectors that collide in at least ``COLLISIONS`` of all
+directions are verified with their true inner product. Windows widen by ``WIDER`` in
+each round (virtual rehashing) until as many as wanted are found, then to ``REACH`` times
+the distance that the query's current last wanted score means in the band, whatever
+share of the band has been verified by then. A band whose largest norm cannot give that
+score is not opened.
 
 Vectors and queries are dealt to blocks by hash; each pair of blocks is one task
 of bounded size, and the best of every query's blocks are merged. Equal vectors of
@@ -35,18 +38,20 @@ COLLISIONS = 0.75
 WIDER = 1.1
 #: First window, as a share of the spread of the projected values.
 FIRST_WINDOW = 0.1
-#: Share of a block's vectors to verify, beyond the asked-for number.
-VERIFIED = 0.25
-#: And at least so many.
-LEAST_VERIFIED = 400
-#: Rows that tell how far the windows have to open before all rows are counted.
+#: Windows of so many distances: a vector nearer than that collides often enough in 98 of 100 draws.
+REACH = 1.4
+#: Ratio of the largest to the smallest norm of a band.
+BAND = 1.2
+#: Bands of at most so many vectors are verified whole.
+WHOLE_ROWS = 64
+#: Rows that tell where the first window opens.
 TRIAL_ROWS = 512
 VECTOR_ROWS, QUERY_ROWS = 8192, 2048
 SEED = 20
 
 
 class ProjectionIndex:
-    """Sorted projections of a block's vectors, and each vector's place in every sorted array."""
+    """Sorted projections of a band's vectors, and each vector's place in every sorted array."""
 
     def __init__(self, vectors: np.ndarray, largest_norm: float):
         chance = np.random.default_rng(SEED)
@@ -59,40 +64,83 @@ class ProjectionIndex:
         self.place = np.empty((PROJECTIONS, self.rows), np.int32)
         np.put_along_axis(self.place, order.T, np.arange(self.rows, dtype=np.int32)[None, :], axis=1)
         self.trial = values[chance.permutation(self.rows)[:TRIAL_ROWS]]
-        self.window = FIRST_WINDOW * float(values.std(axis=0).mean()) or 1.0
+        self.least_window = FIRST_WINDOW * float(values.std(axis=0).mean()) or 1.0
         self.least = int(np.ceil(COLLISIONS * PROJECTIONS))
-        #: From here on every window holds the whole array.
-        self.last_round = int(np.ceil(np.log(4 * np.abs(values).max() / self.window + 4) / np.log(WIDER))) if np.isfinite(
-            self.window) else 0
 
-    def _colliding(self, values: np.ndarray, reach: float) -> np.ndarray:
+    def places_of(self, unit_query: np.ndarray) -> np.ndarray:
+        """The query's value in every direction, once scaled to the band's norm."""
+        return (unit_query * self.norm) @ self.directions[:-1]
+
+    def first_window(self, values: np.ndarray, wanted: int) -> float:
+        """The window in which about ``wanted`` rows collide, as the trial rows tell."""
+        reaches = np.partition(np.abs(self.trial - values), self.least - 1, axis=1)[:, self.least - 1]
+        at = min(len(reaches) - 1, wanted * len(reaches) // self.rows)
+        return max(self.least_window, float(np.partition(reaches, at)[at]))
+
+    def colliding(self, values: np.ndarray, reach: float) -> np.ndarray:
         """Rows that lie in the query-centred windows of enough sorted arrays."""
         low = np.array([np.searchsorted(a, v - reach, side="left") for a, v in zip(self.sorted, values, strict=True)])
         high = np.array([np.searchsorted(a, v + reach, side="right") for a, v in zip(self.sorted, values, strict=True)])
         inside = (self.place - low[:, None].astype(np.int32)).view(np.uint32) < (high - low)[:, None].astype(np.uint32)
         return np.flatnonzero(inside.sum(axis=0, dtype=np.int16) >= self.least)
 
+
+class NormBands:
+    """A block's vectors in bands of similar norm, the longest first; each but small ones has its index."""
+
+    def __init__(self, vectors: np.ndarray):
+        self.vectors = vectors
+        norms = np.sqrt((vectors**2).sum(axis=1))
+        measured = np.isfinite(norms) & (norms > 0)  # squares of extreme components overflow or vanish
+        self.bands: list[tuple[float, np.ndarray, ProjectionIndex | None]] = []
+        if not measured.all():
+            self.bands.append((np.inf, np.flatnonzero(~measured), None))
+        rows = np.flatnonzero(measured)
+        rows = rows[np.argsort(-norms[rows], kind="stable")]
+        while len(rows):
+            largest = float(norms[rows[0]])
+            n = int((norms[rows] >= largest / BAND).sum())
+            band, rows = rows[:n], rows[n:]
+            self.bands.append((largest, band, ProjectionIndex(vectors[band], largest) if n > WHOLE_ROWS else None))
+
     def candidates(self, queries: np.ndarray, nearest: int):
-        """For each query the rows that collide often enough: those asked for and the share to verify, or all."""
-        scaled = queries * (self.norm / np.sqrt((queries**2).sum(axis=1)))[:, None]
-        wanted = min(self.rows, nearest + max(LEAST_VERIFIED, int(VERIFIED * self.rows)))
-        wanted_trial = wanted / self.rows * len(self.trial)
-        level = 0
-        for q, values in enumerate(scaled @ self.directions[:-1]):
-            away = np.abs(self.trial - values)
-            enough = lambda n: (
-                ((away <= self.window * WIDER**n).sum(axis=1) >= self.least).sum() >= wanted_trial)  # noqa: B023
-            while level < self.last_round and not enough(level):
-                level += 1
-            while level > 0 and enough(level - 1):
-                level -= 1
-            for further in range(level, self.last_round):
-                rows = self._colliding(values, self.window * WIDER**further)
-                if len(rows) >= wanted:
-                    yield q, rows
-                    break
-            else:
-                yield q, np.arange(self.rows)
+        """For each query the verified rows, among which its nearest are."""
+        wanted = nearest + 1  # the query itself may be one of them
+        lengths = np.sqrt((queries**2).sum(axis=1))
+        for q, query in enumerate(queries):
+            length = float(lengths[q]) if np.isfinite(lengths[q]) and lengths[q] > 0 else None
+            best, verified = np.empty(0), []
+
+            def verify(rows: np.ndarray) -> None:
+                nonlocal best
+                verified.append(rows)  # noqa: B023
+                best = np.r_[best, self.vectors[rows] @ query]  # noqa: B023
+                if len(best) > wanted:
+                    best = np.partition(best, -wanted)[-wanted:]
+
+            for largest, rows, index in self.bands:
+                last = float(best.min()) if len(best) == wanted else -np.inf
+                if length and length * largest < last - 1e-9 * abs(last):
+                    continue
+                if index is None or not length:
+                    verify(rows)
+                    continue
+                values = index.places_of(query / length)
+                unseen = np.ones(index.rows, bool)
+                window = index.first_window(values, wanted)
+                while unseen.any():
+                    # The distance that the last wanted score means when both lie on the band's sphere.
+                    last = float(best.min()) if len(best) == wanted else -np.inf
+                    end = REACH * np.sqrt(max(0.0, 2 * largest * (largest - last / length)))
+                    window = window if np.isinf(end) else end
+                    found = index.colliding(values, window)
+                    found = found[unseen[found]]
+                    unseen[found] = False
+                    verify(rows[found])
+                    if window >= end:
+                        break
+                    window *= WIDER
+            yield q, np.concatenate(verified) if verified else np.empty(0, int)
 
 
 def _matrix(column: pa.ChunkedArray, n: int) -> np.ndarray:
@@ -100,7 +148,7 @@ def _matrix(column: pa.ChunkedArray, n: int) -> np.ndarray:
     return values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
 
 
-def _searched(queries: pa.Table, vectors: pa.Table, nearest: int, largest_norm: float) -> pa.Table:
+def _searched(queries: pa.Table, vectors: pa.Table, nearest: int) -> pa.Table:
     """The best of one block of vectors for one block of queries."""
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
     if not queries.num_rows or not vectors.num_rows:
@@ -110,7 +158,7 @@ def _searched(queries: pa.Table, vectors: pa.Table, nearest: int, largest_norm:
     distinct, kind = np.unique(matrix, axis=0, return_inverse=True)
     by_kind = np.lexsort((ids, kind.ravel()))
     firsts = np.r_[0, np.cumsum(np.bincount(kind.ravel()))]
-    index = ProjectionIndex(distinct, largest_norm)
+    index = NormBands(distinct)
     asked, asked_ids = _matrix(queries.column("vector"), queries.num_rows), queries.column("vec_id").to_pylist()
     out: list[tuple[int, int, float]] = []
     for q, rows in index.candidates(asked, nearest):
@@ -149,10 +197,7 @@ def search(
     """query_id, rank, vec_id, score: the nearest found of every query. ``vectors``: (vec_id, vector)."""
     prepare(vectors.sparkSession)
     landed = land(vectors)
-    squares = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
-    facts = landed.agg(
-        F.count(F.lit(1)).alias("rows"), F.count_if(is_query).alias("queries"), F.max(F.sqrt(squares)).alias("norm")
-    ).first()
+    facts = landed.agg(F.count(F.lit(1)).alias("rows"), F.count_if(is_query).alias("queries")).first()
     n_vectors = max(1, -(-facts.rows // vector_rows))
     n_queries = max(1, -(-facts.queries // query_rows))
     everywhere = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
@@ -160,8 +205,7 @@ def search(
         "*", spread(["vec_id"], F.lit(n_queries)).cast("int").alias("_q"), everywhere(n_vectors, "_v"))
     blocks = landed.select(
         "*", spread(["vec_id"], F.lit(n_vectors)).cast("int").alias("_v"), everywhere(n_queries, "_q"))
-    norm = float(facts.norm or 1.0)
     found = queries.groupBy("_q", "_v").cogroup(blocks.groupBy("_q", "_v")).applyInArrow(
-        lambda q, v: _searched(q, v, nearest, norm), "query_id long, vec_id long, score double")
+        lambda q, v: _searched(q, v, nearest), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")

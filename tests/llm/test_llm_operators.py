@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,6 +163,27 @@ def test_nearest_vectors_recall_and_scores(spark):
     assert hits >= 0.9 * total
 
 
+@pytest.mark.parametrize("norms", ["equal", "one long", "log-normal"])
+def test_nearest_vectors_recall_in_whole_blocks(norms):
+    draw = np.random.default_rng(4)
+    centres = draw.standard_normal((40, 64))
+    matrix = centres[draw.integers(0, 40, 8192)] + 0.8 * draw.standard_normal((8192, 64))
+    matrix /= np.sqrt((matrix**2).sum(axis=1))[:, None]
+    if norms == "one long":
+        matrix[7] *= 3
+    elif norms == "log-normal":
+        matrix *= draw.lognormal(0, 0.5, 8192)[:, None]
+    block = pa.table({"vec_id": np.arange(8192), "vector": pa.array(list(matrix))})
+    asked = list(range(0, 8192, 82))
+    found = nearest_vectors._searched(block.take(asked), block, 20).to_pylist()
+    hits = 0
+    for q in asked:
+        scores = matrix @ matrix[q]
+        scores[q] = -np.inf
+        hits += len({r["vec_id"] for r in found if r["query_id"] == q} & set(np.argsort(-scores)[:20].tolist()))
+    assert hits >= 0.95 * 20 * len(asked)
+
+
 def test_vectors_that_take_no_part(spark):
     data = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 1.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]),
             (7, [float("inf"), 0.0]), (8, [1.0]), (9, []), (None, [1.0, 1.0]), (10, [1.0, 0.0])]
