@@ -322,6 +322,20 @@ def test_language_held_out_accuracy(docs, rows):
     assert all(0 <= r.score <= 1 for r in found.values())
 
 
+def test_rare_languages_and_repeats_are_learned_by_bound(spark):
+    draw = random.Random(3)
+    say = lambda mark: " ".join(mark + "".join(draw.choices("aeiou", k=6)) for _ in range(12))
+    data = [(i, say("k"), "xx") for i in range(2000)] + [(9000 + i, say("z"), "yy") for i in range(8)]
+    data += [(5000, say("q"), "zz")] * 700 + [(5001 + i, say("r"), "zz") for i in range(300)]
+    frame = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    taught = Counter(r.lang for r in language_id._sample(frame, 40).collect())
+    assert taught == {"xx": 40, "yy": 8, "zz": 40}
+    judged = language_id.identify(frame, language_id.fit(frame, sample_rows=40)).collect()
+    assert {r.lang_pred for r in judged if r.doc_id >= 9000} == {"yy"}
+    again = frame.repartition(7)
+    assert sorted(language_id._sample(again, 40).collect()) == sorted(language_id._sample(frame, 40).collect())
+
+
 def test_odd_rows_have_defined_results(odd_docs):
     model = language_id.fit(odd_docs)
     langs = sorted((r.doc_id or 0, r.lang_pred) for r in language_id.identify(odd_docs, model).collect())
