@@ -1,11 +1,14 @@
 """Substring dedup by line hashing.
 
-A text falls into units: lines, and in them sentences. Each unit's normalised
-form, lower case with single spaces, has a 128-bit digest. Digests are grouped
-globally; the earliest occurrence, by doc_id and then place, is kept. Every other
-one is a repeat. A run of repeats in a row is removed when it has at least
-``LEAST_WORDS`` words, so chance equals of a few words stay. Removed runs are given
-as character ranges of the original text.
+A text falls into units: lines, and in them sentences. The normalised form of each
+line and sentence, lower case with single spaces, has a 128-bit digest. Digests are
+grouped globally; the earliest occurrence, by doc_id and then place, is kept. Every
+other one is a repeat. A line that stood as a line before is removed whatever its length.
+A run of repeated sentences in a row is removed when it has at least ``LEAST_WORDS``
+words, so chance equals of a few words stay; in scripts without blanks between words,
+characters are counted instead. A text that is nothing but repeats of fewer words than
+that stays: it is a short document, not a line of one. Removed runs are given as
+character ranges of the original text.
 
 Defined cases: a null text stays null and an empty one empty; units without words
 are never repeats and belong to the run around them; rows with a null doc_id rank
@@ -25,8 +28,15 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from skyweft.llm.common import map_slices, land, prepare
 
 LEAST_WORDS = 20
-#: Between two units: line feeds, or blanks after the end of a sentence.
-_between = re.compile(r"\s*\n\s*|(?<=[.!?])[ \t]+")
+#: Between two units: line feeds, or blanks after the end of a sentence, which full-width marks end without a blank
+#: and Thai, Lao, Burmese and Khmer letters with one.
+_between = re.compile(
+    r"\s*\n\s*|(?<=[.!?\u0964\u06d4\u061f\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff])[ \t]+"
+    r"|(?<=[\u3002\uff01\uff1f\uff61])(?![\s\u3002\uff01\uff1f\uff61\u300d\u300f\uff09\u201d])|(?<=[\u3002\uff01\uff1f\uff61])[ \t\u3000]+")
+_ideographs = re.compile(r"[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+_unspaced = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff]")
+#: Characters that count as a word.
+IDEOGRAPHS_A_WORD, UNSPACED_A_WORD = 2, 4
 _LAST = (1 << 63) - 1
 
 
@@ -44,56 +54,99 @@ def units_of(text: str) -> list[tuple[int, int, int]]:
 def digest_of(unit: str) -> tuple[bytes, int]:
     """(digest, number of words) of a unit's normalised form."""
     words = unit.lower().split()
-    return xxhash.xxh3_128_digest(" ".join(words).encode()), len(words)
+    counted = len(words)
+    if not unit.isascii():
+        counted = max(counted, len(_ideographs.findall(unit)) // IDEOGRAPHS_A_WORD
+                      + len(_unspaced.findall(unit)) // UNSPACED_A_WORD)
+    return xxhash.xxh3_128_digest(" ".join(words).encode()), counted
+
+
+def lines_of(text: str, units: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """(first, behind the last) unit of every line."""
+    ends = [n + 1 for n, (_, end, follows) in enumerate(units) if "\n" in text[end:follows] or n + 1 == len(units)]
+    return list(zip([0, *ends], ends, strict=False))
 
 
 def _first_units(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """(rank, place, hi, lo) of each different unit with words of every text, at its first place."""
-    ranks, places, digests = [], [], []
+    """(rank, place, line, hi, lo) of each different sentence and line with words of every text, at its first place.
+
+    A line that is one sentence is given once, as a line; one of several sentences has a row beside theirs.
+    """
+    ranks, places, lines, digests = [], [], [], []
     for rank, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-        seen = set()
-        for place, (start, end, _) in enumerate(units_of(text or "")):
-            digest, words = digest_of(text[start:end])
-            if words and digest not in seen:
-                seen.add(digest)
-                ranks.append(rank)
-                places.append(place)
-                digests.append(digest)
+        units, seen = units_of(text or ""), set()
+        for first, behind in lines_of(text or "", units):
+            spans = [(first, units[first][0], units[behind - 1][1], True)]
+            if behind - first > 1:
+                spans += [(n, units[n][0], units[n][1], False) for n in range(first, behind)]
+            for place, start, end, line in spans:
+                digest, words = digest_of(text[start:end])
+                if words and (digest, line) not in seen:
+                    seen.add((digest, line))
+                    ranks.append(rank)
+                    places.append(place)
+                    lines.append(line)
+                    digests.append(digest)
     both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
     return pa.RecordBatch.from_arrays(
-        [pa.array(ranks, pa.int64()), pa.array(places, pa.int32()), pa.array(both[:, 0]), pa.array(both[:, 1])],
-        names=["_rank", "_place", "_hi", "_lo"])
+        [pa.array(ranks, pa.int64()), pa.array(places, pa.int32()), pa.array(lines, pa.bool_()), pa.array(both[:, 0]),
+         pa.array(both[:, 1])],
+        names=["_rank", "_place", "_line", "_hi", "_lo"])
 
 
-def cleaned(text: str, repeats: list[int], least_words: int) -> tuple[str, int, list[tuple[int, int]]]:
+def cleaned(
+    text: str, repeats: list[int], least_words: int, line_repeats: list[int] | None = None
+) -> tuple[str, int, list[tuple[int, int]]]:
     """(text without removed runs, number of units, removed character ranges).
 
-    ``repeats``: places of units, each the first of its kind in this text, that
-    an earlier document has.
+    ``repeats``: places of units, each the first of its kind in this text, that an
+    earlier document has. ``line_repeats``: first units of lines that it has as lines.
     """
     units = units_of(text)
     digests = [digest_of(text[start:end]) for start, end, _ in units]
+    lines = lines_of(text, units)
+    whole = {first: digest_of(text[units[first][0] : units[behind - 1][1]])[0] for first, behind in lines}
     elsewhere = {digests[place][0] for place in repeats}
+    lines_elsewhere = {whole[first] for first in line_repeats or []}
     seen: set[bytes] = set()
+    lines_seen: set[bytes] = set()
+    # Of every unit: whether it is repeated, and whether its whole line is.
+    repeated, in_line = [False] * len(units), [False] * len(units)
+    for first, behind in lines:
+        again = whole[first] in lines_elsewhere or whole[first] in lines_seen
+        lines_seen.add(whole[first])
+        for n in range(first, behind):
+            digest, words = digests[n]
+            in_line[n] = again and words > 0
+            repeated[n] = words > 0 and (again or digest in elsewhere or digest in seen)
+            seen.add(digest)
+    words_of = [words for _, words in digests]
+    if all(repeated[n] or not words_of[n] for n in range(len(units))) and sum(words_of) < least_words:
+        return text, len(units), []
     removed: list[tuple[int, int]] = []
-    run_start, run_end, run_words = 0, 0, 0
+    run: list[int] = []
 
     def close() -> None:
-        if run_words >= least_words:
-            removed.append((run_start, run_end))
-
-    for (start, _, follows), (digest, words) in zip(units, digests, strict=True):
-        repeated = words > 0 and (digest in elsewhere or digest in seen)
-        seen.add(digest)
-        if repeated:
-            if not run_words:
-                run_start = start
-            run_end, run_words = follows, run_words + words
-        elif words:
+        """Take the whole run if it has enough words, or else its repeated lines."""
+        taken = run if sum(words_of[n] for n in run) >= least_words else [n for n in run if in_line[n]]
+        for n in taken:
+            if removed and all(not words_of[k] for k in range(place_of[removed[-1][1]], n)):
+                removed[-1] = (removed[-1][0], units[n][2])
+            else:
+                removed.append((units[n][0], units[n][2]))
+        if taken and run and taken[-1] == run[-1]:
+            behind = run[-1] + 1
+            while behind < len(units) and not words_of[behind]:
+                behind += 1
+            removed[-1] = (removed[-1][0], units[behind - 1][2])
+
+    place_of = {follows: n + 1 for n, (_, _, follows) in enumerate(units)}
+    for n in range(len(units)):
+        if repeated[n]:
+            run.append(n)
+        elif words_of[n]:
             close()
-            run_words = 0
-        elif run_words:
-            run_end = follows
+            run.clear()
     close()
     kept, at = [], 0
     for start, end in removed:
@@ -112,17 +165,23 @@ def dedup_lines(
     """
     prepare(docs.sparkSession)
     rank = F.coalesce(F.col("doc_id"), F.lit(_LAST)).alias("_rank")
-    units = land(map_slices(docs.select(rank, "text"), _first_units, "_rank long, _place int, _hi long, _lo long"))
-    first = units.groupBy("_hi", "_lo").agg(F.min("_rank").alias("_first"), F.max("_rank").alias("_other"))
-    first = first.filter(F.col("_first") != F.col("_other")).select("_hi", "_lo", "_first")
+    units = land(map_slices(docs.select(rank, "text"), _first_units, "_rank long, _place int, _line boolean, _hi long, _lo long"))
+    # A sentence repeats what any earlier text holds, a line what one holds as a line.
+    first = units.groupBy("_hi", "_lo").agg(
+        F.min("_rank").alias("_first"), F.min(F.when(F.col("_line"), F.col("_rank"))).alias("_first_line"),
+        F.max("_rank").alias("_other"))
+    first = first.filter(F.col("_first") != F.col("_other")).select("_hi", "_lo", "_first", "_first_line")
     repeats = units.join(first, ["_hi", "_lo"]).filter(F.col("_rank") > F.col("_first"))
-    repeats = repeats.groupBy("_rank").agg(F.collect_set("_place").alias("_repeats"))
+    as_line = F.col("_line") & (F.col("_rank") > F.col("_first_line"))
+    repeats = repeats.groupBy("_rank").agg(
+        F.collect_set("_place").alias("_repeats"), F.collect_set(F.when(as_line, F.col("_place"))).alias("_lines"))
     others = F.struct(*[F.col(f"`{c}`") for c in carry if c != "text"], F.lit(0).alias("_")).alias("_others")
-    rows = docs.select(rank, others, "text").join(repeats, "_rank", "left").select("_others", "text", "_repeats")
+    rows = docs.select(rank, others, "text").join(repeats, "_rank", "left").select("_others", "text", "_repeats", "_lines")
 
     def clean(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, repeated = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-        done = [cleaned(t, r or [], least_words) if t else (t, 0, []) for t, r in zip(texts, repeated, strict=True)]
+        texts, repeated, lines = (batch.column(n).to_pylist() for n in (1, 2, 3))
+        done = [cleaned(t, r or [], least_words, n or []) if t else (t, 0, [])
+                for t, r, n in zip(texts, repeated, lines, strict=True)]
         ranges = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         return pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int32()),

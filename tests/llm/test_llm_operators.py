@@ -257,6 +257,21 @@ def test_repeated_passages_go_once(spark):
         assert kept + texts[d][at:] == found[d].text and texts[d][found[d]._removed[0].start :].startswith(passage)
 
 
+def test_short_lines_and_unspaced_scripts_go_once(spark):
+    draw = random.Random(12)
+    say = lambda n: " ".join(f"u{draw.randrange(10**6)}" for _ in range(n)) + "."
+    chinese = "".join(chr(0x4E00 + draw.randrange(9000)) for _ in range(60)) + "。"
+    other = ["".join(chr(0x4E00 + draw.randrange(9000)) for _ in range(50)) + "。" for _ in range(4)]
+    one, two = say(12), say(12)
+    texts = {
+        1: f"{one}\nAll rights reserved.\n{other[0]}{chinese}{other[1]}", 2: f"{two}\nAll  rights reserved.\n{other[2]}{chinese}{other[3]}",
+        3: f"All rights reserved.\n{say(9)} Few words. {say(9)}", 4: f"{say(9)} Few words. {say(9)}\nAll rights reserved."}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame).collect()}
+    assert found[1] == texts[1] and found[2] == f"{two}\n{other[2]}{other[3]}"
+    assert found[3] == texts[3].split("\n")[1] and found[4] == texts[4].split("\n")[0] + "\n"
+
+
 def test_matrix_round_trip(docs, rows, tmp_path, spark):
     matrix = packed_output.pack_matrix(docs, BYTE_BPE, capacity=512, block_bytes=100_000)
     packed_output.write_matrix(matrix, f"{tmp_path}/m")
