@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skyweft.llm import (
-    language_id, line_dedup, mixing, nearest_vectors, ngram_join, packed_output, quality, slack_packing, token_counts,
-    url_filter,
+    conversation_repair, language_id, line_dedup, mixing, nearest_vectors, ngram_join, packed_output, quality, sharding,
+    slack_packing, token_alignment, token_counts, url_filter,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,6 +79,26 @@ def op10_language_id(spark: SparkSession, table_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.fit(docs))
 
 
+def op11_conversation_repair(spark: SparkSession, table_dir: str) -> DataFrame:
+    """Faults, cheapest repair and digest of every conversation after damage."""
+    return conversation_repair.repair_damaged(spark.read.parquet(f"{table_dir}/conversations.parquet"))
+
+
+def op12_token_alignment(spark: SparkSession, table_dir: str) -> DataFrame:
+    """Groups and links between the tokens of two tokenizers in every text."""
+    return token_alignment.align_tokens(
+        _documents(spark, table_dir), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op13_byte_shards(spark: SparkSession, table_dir: str) -> DataFrame:
+    """24 shards of nearly equal bytes."""
+    sharded = sharding.shard_documents(_documents(spark, table_dir))
+    text = F.coalesce(F.col("row.text"), F.lit(""))
+    return sharded.select(
+        F.col("row.doc_id").alias("doc_id"), "size", F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def pipeline(spark: SparkSession, table_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -88,7 +108,8 @@ def pipeline(spark: SparkSession, table_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     own = (
         op1_ngram_join, op2_slack_packing, op3_token_counts, op4_nearest_vectors, op5_quality_rules, op6_source_mix,
-        op7_line_dedup, op8_packed_output, op9_url_filter, op10_language_id, pipeline,
+        op7_line_dedup, op8_packed_output, op9_url_filter, op10_language_id,
+        op11_conversation_repair, op12_token_alignment, op13_byte_shards, pipeline,
     )
     return {function.__name__: function for function in own}
 
