@@ -111,8 +111,8 @@ def _touched_cells(df: DataFrame, edge: float, reach: float) -> DataFrame:
     return df.filter((nearest <= F.lit(1.0 + 1e-9)) & (farthest >= F.lit(1.0 - 1e-9)))
 
 
-def _closest(candidates: str, threshold: float) -> Column:
-    """Array with the smallest (separation, key, columns) below the threshold, or without any.
+def _closest(candidates: str, threshold: float, k: int = 1) -> Column:
+    """Array with the ``k`` smallest (separation, key, columns) below the threshold, or as many as there are.
 
     A cheap bound on one axis comes first: no chord is shorter than its part
     along the polar axis. Exploding the array drops rows without a match and
@@ -126,7 +126,7 @@ def _closest(candidates: str, threshold: float) -> Column:
 
     level = F.filter(candidates, lambda r: F.abs(r["sin"] - F.col("_sin")) <= F.lit(reach))
     near = F.filter(F.transform(level, measure), lambda m: m["separation"] < F.lit(threshold))
-    return F.slice(F.array_sort(near), 1, 1)
+    return F.slice(F.array_sort(near), 1, k)
 
 
 def _right_body(key: str, columns: list[str]) -> Column:
@@ -164,17 +164,114 @@ def crossmatch_nearest(
     Output: prefixed left columns, prefixed right columns and the separation in
     arcsec.
     """
+    return _crossmatch(
+        left, right, left_key, right_key, (left_ra, left_dec), (right_ra, right_dec), float(threshold_arcsec), 1, how, options,
+    ).select(*_named(left, right, left_prefix, right_prefix, separation))
+
+
+def crossmatch_k_nearest(
+    left: DataFrame,
+    right: DataFrame,
+    *,
+    k: int,
+    left_key: str = "source_id",
+    right_key: str = "designation",
+    left_ra: str = "ra",
+    left_dec: str = "dec",
+    right_ra: str = "ra",
+    right_dec: str = "dec",
+    threshold_arcsec: float = 2.0,
+    left_prefix: str = "gaia_",
+    right_prefix: str = "wise_",
+    separation: str = "distance_arcsec",
+    rank: str = "rank",
+    how: str = "inner",
+    options: NearestOptions = NearestOptions(),
+) -> DataFrame:
+    """For each left row its ``k`` nearest right rows strictly below the threshold, ranked from 1.
+
+    The plan is that of ``crossmatch_nearest``; a left row never holds more than
+    ``k`` candidates of a leaf. Among equally near right rows the smaller ``right_key``
+    ranks first; copies of a right row with one key all count, up to ``k``. A left row
+    with none comes once with ``how="left"``, with a NULL rank.
+    """
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    matched = _crossmatch(
+        left, right, left_key, right_key, (left_ra, left_dec), (right_ra, right_dec), float(threshold_arcsec), k, how, options)
+    return matched.select(*_named(left, right, left_prefix, right_prefix, separation), (F.col("_at") + 1).alias(rank))
+
+
+def pairs_within(
+    left: DataFrame,
+    right: DataFrame,
+    *,
+    left_key: str = "source_id",
+    left_ra: str = "ra",
+    left_dec: str = "dec",
+    right_ra: str = "ra",
+    right_dec: str = "dec",
+    radius_arcsec: float = 2.0,
+    left_prefix: str = "gaia_",
+    right_prefix: str = "wise_",
+    separation: str = "distance_arcsec",
+    options: NearestOptions = NearestOptions(cell_factor=1.0),
+) -> DataFrame:
+    """All pairs of a left and a right row strictly closer than the radius.
+
+    An equi-join on cells with the distance as its residual: a left row lies in
+    one cell, a right row is copied to those that its ball touches, so each pair
+    meets once. Cells are as wide as the radius, which keeps the pairs looked at
+    in proportion to those found, however crowded the sky; cells are no arrays
+    here, so adaptive execution splits a crowded one on both sides, and ``salt_left``
+    does so by salting. Equal rows pair as often as they occur.
+    """
+    radius = float(radius_arcsec)
+    reach = _reach(radius)
+    edge = max(reach * options.cell_factor, 1e-9)
+    lefts = _own_cell(_with_geometry(left.filter(_has_place(left_ra, left_dec)), left_ra, left_dec, True), edge, left_key)
+    rights = _with_geometry(right.filter(_has_place(right_ra, right_dec)), right_ra, right_dec, True)
+    packed = F.struct(*[F.col(f"`{c}`") for c in right.columns]).alias("row")
+    near = F.struct(F.col("_ra").alias("ra"), F.col("_sin").alias("sin"), F.col("_cos").alias("cos"), packed).alias("_near")
+    rights = _touched_cells(rights, edge, reach).select(*CELL, near)
+    if options.salt_left:
+        joined = salted_join(lefts, rights, CELL, left_key, "inner", options.max_left_rows)
+    else:
+        joined = lefts.join(rights, list(CELL))
+    level = F.abs(F.col("_near.sin") - F.col("_sin")) <= F.lit(reach)
+    apart = _separation(
+        F.col("_ra"), F.col("_sin"), F.col("_cos"), F.col("_near.ra"), F.col("_near.sin"), F.col("_near.cos"))
+    found = joined.filter(level).withColumn("_apart", apart).filter(F.col("_apart") < F.lit(radius))
+    return found.select(
+        *[F.col(f"`{c}`").alias(left_prefix + c) for c in left.columns],
+        *[F.col("_near.row").getField(c).alias(right_prefix + c) for c in right.columns],
+        F.col("_apart").alias(separation),
+    )
+
+
+def _named(left: DataFrame, right: DataFrame, left_prefix: str, right_prefix: str, separation: str) -> list[Column]:
+    return [
+        *[F.col(f"`{c}`").alias(left_prefix + c) for c in left.columns],
+        *[F.col("_best.row").getField(c).alias(right_prefix + c) for c in right.columns],
+        F.col("_best.separation").alias(separation),
+    ]
+
+
+def _crossmatch(
+    left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_place: tuple[str, str],
+    right_place: tuple[str, str], threshold: float, k: int, how: str, options: NearestOptions,
+) -> DataFrame:
+    """Left columns, ``_at`` (place among the nearest, from 0) and ``_best`` (separation, key, right columns)."""
     if how not in ("inner", "left"):
         raise ValueError("how must be 'inner' or 'left'")
-    threshold = float(threshold_arcsec)
     reach = _reach(threshold)
     edge = max(reach * options.cell_factor, 1e-9)
     left_columns, right_columns = left.columns, right.columns
 
     inner = how == "inner"
-    lefts = left.filter(_has_place(left_ra, left_dec)) if inner else left
-    lefts = _own_cell(_with_geometry(lefts, left_ra, left_dec, inner), edge, left_key)
-    placed = _with_geometry(right.filter(_has_place(right_ra, right_dec)), right_ra, right_dec, True)
+    lefts = left.filter(_has_place(*left_place)) if inner else left
+    lefts = _own_cell(_with_geometry(lefts, *left_place, inner), edge, left_key)
+    placed = _with_geometry(right.filter(_has_place(*right_place)), *right_place, True)
     rights = _touched_cells(placed, edge, reach)
 
     tally = rights.groupBy(*CELL).agg(F.count(F.lit(1)).alias("_rows"))
@@ -188,21 +285,16 @@ def crossmatch_nearest(
         joined = salted_join(lefts, arrays, CELL, left_key, how, options.max_left_rows)
     else:
         joined = lefts.join(arrays, list(CELL), how)
-    explode = F.explode if inner else F.explode_outer
-    matched = joined.withColumn("_best", explode(_closest("_near", threshold)))
+    explode = F.posexplode if inner else F.posexplode_outer
+    kept = [F.col(f"`{c}`") for c in left_columns]
+    matched = joined.select(*kept, explode(_closest("_near", threshold, k)).alias("_at", "_best"))
 
     if crowded is not None:
         crowded_left, crowded_right = crowded
-        found = _descend(crowded_left, crowded_right, right_key, right_columns, threshold, reach, options)
+        found = _descend(crowded_left, crowded_right, right_key, right_columns, threshold, reach, k, options)
         descended = salted_join(crowded_left, found, PLACE, left_key, how, options.max_left_rows)
-        kept = [F.col(f"`{c}`") for c in left_columns] + [F.col("_best")]
-        matched = matched.select(*kept).unionByName(descended.select(*kept))
-
-    return matched.select(
-        *[F.col(f"`{c}`").alias(left_prefix + c) for c in left_columns],
-        *[F.col("_best.row").getField(c).alias(right_prefix + c) for c in right_columns],
-        F.col("_best.separation").alias(separation),
-    )
+        matched = matched.unionByName(descended.select(*kept, explode("_found").alias("_at", "_best")))
+    return matched
 
 
 def _set_apart(lefts: DataFrame, rights: DataFrame, tally: DataFrame, options: NearestOptions) -> tuple:
@@ -248,19 +340,22 @@ def _descend(
     right_columns: list[str],
     threshold: float,
     reach: float,
+    k: int,
     options: NearestOptions,
 ) -> DataFrame:
-    """Nearest neighbour of every place in crowded cells: coordinates and ``_best``.
+    """The ``k`` nearest neighbours of every place in crowded cells: coordinates and the array ``_found``.
 
-    Copies of a place count once on either side.
+    Left copies of a place count once, right ones ``k`` times at most.
     """
     node = F.concat_ws(":", *CELL).alias("_node")
     body = _right_body(right_key, right_columns)
-    points = cut_lineage(
-        rights.select(node, *PLACE, *AXES, body.alias("_body"), F.col(f"`{right_key}`").alias("_key"))
-        .groupBy("_node", *PLACE, *AXES)
-        .agg(F.min_by("_body", "_key").alias("_body"))
-    )
+    points = rights.select(node, *PLACE, *AXES, body.alias("_body"), F.col(f"`{right_key}`").alias("_key"))
+    if k == 1:
+        points = points.groupBy("_node", *PLACE, *AXES).agg(F.min_by("_body", "_key").alias("_body"))
+    else:
+        first = F.row_number().over(Window.partitionBy("_node", *PLACE, *AXES).orderBy("_key"))
+        points = points.withColumn("_first", first).filter(F.col("_first") <= k).drop("_first", "_key")
+    points = cut_lineage(points)
     frontier = (
         lefts.select(*PLACE, "_sin", "_cos", *AXES, node)
         .distinct()
@@ -275,13 +370,17 @@ def _descend(
         if n_large == 0:
             break
         points = cut_lineage(_split_points(points, large, n_large, options))
-        frontier = cut_lineage(_follow(frontier, points, n_large, options))
+        frontier = cut_lineage(_follow(frontier, points, n_large, k, options))
         points = points.drop("_parent")
 
     leaves = points.groupBy("_node").agg(F.collect_list("_body").alias("_near"))
     reached = salted_join(frontier, leaves, ["_node"], "_x", "inner", options.max_left_rows)
-    best = reached.withColumn("_best", F.explode(_closest("_near", threshold)))
-    return best.groupBy(*PLACE).agg(F.min("_best").alias("_best"))
+    best = reached.withColumn("_best", F.explode(_closest("_near", threshold, k)))
+    if k == 1:
+        return best.groupBy(*PLACE).agg(F.array(F.min("_best")).alias("_found"))
+    place = F.row_number().over(Window.partitionBy(*PLACE).orderBy("_best"))
+    best = best.withColumn("_nth", place).filter(F.col("_nth") <= k)
+    return best.groupBy(*PLACE).agg(F.array_sort(F.collect_list("_best")).alias("_found"))
 
 
 def _split_points(points: DataFrame, large: DataFrame, n_large: int, options: NearestOptions) -> DataFrame:
@@ -306,10 +405,24 @@ def _split_points(points: DataFrame, large: DataFrame, n_large: int, options: Ne
     )
 
 
-def _follow(frontier: DataFrame, points: DataFrame, n_large: int, options: NearestOptions) -> DataFrame:
-    """Replace split boxes on the frontier by the children that may hold the nearest neighbour."""
-    boxes = points.filter(F.col("_parent").isNotNull()).groupBy("_parent", "_node").agg(*_bounds())
-    box = F.struct(F.col("_node").alias("node"), *[f"{n}{a}" for a in AXES for n in ("low", "high")])
+def _reached(options: Column, k: int) -> Column:
+    """Distance within which boxes (far, rows, ...) hold ``k`` rows for certain, or NULL where they do not."""
+    if k == 1:
+        return F.array_min(F.transform(options, lambda o: o["far"]))
+    start = F.struct(F.lit(0).cast("long").alias("rows"), F.lit(None).cast("double").alias("far"))
+
+    def add(held: Column, o: Column) -> Column:
+        far = F.when(held["rows"] >= k, held["far"]).otherwise(o["far"])
+        return F.struct((held["rows"] + o["rows"]).alias("rows"), far.alias("far"))
+
+    return F.aggregate(F.array_sort(options), start, add, lambda held: F.when(held["rows"] >= k, held["far"]))
+
+
+def _follow(frontier: DataFrame, points: DataFrame, n_large: int, k: int, options: NearestOptions) -> DataFrame:
+    """Replace split boxes on the frontier by the children that may hold one of the ``k`` nearest neighbours."""
+    rows = F.count(F.lit(1)).alias("rows")
+    boxes = points.filter(F.col("_parent").isNotNull()).groupBy("_parent", "_node").agg(*_bounds(), rows)
+    box = F.struct(F.col("_node").alias("node"), *[f"{n}{a}" for a in AXES for n in ("low", "high")], "rows")
     children = boxes.groupBy(F.col("_parent").alias("_node")).agg(F.collect_list(box).alias("_children"))
     if n_large * options.split_per_axis**3 <= options.max_broadcast_rows:
         joined = frontier.join(F.broadcast(children), "_node", "left")
@@ -318,16 +431,13 @@ def _follow(frontier: DataFrame, points: DataFrame, n_large: int, options: Neare
 
     def measure(child: Column) -> Column:
         near, far = _box_distances(child)
-        return F.struct(child["node"].alias("node"), near.alias("near"), far.alias("far"))
+        return F.struct(far.alias("far"), child["rows"].alias("rows"), near.alias("near"), child["node"].alias("node"))
 
-    unsplit = F.array(
-        F.struct(F.col("_node").alias("node"), F.col("_gap").alias("near"), F.col("_bound").alias("far"))
-    )
+    unsplit = F.array(F.struct(
+        F.col("_bound").alias("far"), F.lit(k).cast("long").alias("rows"), F.col("_gap").alias("near"),
+        F.col("_node").alias("node")))
     measured = joined.withColumn("_options", F.coalesce(F.transform("_children", measure), unsplit))
-    bounded = measured.withColumn(
-        "_bound",
-        F.least(F.col("_bound"), F.array_min(F.transform("_options", lambda o: o["far"])) + F.lit(SLACK)),
-    )
+    bounded = measured.withColumn("_bound", F.least(F.col("_bound"), _reached(F.col("_options"), k) + F.lit(SLACK)))
     kept = F.filter("_options", lambda o: o["near"] <= F.col("_bound") + F.lit(SLACK))
     exploded = bounded.withColumn("_option", F.explode(kept))
     tight = F.min("_bound").over(Window.partitionBy(*PLACE))

@@ -10,7 +10,7 @@ from skyweft.functions.astrometry import gaia_radial_sigma, propagate_position,
 from skyweft.operators.assign import one_to_one
 from skyweft.operators.enrich import enrich_known_objects, flag_known_objects, join_tic
 from skyweft.operators.isolation import fit_isolation_forest, score_isolation_forest
-from skyweft.operators.nearest import NearestOptions, crossmatch_nearest
+from skyweft.operators.nearest import NearestOptions, crossmatch_k_nearest, crossmatch_nearest, pairs_within
 from skyweft.session import cut_lineage
 from skyweft.sources.conform import select_present
 
@@ -81,10 +81,27 @@ def candidate_pairs(
     moved = propagate_position(
         gaia, config.gaia_epoch, config.wise_epoch, out_ra="ra_at_wise", out_dec="dec_at_wise"
     )
-    near = crossmatch_nearest(
+    return with_evidence(crossmatch_nearest(
         moved, wise, left_ra="ra_at_wise", left_dec="dec_at_wise",
         threshold_arcsec=config.prefilter_arcsec, separation="psi_arcsec", options=options,
+    ))
+
+
+def all_candidate_pairs(
+    gaia: DataFrame, wise: DataFrame, config: MatchConfig = MatchConfig(), most: int | None = None
+) -> DataFrame:
+    """Every pair below the prefilter radius, or the ``most`` nearest of each optical source, with log evidence."""
+    moved = propagate_position(
+        gaia, config.gaia_epoch, config.wise_epoch, out_ra="ra_at_wise", out_dec="dec_at_wise"
     )
+    places = {"left_ra": "ra_at_wise", "left_dec": "dec_at_wise", "separation": "psi_arcsec"}
+    if most is None:
+        return with_evidence(pairs_within(moved, wise, radius_arcsec=config.prefilter_arcsec, **places))
+    return with_evidence(crossmatch_k_nearest(moved, wise, k=most, threshold_arcsec=config.prefilter_arcsec, **places))
+
+
+def with_evidence(near: DataFrame) -> DataFrame:
+    """Pairs with both positional errors and the log of the Bayes factor."""
     return near.withColumns(
         {
             "sigma_gaia": gaia_radial_sigma(F.col("gaia_ra_error"), F.col("gaia_dec_error")),

@@ -45,6 +45,16 @@ def _nearest(left: str, lkey: str, lra: str, ldec: str, right: str, rkey: str, r
     )
 
 
+def _within(left: str, lkey: str, lra: str, ldec: str, right: str, rkey: str, rra: str, rdec: str, radius: float) -> str:
+    """Rows ``lk, rk, sep``: all pairs below the radius."""
+    band = f"{radius / 3600.0 * 1.000001!r}::DOUBLE"
+    return (
+        f"SELECT lk, rk, sep FROM (SELECT l.{lkey} AS lk, r.{rkey} AS rk, {_sep(f'l.{lra}', f'l.{ldec}', f'r.{rra}', f'r.{rdec}')} AS sep"
+        f" FROM {left} l JOIN {right} r ON r.{rdec} BETWEEN l.{ldec} - {band} AND l.{ldec} + {band})"
+        f" WHERE sep < {radius}::DOUBLE"
+    )
+
+
 def _r(columns: str, digits: int = 6) -> str:
     """``a, b AS c`` with every expression rounded."""
     out = []
@@ -191,6 +201,41 @@ _RELATIONS: dict[str, str] = {
         "SELECT p.*, 1e0 / (1e0 + exp(-least(700e0, greatest(-700e0, ln_b + ln(o.prior_odds))))) AS posterior"
         " FROM pairs p, odds o"
     ),
+    "near_twenty": _within("g_moved", "source_id", "ra_epoch", "dec_epoch", "w", "designation", "ra", "dec", 20.0),
+    "near_three": (
+        "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lk ORDER BY sep, rk) AS place FROM near_twenty) WHERE place <= 3"
+    ),
+    "near_scan": _within("g_scan", "source_id", "ra_epoch", "dec_epoch", "w", "designation", "ra", "dec", 5.0),
+    "all_pairs": (
+        "SELECT lk AS source_id, rk AS designation, sep AS psi,"
+        " ln(2e0) - ln((a.sigma*a.sigma + b.sigma*b.sigma) * pow(pi()/648000e0, 2))"
+        " - sep*sep / (2e0*(a.sigma*a.sigma + b.sigma*b.sigma)) AS ln_b"
+        " FROM near_scan JOIN sigma_g a ON lk = a.source_id JOIN sigma_w b ON rk = b.designation"
+    ),
+    "edges": (
+        "SELECT * FROM (SELECT p.*, 1e0 / (1e0 + exp(-least(700e0, greatest(-700e0, ln_b + ln(o.prior_odds))))) AS posterior"
+        " FROM all_pairs p, odds o) WHERE posterior > 0.01e0"
+    ),
+    # Optical sources that compete, directly or through others, and their places among each other.
+    "rivals": "SELECT DISTINCT x.source_id AS a, y.source_id AS b FROM edges x JOIN edges y ON x.designation = y.designation",
+    "linked": (
+        "WITH RECURSIVE reach AS (SELECT a, b FROM rivals UNION SELECT reach.a, rivals.b FROM reach JOIN rivals ON reach.b = rivals.a)"
+        " SELECT a AS source_id, min(b) AS family FROM reach GROUP BY a"
+    ),
+    "turns": "SELECT source_id, family, row_number() OVER (PARTITION BY family ORDER BY source_id) AS turn FROM linked",
+    "moves": (
+        "SELECT t.family, t.turn, e.designation, -e.ln_b AS cost FROM turns t JOIN edges e ON t.source_id = e.source_id"
+        " UNION ALL SELECT family, turn, NULL, 0e0 FROM turns"
+    ),
+    # Every way in which each family may be matched, source by source.
+    "endings": (
+        "WITH RECURSIVE plays AS (SELECT DISTINCT family, 0::BIGINT AS turn, []::VARCHAR[] AS used, 0 AS n, 0e0 AS cost FROM turns"
+        " UNION ALL SELECT p.family, p.turn + 1, list_append(p.used, m.designation), p.n + CAST(m.designation IS NOT NULL AS INTEGER),"
+        " p.cost + m.cost FROM plays p JOIN moves m ON m.family = p.family AND m.turn = p.turn + 1"
+        " WHERE m.designation IS NULL OR NOT list_contains(p.used, m.designation))"
+        " SELECT p.family, p.used, row_number() OVER (PARTITION BY p.family ORDER BY p.n DESC, p.cost, p.used) AS place FROM plays p"
+        " JOIN (SELECT family, max(turn) AS last FROM turns GROUP BY family) f ON p.family = f.family AND p.turn = f.last"
+    ),
     "chosen": (
         "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY designation ORDER BY ln_b DESC, source_id) AS place"
         " FROM scored WHERE posterior > 0.01e0) WHERE place = 1"
@@ -402,6 +447,10 @@ _QUERIES: dict[str, str] = {
     "xmatch_nearest_crowded": (
         "SELECT lk AS gaia_source_id, rk AS wise_designation, round(sep, 6) AS distance_arcsec FROM nn_five"
     ),
+    **dict.fromkeys(
+        ("xmatch_k_nearest", "xmatch_k_nearest_crowded"),
+        "SELECT lk AS gaia_source_id, rk AS wise_designation, CAST(place AS INTEGER) AS rank, round(sep, 6) AS distance_arcsec FROM near_three"),
+    "xmatch_pairs_within": "SELECT lk AS gaia_source_id, rk AS wise_designation, round(sep, 6) AS distance_arcsec FROM near_twenty",
     "xmatch_gain": (
         "SELECT (SELECT count(*) FROM nn_raw) AS n_raw, (SELECT count(*) FROM nn_pm) AS n_pm,"
         " (SELECT count(*) FROM nn_pm) - (SELECT count(*) FROM nn_raw) AS gain"
@@ -458,6 +507,14 @@ _QUERIES: dict[str, str] = {
         "SELECT source_id AS gaia_source_id, designation AS wise_designation, round(psi, 6) AS psi_arcsec,"
         " round(posterior, 6) AS posterior FROM chosen"
     ),
+    "candidates_all_5as": (
+        "SELECT source_id AS gaia_source_id, designation AS wise_designation, round(psi, 6) AS psi_arcsec, round(ln_b, 4) AS ln_b FROM all_pairs"
+    ),
+    "assign_general": (
+        "SELECT e.source_id AS gaia_source_id, e.designation AS wise_designation, round(e.psi, 6) AS psi_arcsec, round(e.ln_b, 4) AS ln_b,"
+        " round(e.posterior, 6) AS posterior FROM endings d JOIN turns t ON t.family = d.family AND d.place = 1"
+        " JOIN edges e ON e.source_id = t.source_id AND e.designation = d.used[t.turn]"
+    ),
     "pair_metrics_rejoin": (
         "SELECT c.source_id AS gaia_source_id, c.designation AS wise_designation, round(s.psi, 6) AS psi_arcsec,"
         " round(s.ln_b, 4) AS ln_b, round(s.posterior, 6) AS posterior FROM chosen c"

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from skyweft.config import INFRARED_EPOCH, OPTICAL_EPOCH, REFERENCE_EPOCH, FieldConfig
 from skyweft.functions import astrometry, bayes, photometry, sphere
 from skyweft.operators import enrich, histogram as hist, lightcurve, members, metrics, ranked
-from skyweft.operators.assign import one_to_one
-from skyweft.operators.nearest import NearestOptions, crossmatch_nearest
+from skyweft.operators.assign import assign_components, one_to_one
+from skyweft.operators.nearest import NearestOptions, crossmatch_k_nearest, crossmatch_nearest, pairs_within
 from skyweft.plans import crossmatch as xm, validation
 from skyweft.plans.survey import CLUSTER_NAMES, FIELD_CONE, FIELD_RADIUS_DEG, Survey
 from skyweft.session import cut_lineage, ship_code
@@ -250,6 +250,37 @@ def xmatch_nearest_crowded(s: Survey) -> DataFrame:
     return rounded(near.select("gaia_source_id", "wise_designation", "distance_arcsec"))
 
 
+@query
+def xmatch_k_nearest(s: Survey) -> DataFrame:
+    """The three nearest infrared sources of each optical one within 20 arcsec, ranked."""
+    near = crossmatch_k_nearest(
+        _moved(s).select("source_id", "ra_epoch", "dec_epoch"), s.wise.select("designation", "ra", "dec"), k=3,
+        left_ra="ra_epoch", left_dec="dec_epoch", threshold_arcsec=20.0,
+    )
+    return rounded(near.select("gaia_source_id", "wise_designation", "rank", "distance_arcsec"))
+
+
+@query
+def xmatch_k_nearest_crowded(s: Survey) -> DataFrame:
+    """The same join with sizes so small that cells are split by boxes."""
+    small = NearestOptions(max_candidates=2, leaf_rows=1, max_left_rows=50, salt_left=True)
+    near = crossmatch_k_nearest(
+        _moved(s).select("source_id", "ra_epoch", "dec_epoch"), s.wise.select("designation", "ra", "dec"), k=3,
+        left_ra="ra_epoch", left_dec="dec_epoch", threshold_arcsec=20.0, options=small,
+    )
+    return rounded(near.select("gaia_source_id", "wise_designation", "rank", "distance_arcsec"))
+
+
+@query
+def xmatch_pairs_within(s: Survey) -> DataFrame:
+    """All pairs below 20 arcsec."""
+    near = pairs_within(
+        _moved(s).select("source_id", "ra_epoch", "dec_epoch"), s.wise.select("designation", "ra", "dec"),
+        left_ra="ra_epoch", left_dec="dec_epoch", radius_arcsec=20.0,
+    )
+    return rounded(near.select("gaia_source_id", "wise_designation", "distance_arcsec"))
+
+
 @query
 def xmatch_gain(s: Survey) -> DataFrame:
     keys = _moved(s).select("source_id", "ra_epoch", "dec_epoch")
@@ -355,6 +386,23 @@ def assign_one_to_one(s: Survey) -> DataFrame:
     return rounded(chosen.select("gaia_source_id", "wise_designation", "psi_arcsec", "posterior"))
 
 
+@query
+def candidates_all_5as(s: Survey) -> DataFrame:
+    """All candidate pairs below the prefilter radius, not the nearest alone, with their evidence."""
+    pairs = xm.all_candidate_pairs(_gaia(s), xm.needed_columns(s.wise))
+    return rounded(pairs.select("gaia_source_id", "wise_designation", "psi_arcsec", "ln_b"), ln_b=4)
+
+
+@query
+def assign_general(s: Survey) -> DataFrame:
+    """The best one-to-one assignment where sources of both sides have several candidates."""
+    pairs = xm.all_candidate_pairs(_gaia(s), xm.needed_columns(s.wise))
+    scored = xm.score_pairs(pairs, xm.prior_odds(_gaia(s), s.wise, s.area_sr()))
+    chosen = assign_components(scored.filter(F.col("posterior") > 0.01).select(
+        "gaia_source_id", "wise_designation", "psi_arcsec", "ln_b", "posterior"))
+    return rounded(chosen, ln_b=4)
+
+
 @query
 def pair_metrics_rejoin(s: Survey) -> DataFrame:
     """Chosen keys joined back to the metrics of their pair on the composite key."""
