@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import json
 from collections.abc import Iterator
 
@@ -35,11 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from skyweft.llm.common import SLICE_ROWS, land, prepare
+from skyweft.llm.token_counts import PieceCounter
 from skyweft.llm.tokens import ByteTokenizer, byte_of_symbol
 
 MARK = "▁"
 #: Pairs that a task sums up before it hands them on, and links in one row of them.
 HELD_PAIRS, ROW_PAIRS = 1_000_000, 1 << 16
+#: Words whose ids a task remembers, and their length.
+REMEMBERED, LONGEST_KNOWN = 500_000, 64
 FREQUENT = 200_000
 
 
@@ -70,20 +74,47 @@ class _Ordinary:
 
 
 class PieceTokenizer:
-    """Ids of a sentencepiece model and the bytes of its pieces."""
+    """Ids of a sentencepiece model and the bytes of its pieces.
 
-    def __init__(self, path: str):
-        import sentencepiece
+    Where the vocabulary proves that no merge crosses a space or line feed, a text is
+    encoded word by word and the ids of words met before are remembered.
+    """
 
-        self.library = sentencepiece.SentencePieceProcessor(model_file=path)
+    def __init__(self, path: str):
+        counter = PieceCounter(path)
+        self.library, self.splits, self.parts_of = counter.library, counter.splits, counter._parts
         self.bytes_of = [self._bytes(i) for i in range(self.library.get_piece_size())]
+        self.known: dict[str, tuple[int, ...]] = {}
 
     def _bytes(self, i: int) -> bytes:
         piece = self.library.id_to_piece(i)
         return bytes([int(piece[3:-1], 16)]) if self.library.is_byte(i) else piece.replace(MARK, " ").encode()
 
-    def ids(self, text: str) -> np.ndarray:
-        return np.array(self.library.encode(text), dtype=np.uint32)
+    def _given_back(self, ids: list[int], text: str) -> bool:
+        return b"".join([self.bytes_of[i] for i in ids]) == text.encode()
+
+    def _part(self, part: str) -> tuple[int, ...]:
+        """Ids of a part inside a longer text, where a line feed keeps it apart from the leading mark; none if not given back."""
+        ids = self.library.encode("\n" + part)[2:]
+        found = tuple(ids) if self._given_back(ids, part) else ()
+        if len(part) <= LONGEST_KNOWN:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            self.known[part] = found
+        return found
+
+    def ids(self, text: str) -> np.ndarray | None:
+        """Ids of ``text``, or None where their bytes are not those of a space and the text."""
+        if not self.splits or MARK in text:
+            ids = self.library.encode(text)
+            return np.array(ids, dtype=np.int64) if self._given_back(ids, " " + text) else None
+        parts = self.parts_of(" " + text)
+        found = list(map(self.known.get, parts))
+        if None in found:
+            found = [self.known.get(p) or self._part(p) if f is None else f for p, f in zip(parts, found, strict=True)]
+        if () in found:
+            return None
+        return np.fromiter(itertools.chain.from_iterable(found), np.int64)
 
 
 class Aligner:
@@ -105,32 +136,42 @@ class Aligner:
         """Ids of both, or None where the bytes of either are not those of a space and the text."""
         if not text:
             return None
-        a, b = self.a.ids(" " + text), self.b.ids(text)
-        whole = (" " + text).encode()
-        for ids, tokenizer in ((a, self.a), (b, self.b)):
-            if b"".join([tokenizer.bytes_of[i] for i in ids.tolist()]) != whole:
-                return None
+        b = self.b.ids(text)
+        if b is None:
+            return None
+        a = self.a.ids(" " + text).astype(np.int64)
+        # Ranks over bytes give every byte back; another file may not.
+        if self.a.ranked is None and b"".join([self.a.bytes_of[i] for i in a.tolist()]) != (" " + text).encode():
+            return None
         return a, b
 
     def align(self, a: np.ndarray, b: np.ndarray) -> tuple[int, str, np.ndarray, np.ndarray, int]:
         """(number of groups, their sha256, A ids of regular links, codes of irregular links, number of links)."""
         ends_a, ends_b = np.cumsum(self.lengths[0][a]), np.cumsum(self.lengths[1][b])
-        ends = np.union1d(ends_a, ends_b)
-        of_a, of_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
-        shared = (ends_a[of_a] == ends) & (ends_b[of_b] == ends)
-        link_a, link_b = a[of_a].astype(np.int64), b[of_b].astype(np.int64)
+        both = np.concatenate([ends_a, ends_b])
+        both.sort(kind="stable")  # two ascending runs, which it merges
+        twice = both[1:] == both[:-1]
+        ends = both[np.append(~twice, True)]
+        # Ends of either tokenizer that come before each of ``ends``.
+        shared = np.append(twice, False)[np.append(True, ~twice)]
+        of_a = np.searchsorted(ends_a, ends)
+        of_b = np.arange(len(ends)) + np.cumsum(shared) - shared - of_a
+        link_a, link_b = a[of_a], b[of_b]
         # The only link of its group: the link before it closed a group too.
         alone = shared & np.append(True, shared[:-1])
         regular = alone & (self.identity[link_a] == link_b)
         irregular = link_a[~regular] * self.n_b + link_b[~regular]
-        closed = ends[shared]
-        group_a, group_b = np.searchsorted(closed, ends_a), np.searchsorted(closed, ends_b)
+        # Groups that are closed before each link, and so before the token that ends there.
+        group = np.cumsum(shared) - shared
+        n_groups = int(group[-1]) + 1
+        closing_a, closing_b = ends_a[of_a] == ends, ends_b[of_b] == ends
+        group_a, group_b = group[closing_a], group[closing_b]
         said = np.empty(len(a) + len(b), dtype=object)
         closes_a, closes_b = np.append(np.diff(group_a) > 0, True), np.append(np.diff(group_b) > 0, True)
         said[np.arange(len(a)) + np.searchsorted(group_b, group_a)] = self.said[0][a + self.n_a * closes_a]
         said[np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")] = self.said[1][b + self.n_b * closes_b]
         groups = hashlib.sha256("".join(said.tolist())[:-1].encode()).hexdigest()
-        return len(closed), groups, link_a[regular], irregular, len(ends)
+        return n_groups, groups, link_a[regular], irregular, len(ends)
 
 
 @functools.lru_cache(maxsize=2)

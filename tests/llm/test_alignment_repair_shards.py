@@ -215,6 +215,19 @@ def aligned_by_hand(texts: list[str | None]) -> list[tuple]:
         for n_a, n_b, groups, links in docs]
 
 
+def test_ids_by_words_equal_the_library(spark):
+    pieces = token_alignment.PieceTokenizer(PIECE_BPE)
+    assert pieces.splits
+    given = [r.text for r in spark.read.parquet(f"{TABLES}/documents.parquet").select("text").collect()]
+    draw = random.Random(1)
+    odd = ["".join(draw.choices(" \n\t▁aé日🙂.<s>\u3000\x00", k=draw.randint(1, 12))) for _ in range(3000)]
+    for text in filter(None, [*ODD, *given, *odd]):
+        ids = pieces.library.encode(text)
+        whole = b"".join(pieces.bytes_of[i] for i in ids) == (" " + text).encode()
+        found = pieces.ids(text)
+        assert (found is None) == (not whole) and (found is None or found.tolist() == ids), repr(text)
+
+
 def test_identity_map_names_the_same_bytes():
     align = token_alignment.aligner(BYTE_BPE, PIECE_BPE)
     named = [(a, int(b)) for a, b in enumerate(align.identity) if b >= 0]
