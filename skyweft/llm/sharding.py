@@ -10,8 +10,8 @@ those intervals alone that need them:
 
 * an interval that holds a cut whose target is further than ``TOLERANCE`` of a shard
   from the bytes below either of its ends;
-* an interval with more rows than one task should order, as a text that is copied a
-  million times makes.
+* an interval with more rows or bytes than one task should order, as a text that is
+  copied a million times makes.
 
 An interval of a single key is not refined; a cut in it goes to its nearer end. What
 the driver sees of a round is bounded by the numbers of shards and parts, not by rows.
@@ -40,8 +40,8 @@ SHARDS = 24
 ROW_BYTES = 8
 #: Deviation of a cut from its target, as a share of a shard.
 TOLERANCE = 1e-4
-#: Rows that a part should hold, and the number of parts above which it holds more.
-PART_ROWS, PARTS = 250_000, 1024
+#: Rows and bytes that a part should hold, and the number of parts above which it holds more.
+PART_ROWS, PART_BYTES, PARTS = 250_000, 16 << 20, 1024
 #: Key bits, those that the first round tells apart, and those of each later one.
 KEY_BITS, FIRST_BITS, NEXT_BITS = 63, 12, 8
 
@@ -104,7 +104,7 @@ def count_histogram(keyed: DataFrame, shards: int, tolerance: float, part_rows:
         if len(levels) == 1:
             total, n_rows = (sum(c[i] for c in level.counts.values()) for i in (0, 1))
             targets, allowed = [total * (i + 1) / shards for i in range(shards - 1)], tolerance * total / shards
-            crowd = max(part_rows, -(-n_rows // parts))
+            crowd, heavy = max(part_rows, -(-n_rows // parts)), max(PART_BYTES, -(-total // parts))
         level.opened = [-1] * (len(bytes_before) << bits)
         below, inside = bytes_before, {}
         for node, before in below.items():
@@ -112,7 +112,7 @@ def count_histogram(keyed: DataFrame, shards: int, tolerance: float, part_rows:
                 at = (node << bits) + child
                 size, n = level.counts.get(at, (0, 0))
                 cut = any(before < t < before + size and min(t - before, before + size - t) > allowed for t in targets)
-                if level.shift and n > 1 and (cut or n > crowd):
+                if level.shift and n > 1 and (cut or n > crowd or size > heavy):
                     level.opened[at] = len(inside)
                     inside[len(inside)] = before
                 before += size
@@ -134,18 +134,18 @@ def plan_parts(histogram: Histogram, shards: int, part_rows: int, parts: int = P
     """Cuts at the ends of intervals that are nearest to the targets, and parts of a bounded number of rows."""
     leaves = list(histogram.leaves())
     total, n_rows = sum(leaf[2] for leaf in leaves), sum(leaf[3] for leaf in leaves)
-    full = max(part_rows, -(-n_rows // parts))
+    full, heavy = max(part_rows, -(-n_rows // parts)), max(PART_BYTES, -(-total // parts))
     plan = Plan([[-1] * len(level.opened) for level in histogram.levels], [], [])
-    shard, below, in_shard, in_part = 0, 0, 0, 0
+    shard, below, in_shard, in_part, part_start = 0, 0, 0, 0, 0
     for depth, at, size, n in leaves:
         # A cut stands before this interval if its target is nearer to the bytes below it than to those with it.
         while shard + 1 < shards and 2 * total * (shard + 1) <= shards * (2 * below + size):
             shard += 1
             in_shard = 0
-        if not plan.shard_of or plan.shard_of[-1] != shard or in_part + n > full:
+        if not plan.shard_of or plan.shard_of[-1] != shard or in_part + n > full or below + size - part_start > heavy:
             plan.shard_of.append(shard)
             plan.before.append(in_shard)
-            in_part = 0
+            in_part, part_start = 0, below
         plan.part_of[depth][at] = len(plan.shard_of) - 1
         below, in_shard, in_part = below + size, in_shard + n, in_part + n
     return plan
