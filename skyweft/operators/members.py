@@ -19,10 +19,12 @@ def match_members(
     dec: str = "gaia_dec",
     tolerance_arcsec: float = 1.0,
     how: str = "left",
-    options: NearestOptions = NearestOptions(),
+    options: NearestOptions = NearestOptions(coarse_filter=True),
 ) -> DataFrame:
     """Nearest of our sources for each listed member, after moving the list to our epoch.
 
+    A list covers little of the sky, so our sources far from it are dropped first.
+
     Adds ``source_key`` and ``separation_arcsec``, NULL for a member without a match.
     """
     moved = propagate_position(members, REFERENCE_EPOCH, OPTICAL_EPOCH)

@@ -18,6 +18,9 @@ rows per cell, from their coordinates alone:
 * A cell with too many *left* rows is split by adaptive execution, which the
   arrays allow as they hold one row per cell; ``salt_left`` splits it by salting
   instead, for sessions without adaptive execution, and counts the left rows first.
+* With ``coarse_filter``, for a left side that covers little of the sky, its rows first
+  mark the coarse cells around them in a bitmap of fixed size, and right rows outside
+  are dropped before any copy of them is made. This reads the left side once more.
 * A cell with too many *right* rows gets no array. Its left rows descend a tree
   of ever smaller boxes instead, and keep a box only while it can still hold
   the nearest neighbour. Copies of a position count once, so boxes always get
@@ -38,6 +41,8 @@ CELL = ("_cx", "_cy", "_cz")
 AXES = ("_x", "_y", "_z")
 PLACE = ("_ra", "_dec")
 SLACK = 1e-13  # chord length; far above rounding, far below any useful radius
+#: Smallest edge of a coarse cell (some 7 arcmin), and the bitmap's length: 2 ** 14 words of 64 bits.
+COARSE_EDGE, BITMAP_BITS = 1.0 / 512.0, 20
 
 
 @dataclass(frozen=True)
@@ -51,6 +56,7 @@ class NearestOptions:
     max_broadcast_rows: int = 50_000
     split_per_axis: int = 4
     salt_left: bool = False
+    coarse_filter: bool = False
 
 
 def _reach(threshold: float) -> float:
@@ -111,6 +117,23 @@ def _touched_cells(df: DataFrame, edge: float, reach: float) -> DataFrame:
     return df.filter((nearest <= F.lit(1.0 + 1e-9)) & (farthest >= F.lit(1.0 - 1e-9)))
 
 
+def near_occupied(rights: DataFrame, lefts: DataFrame, reach: float) -> DataFrame:
+    """Right rows whose coarse cell some left row's search ball touches, and a few by chance; both sides placed.
+
+    Cells are hashed to the bits of a bitmap, of which no more than its fixed
+    number of words is broadcast, however many rows there are.
+    """
+    edge = max(COARSE_EDGE, 2.0 * reach)
+    bit = F.pmod(F.xxhash64(*CELL), F.lit(1 << BITMAP_BITS))
+    word, flag = F.shiftright("_bit", 6).alias("_word"), F.expr("shiftleft(1L, cast(_bit & 63 as int))")
+    marked = _touched_cells(lefts.select(*AXES), edge, reach).select(bit.alias("_bit"))
+    bitmap = F.broadcast(marked.groupBy(word).agg(F.bit_or(flag).alias("_bits")))
+    own = {c: F.floor(F.col(a) / F.lit(edge)) for c, a in zip(CELL, AXES)}
+    placed = rights.withColumns(own).withColumn("_bit", bit).withColumn("_word", F.shiftright("_bit", 6))
+    kept = placed.join(bitmap, "_word").filter(F.col("_bits").bitwiseAND(flag) != 0)
+    return kept.drop("_word", "_bits", "_bit", *CELL)
+
+
 def _closest(candidates: str, threshold: float, k: int = 1) -> Column:
     """Array with the ``k`` smallest (separation, key, columns) below the threshold, or as many as there are.
 
@@ -272,6 +295,8 @@ def _crossmatch(
     lefts = left.filter(_has_place(*left_place)) if inner else left
     lefts = _own_cell(_with_geometry(lefts, *left_place, inner), edge, left_key)
     placed = _with_geometry(right.filter(_has_place(*right_place)), *right_place, True)
+    if options.coarse_filter:
+        placed = near_occupied(placed, lefts if inner else lefts.filter(_has_place(*left_place)), reach)
     rights = _touched_cells(placed, edge, reach)
 
     tally = rights.groupBy(*CELL).agg(F.count(F.lit(1)).alias("_rows"))

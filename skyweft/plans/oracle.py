@@ -159,6 +159,86 @@ def _forest(name: str, source: str) -> dict[str, str]:
 
 
 _NOT_NAN = {"bp_rp"}
+STEP = 0.1
+
+
+def _band_steps(band: str) -> str:
+    low, high = f"({band} * {STEP}::DOUBLE - 90e0)", f"(({band} + 1) * {STEP}::DOUBLE - 90e0)"
+    around = f"CASE WHEN {low} < 0 AND {high} > 0 THEN 1e0 ELSE cos(radians(least(abs({low}), abs({high})))) END"
+    return f"greatest(1, CAST(floor({360.0 / STEP}::DOUBLE * ({around})) AS BIGINT))"
+
+
+def _band_area(band: str) -> str:
+    low, high = f"({band} * {STEP}::DOUBLE - 90e0)", f"least(({band} + 1) * {STEP}::DOUBLE - 90e0, 90e0)"
+    return f"2e0*pi()*(sin(radians({high})) - sin(radians({low}))) / {_band_steps(band)}"
+
+
+def _sky_cell(ra: str, dec: str) -> str:
+    """band, place of a direction."""
+    band = f"least(CAST(floor(({dec} + 90e0) / {STEP}::DOUBLE) AS BIGINT), {round(180 / STEP) - 1})"
+    steps = _band_steps(band)
+    return f"{band} AS band, least(CAST(floor({ra} / 360e0 * {steps}) AS BIGINT), {steps} - 1) AS place"
+
+
+def _densities(name: str, source: str) -> dict[str, str]:
+    """Counts of cells, the halo of every cell around an occupied one, and the density over it."""
+    halo = (
+        "SELECT band, place, {n}, band2, (place2 % k2 + k2) % k2 AS place2 FROM (SELECT *, unnest(range(first, behind + 1)) AS place2 FROM ("
+        "SELECT *, least(far, first + k2 - 1) AS behind FROM (SELECT *, CASE WHEN band2 = band THEN place - 1"
+        " ELSE CAST(floor(place * k2 / k1 - 1e-9) AS BIGINT) END AS first,"
+        " CASE WHEN band2 = band THEN place + 1 ELSE CAST(floor((place + 1) * k2 / k1 + 1e-9) AS BIGINT) END AS far"
+        f" FROM (SELECT *, {_band_steps('band')} AS k1, {_band_steps('band2')} AS k2 FROM (SELECT *,"
+        f" unnest(range(greatest(band - 1, 0), least(band + 1, {round(180 / STEP) - 1}) + 1)) AS band2 FROM {{source}})))))"
+    )
+    return {
+        f"{name}_cells": f"SELECT band, place, count(*) AS n FROM (SELECT {_sky_cell('ra', 'dec')} FROM {source}) GROUP BY band, place",
+        f"{name}_told": (
+            "SELECT band2 AS band, place2 AS place, sum(n) AS around, coalesce(sum(n) FILTER (band2 = band AND place2 = place), 0) AS n"
+            f" FROM ({halo.format(n='n', source=f'{name}_cells')}) GROUP BY band2, place2"
+        ),
+        f"{name}_areas": (
+            f"SELECT band, place, sum({_band_area('band2')}) AS area FROM ({halo.format(n='around', source=f'{name}_told')})"
+            " GROUP BY band, place"
+        ),
+        f"{name}_density": (
+            f"SELECT t.band, t.place, CAST(t.n AS BIGINT) AS n, t.around / a.area AS density FROM {name}_told t"
+            f" JOIN {name}_areas a ON t.band = a.band AND t.place = a.place"
+        ),
+    }
+
+
+DEPTH, SHARE = 7, 256
+
+
+def _quadtree(name: str, source: str, x: str, y: str) -> dict[str, str]:
+    """Bins that are no longer split and whose enclosing bin was."""
+    def at(v: str) -> str:
+        return f"CASE WHEN {v}1 > {v}0 THEN least(CAST(floor(({v} - {v}0) / (({v}1 - {v}0) / {1 << DEPTH}e0)) AS BIGINT), {(1 << DEPTH) - 1}) ELSE 0 END"
+
+    def edge(v: str, place: str) -> str:
+        return f"round({v}0 + {place} * (({v}1 - {v}0) / pow(2e0, n.level)), 10)"
+
+    return {
+        f"{name}_points": (
+            f"SELECT CAST({x} AS DOUBLE) AS x, CAST({y} AS DOUBLE) AS y FROM {source}"
+            f" WHERE {x} IS NOT NULL AND {y} IS NOT NULL AND NOT isnan({x}) AND NOT isnan({y})"
+        ),
+        f"{name}_range": f"SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, count(*) AS total FROM {name}_points",
+        f"{name}_finest": f"SELECT {at('x')} AS i, {at('y')} AS j FROM {name}_points, {name}_range",
+        f"{name}_nodes": (
+            f"SELECT level, i >> ({DEPTH} - level) AS i, j >> ({DEPTH} - level) AS j, count(*) AS n FROM {name}_finest,"
+            f" (SELECT CAST(unnest(range({DEPTH + 1})) AS INTEGER) AS level) GROUP BY ALL"
+        ),
+        f"{name}_cut": f"SELECT level, i, j FROM {name}_nodes, {name}_range WHERE n * {SHARE} > total AND level < {DEPTH}",
+        f"{name}_bins": (
+            f"SELECT n.level, n.i, n.j, {edge('x', 'n.i')} AS x_low, {edge('x', '(n.i + 1)')} AS x_high,"
+            f" {edge('y', 'n.j')} AS y_low, {edge('y', '(n.j + 1)')} AS y_high, n.n"
+            f" FROM {name}_nodes n, {name}_range WHERE (n.level, n.i, n.j) NOT IN (SELECT (level, i, j) FROM {name}_cut)"
+            f" AND (n.level = 0 OR (n.level - 1, n.i >> 1, n.j >> 1) IN (SELECT (level, i, j) FROM {name}_cut))"
+        ),
+    }
+
+
 _RELATIONS: dict[str, str] = {
     **catalog_sql(),
     "g": "SELECT * REPLACE (CASE WHEN isnan(bp_rp) THEN NULL ELSE bp_rp END AS bp_rp) FROM gaia",
@@ -216,6 +296,29 @@ _RELATIONS: dict[str, str] = {
         "SELECT * FROM (SELECT p.*, 1e0 / (1e0 + exp(-least(700e0, greatest(-700e0, ln_b + ln(o.prior_odds))))) AS posterior"
         " FROM all_pairs p, odds o) WHERE posterior > 0.01e0"
     ),
+    "in_clusters": (
+        "SELECT g.source_id, c.name AS cluster, sqrt(pow((g.parallax - c.parallax) / c.parallax_width, 2)"
+        " + pow((g.pmra - c.pmra) / c.pmra_width, 2) + pow((g.pmdec - c.pmdec) / c.pmdec_width, 2)) AS cluster_distance"
+        " FROM g JOIN clusters c ON abs(g.dec - c.dec) <= c.radius_deg AND abs(g.parallax - c.parallax) < c.parallax_width"
+        " AND abs(g.pmra - c.pmra) < c.pmra_width AND abs(g.pmdec - c.pmdec) < c.pmdec_width"
+        f" WHERE {_sep('g.ra', 'g.dec', 'c.ra', 'c.dec')} < c.radius_deg * 3600e0"
+    ),
+    "best_clusters": (
+        "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY cluster_distance, cluster) AS place,"
+        " count(*) OVER (PARTITION BY source_id) AS n_clusters FROM in_clusters) WHERE place = 1"
+    ),
+    "cmd_rows": "SELECT bp_rp, phot_g_mean_mag FROM nn_pm JOIN g ON lk = source_id",
+    **_quadtree("cmd", "cmd_rows", "bp_rp", "phot_g_mean_mag"),
+    **_quadtree("all", "g", "bp_rp", "phot_g_mean_mag"),
+    **_densities("g_all", "g"),
+    **_densities("g_some", "g_scan"),
+    **_densities("w_all", "w"),
+    "local_odds": (
+        "SELECT p.source_id, p.designation, p.ln_b, 0.7e0 / greatest(a.density, b.density) AS odds FROM"
+        f" (SELECT pairs.*, {_sky_cell('ra', 'dec')} FROM pairs JOIN g ON pairs.source_id = g.source_id) p"
+        " LEFT JOIN g_some_density a ON p.band = a.band AND p.place = a.place"
+        " LEFT JOIN w_all_density b ON p.band = b.band AND p.place = b.place"
+    ),
     # Optical sources that compete, directly or through others, and their places among each other.
     "rivals": "SELECT DISTINCT x.source_id AS a, y.source_id AS b FROM edges x JOIN edges y ON x.designation = y.designation",
     "linked": (
@@ -397,6 +500,7 @@ _NAMES = ", ".join(f"'{n}'" for n in CLUSTER_NAMES)
 
 _QUERIES: dict[str, str] = {
     "scan_cone": f"SELECT {_plain(QUICK, {'source_id'})} FROM g WHERE {_cone(RA0, DEC0, R0)}",
+    "landed_cone_scan": f"SELECT {_plain(QUICK, {'source_id'})} FROM g WHERE {_cone(RA0, DEC0, R0)}",
     "scan_cone_top": f"SELECT {_plain(QUICK, {'source_id'})} FROM g WHERE {_cone(RA0, DEC0, R0)} ORDER BY source_id LIMIT 1500",
     "scan_gaia_filtered": (
         f"SELECT {_plain(FULL, {'source_id'})} FROM g WHERE {_cone(RA0, DEC0, R0)} AND phot_g_mean_mag < 19e0 AND parallax IS NOT NULL"
@@ -451,6 +555,13 @@ _QUERIES: dict[str, str] = {
         ("xmatch_k_nearest", "xmatch_k_nearest_crowded"),
         "SELECT lk AS gaia_source_id, rk AS wise_designation, CAST(place AS INTEGER) AS rank, round(sep, 6) AS distance_arcsec FROM near_three"),
     "xmatch_pairs_within": "SELECT lk AS gaia_source_id, rk AS wise_designation, round(sep, 6) AS distance_arcsec FROM near_twenty",
+    **dict.fromkeys(
+        ("xmatch_of_landed", "xmatch_in_landed"),
+        "SELECT lk AS gaia_source_id, rk AS wise_designation, round(sep, 6) AS distance_arcsec FROM nn_pm"),
+    "xmatch_coarse_filter": (
+        "SELECT lk AS gaia_source_id, rk AS wise_designation, round(sep, 6) AS distance_arcsec"
+        " FROM nn_pm JOIN g ON lk = source_id WHERE phot_g_mean_mag < 8.3e0"
+    ),
     "xmatch_gain": (
         "SELECT (SELECT count(*) FROM nn_raw) AS n_raw, (SELECT count(*) FROM nn_pm) AS n_pm,"
         " (SELECT count(*) FROM nn_pm) - (SELECT count(*) FROM nn_raw) AS gain"
@@ -507,6 +618,22 @@ _QUERIES: dict[str, str] = {
         "SELECT source_id AS gaia_source_id, designation AS wise_designation, round(psi, 6) AS psi_arcsec,"
         " round(posterior, 6) AS posterior FROM chosen"
     ),
+    "local_density_cells": (
+        "SELECT band, place, n, round(density / pow(180e0 / pi() * 60e0, 2), 6) AS density FROM g_all_density"
+    ),
+    "posterior_local": (
+        "SELECT source_id AS gaia_source_id, designation AS wise_designation, round(ln(odds), 6) AS ln_odds,"
+        " round(1e0 / (1e0 + exp(-least(700e0, greatest(-700e0, ln_b + ln(odds))))), 6) AS posterior FROM local_odds"
+    ),
+    "clusters_best": (
+        "SELECT g.source_id, b.cluster, round(b.cluster_distance, 6) AS cluster_distance, coalesce(b.n_clusters, 0) AS n_clusters"
+        " FROM g LEFT JOIN best_clusters b ON g.source_id = b.source_id"
+    ),
+    "clusters_all": "SELECT source_id, cluster, round(cluster_distance, 6) AS cluster_distance FROM in_clusters",
+    "clusters_counts": (
+        "SELECT c.name, count(b.source_id) AS n_members, round(avg(b.cluster_distance), 6) AS mean_distance"
+        " FROM clusters c LEFT JOIN best_clusters b ON c.name = b.cluster GROUP BY c.name"
+    ),
     "candidates_all_5as": (
         "SELECT source_id AS gaia_source_id, designation AS wise_designation, round(psi, 6) AS psi_arcsec, round(ln_b, 4) AS ln_b FROM all_pairs"
     ),
@@ -677,6 +804,8 @@ _QUERIES: dict[str, str] = {
         "SELECT round(bp_rp, 6) AS gaia_bp_rp, round(phot_g_mean_mag, 6) AS gaia_phot_g_mean_mag"
         " FROM nn_pm JOIN g ON lk = source_id WHERE bp_rp IS NOT NULL AND phot_g_mean_mag IS NOT NULL"
     ),
+    "cmd_adaptive_bins": "SELECT * FROM cmd_bins",
+    "cmd_adaptive_bins_all": "SELECT * FROM all_bins",
     "cmd_member_panels": (
         "SELECT source_id AS gaia_source_id, round(bp_rp, 6) AS gaia_bp_rp, round(w1_w2, 6) AS w1_w2,"
         " round(phot_g_mean_mag, 6) AS gaia_phot_g_mean_mag, cluster_member FROM matches"

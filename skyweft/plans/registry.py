@@ -8,18 +8,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from skyweft.config import INFRARED_EPOCH, OPTICAL_EPOCH, REFERENCE_EPOCH, FieldConfig
 from skyweft.functions import astrometry, bayes, photometry, sphere
-from skyweft.operators import enrich, histogram as hist, lightcurve, members, metrics, ranked
+from skyweft.operators import clusters, density, enrich, histogram as hist, lightcurve, members, metrics, quadtree, ranked
 from skyweft.operators.assign import assign_components, one_to_one
 from skyweft.operators.nearest import NearestOptions, crossmatch_k_nearest, crossmatch_nearest, pairs_within
 from skyweft.plans import crossmatch as xm, validation
 from skyweft.plans.survey import CLUSTER_NAMES, FIELD_CONE, FIELD_RADIUS_DEG, Survey
 from skyweft.session import cut_lineage, ship_code
-from skyweft.sources import catalogs, schemas
+from skyweft.sources import catalogs, schemas, skycells
 from skyweft.sources.conform import conform, prefixed
 
 Query = Callable[[SparkSession, str], DataFrame]
 FIELD = FieldConfig(*FIELD_CONE)
 SMOKE_FIELD = FieldConfig(119.5, -60.83, 0.05)
+LANDED_BUCKETS = 8
 _QUERIES: dict[str, Query] = {}
 
 
@@ -131,6 +132,13 @@ def scan_conform_projection(s: Survey) -> DataFrame:
     return rounded(conform(catalogs.scan_allwise(incomplete), schemas.ALLWISE))
 
 
+@query
+def landed_cone_scan(s: Survey) -> DataFrame:
+    """The cone scan over a catalog landed by sky cell."""
+    landed = skycells.land_by_cell(s.gaia, buckets=LANDED_BUCKETS)
+    return rounded(catalogs.scan_gaia_quick(skycells.landed_cone(landed, FIELD_CONE), clean=False))
+
+
 @query
 def scan_tic(s: Survey) -> DataFrame:
     return rounded(catalogs.scan_tic(s.tic, clean=False))
@@ -281,6 +289,34 @@ def xmatch_pairs_within(s: Survey) -> DataFrame:
     return rounded(near.select("gaia_source_id", "wise_designation", "distance_arcsec"))
 
 
+@query
+def xmatch_of_landed(s: Survey) -> DataFrame:
+    """Nearest infrared source of each source of an optical catalog landed by sky cell."""
+    landed = skycells.land_by_cell(_moved(s).select("source_id", "ra_epoch", "dec_epoch"), "ra_epoch", "dec_epoch", buckets=LANDED_BUCKETS)
+    near = skycells.nearest_of_landed(
+        landed, s.wise.select("designation", "ra", "dec"), left_ra="ra_epoch", left_dec="dec_epoch")
+    return rounded(near.select("gaia_source_id", "wise_designation", "distance_arcsec"))
+
+
+@query
+def xmatch_in_landed(s: Survey) -> DataFrame:
+    """The same, with the infrared catalog landed."""
+    landed = skycells.land_by_cell(s.wise.select("designation", "ra", "dec"), buckets=LANDED_BUCKETS)
+    near = skycells.nearest_in_landed(
+        _moved(s).select("source_id", "ra_epoch", "dec_epoch"), landed, left_ra="ra_epoch", left_dec="dec_epoch")
+    return rounded(near.select("gaia_source_id", "wise_designation", "distance_arcsec"))
+
+
+@query
+def xmatch_coarse_filter(s: Survey) -> DataFrame:
+    """Nearest infrared source of bright sources alone, far rows of the catalog dropped before they are copied."""
+    bright = _moved(s).filter(F.col("phot_g_mean_mag") < 8.3).select("source_id", "ra_epoch", "dec_epoch")
+    near = crossmatch_nearest(
+        bright, s.wise.select("designation", "ra", "dec"), left_ra="ra_epoch", left_dec="dec_epoch",
+        options=NearestOptions(coarse_filter=True))
+    return rounded(near.select("gaia_source_id", "wise_designation", "distance_arcsec"))
+
+
 @query
 def xmatch_gain(s: Survey) -> DataFrame:
     keys = _moved(s).select("source_id", "ra_epoch", "dec_epoch")
@@ -370,6 +406,22 @@ def posterior_density(s: Survey) -> DataFrame:
     return rounded(_scored(s).select("gaia_source_id", "wise_designation", "posterior"))
 
 
+@query
+def local_density_cells(s: Survey) -> DataFrame:
+    """Sources of each cell and the density smoothed over its halo, per square arcmin."""
+    cells = density.local_density(s.gaia.select("ra", "dec"))
+    per_arcmin = sphere.density_per_sq_arcmin(F.col("density"))
+    return rounded(cells.select("band", "place", "n", per_arcmin.alias("density")))
+
+
+@query
+def posterior_local(s: Survey) -> DataFrame:
+    """Posterior with prior odds from the density around each pair instead of one over the whole area."""
+    pairs = density.with_local_odds(_pairs(s), _gaia(s).select("ra", "dec"), s.wise.select("ra", "dec"))
+    scored = pairs.withColumn("posterior", bayes.posterior_from_log(F.col("ln_b"), F.col("local_odds")))
+    return rounded(scored.select("gaia_source_id", "wise_designation", F.ln("local_odds").alias("ln_odds"), "posterior"))
+
+
 @query
 def posterior_describe(s: Survey) -> DataFrame:
     scored = cut_lineage(_scored(s).select("posterior"))
@@ -440,6 +492,24 @@ def cluster_members(s: Survey) -> DataFrame:
     return rounded(_matches(s).select("gaia_source_id", "gaia_parallax", "gaia_pmra", "gaia_pmdec", "cluster_member"))
 
 
+@query
+def clusters_best(s: Survey) -> DataFrame:
+    """The nearest of all clusters in whose disc and boxes a source lies."""
+    found = clusters.best_cluster(s.gaia, s.clusters)
+    return rounded(found.select("source_id", "cluster", "cluster_distance", "n_clusters"))
+
+
+@query
+def clusters_all(s: Survey) -> DataFrame:
+    """Every pair of a source and a cluster in whose disc and boxes it lies."""
+    return rounded(clusters.join_clusters(s.gaia, s.clusters).select("source_id", "cluster", "cluster_distance"))
+
+
+@query
+def clusters_counts(s: Survey) -> DataFrame:
+    return rounded(clusters.member_counts(s.gaia, s.clusters))
+
+
 @query
 def crossmatch_flagship(s: Survey) -> DataFrame:
     columns = [
@@ -723,6 +793,19 @@ def cmd_plot_data(s: Survey) -> DataFrame:
     return rounded(hist.color_magnitude(xm.quick_match(s.gaia, s.wise, FIELD)))
 
 
+@query
+def cmd_adaptive_bins(s: Survey) -> DataFrame:
+    """The colour-magnitude diagram in a bounded number of bins, finer where sources crowd."""
+    matched = xm.quick_match(s.gaia, s.wise, FIELD).select("gaia_bp_rp", "gaia_phot_g_mean_mag")
+    return rounded(quadtree.adaptive_bins(cut_lineage(matched), "gaia_bp_rp", "gaia_phot_g_mean_mag"), 10)
+
+
+@query
+def cmd_adaptive_bins_all(s: Survey) -> DataFrame:
+    """The same over the whole optical catalog."""
+    return rounded(quadtree.adaptive_bins(s.gaia, "bp_rp", "phot_g_mean_mag"), 10)
+
+
 @query
 def cmd_member_panels(s: Survey) -> DataFrame:
     return rounded(_matches(s).select("gaia_source_id", "gaia_bp_rp", "w1_w2", "gaia_phot_g_mean_mag", "cluster_member"))

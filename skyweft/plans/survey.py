@@ -13,6 +13,7 @@ wise        the orders whose status is not ``P``, seen at epoch 2010.5
 tic         the orders not of low priority, and a second entry per supplier
 simbad      one known object per customer
 members     gaia sources near the cluster; bright ones are listed twice
+clusters    one cluster per supplier: a disc with boxes of parallax and motion
 lightcurve  one flux per event
 ==========  =========================================================
 """
@@ -55,6 +56,7 @@ _SEEDS = {
         "SELECT o_orderkey AS k, 1000000 + o_orderkey AS tic FROM {orders} WHERE o_orderpriority <> '5-LOW'"
         " UNION ALL SELECT s_suppkey * 10 AS k, 9000000000 + s_suppkey AS tic FROM {supplier}"
     ),
+    "cluster_seed": "SELECT s_suppkey * 10 AS k FROM {supplier}",
     "simbad_seed": "SELECT c_custkey * 10 AS k, c_custkey AS c, c_mktsegment FROM {customer}",
 }
 
@@ -122,6 +124,22 @@ _CATALOGS: dict[str, tuple[str, dict[str, str]]] = {
     ),
 }
 
+_CATALOGS["clusters"] = (
+    "cluster_seed",
+    {
+        "name": "concat('C', CAST(k AS VARCHAR(20)))",
+        "ra": _RA,
+        "dec": _DEC,
+        "radius_deg": "0.05e0 + ((k * 17) % 11) / 100e0",
+        "parallax": "0.6e0 + ((k * 37) % 3501) / 1000e0",
+        "parallax_width": "0.4e0 + ((k * 7) % 5) / 10e0",
+        "pmra": "-7.7e0 + ((k * 31) % 6001) / 1000e0",
+        "pmra_width": "1.2e0 + ((k * 3) % 9) / 10e0",
+        "pmdec": "8.2e0 + ((k * 61) % 6001) / 1000e0",
+        "pmdec_width": "1.2e0 + ((k * 13) % 9) / 10e0",
+    },
+)
+
 _NEAR_CLUSTER = (
     "parallax > 1.9e0 AND parallax < 2.9e0 AND (pmra IS NULL OR"
     " (abs(pmra + 4.7e0) < 2.5e0 AND abs(pmdec - 11.2e0) < 2.5e0))"
@@ -217,4 +235,5 @@ class Survey:
     tic = property(lambda self: self.relation("tic"), doc="Input catalog with optical identifiers.")
     simbad = property(lambda self: self.relation("simbad"), doc="Known objects.")
     members = property(lambda self: self.relation("members"), doc="Published member list, epoch 2015.5.")
+    clusters = property(lambda self: self.relation("clusters"), doc="Clusters with discs and boxes.")
     lightcurve = property(lambda self: self.relation("lightcurve"), doc="Flux per target and time.")
