@@ -12,8 +12,10 @@ character ranges of the original text.
 
 Defined cases: a null text stays null and an empty one empty; units without words
 are never repeats and belong to the run around them; rows with a null doc_id rank
-last; rows with the same doc_id rank alike, so neither loses what both have first;
-no documents give no rows. Columns to carry along may have any other name.
+last; rows with the same doc_id, null included, rank alike, so neither loses what both
+have first, and each is cut by what its own text repeats, as rows are told apart by
+doc_id and text; no documents give no rows. Columns to carry along may have any other
+name.
 """
 
 from __future__ import annotations
@@ -68,12 +70,12 @@ def lines_of(text: str, units: list[tuple[int, int, int]]) -> list[tuple[int, in
 
 
 def _first_units(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """(rank, place, line, hi, lo) of each different sentence and line with words of every text, at its first place.
+    """(rank, text's hash, place, line, hi, lo) of each different sentence and line with words, at its first place.
 
     A line that is one sentence is given once, as a line; one of several sentences has a row beside theirs.
     """
-    ranks, places, lines, digests = [], [], [], []
-    for rank, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+    ranks, keys, places, lines, digests = [], [], [], [], []
+    for rank, key, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
         units, seen = units_of(text or ""), set()
         for first, behind in lines_of(text or "", units):
             spans = [(first, units[first][0], units[behind - 1][1], True)]
@@ -84,14 +86,15 @@ def _first_units(batch: pa.RecordBatch) -> pa.RecordBatch:
                 if words and (digest, line) not in seen:
                     seen.add((digest, line))
                     ranks.append(rank)
+                    keys.append(key)
                     places.append(place)
                     lines.append(line)
                     digests.append(digest)
     both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
     return pa.RecordBatch.from_arrays(
-        [pa.array(ranks, pa.int64()), pa.array(places, pa.int32()), pa.array(lines, pa.bool_()), pa.array(both[:, 0]),
-         pa.array(both[:, 1])],
-        names=["_rank", "_place", "_line", "_hi", "_lo"])
+        [pa.array(ranks, pa.int64()), pa.array(keys, pa.int64()), pa.array(places, pa.int32()), pa.array(lines, pa.bool_()),
+         pa.array(both[:, 0]), pa.array(both[:, 1])],
+        names=["_rank", "_key", "_place", "_line", "_hi", "_lo"])
 
 
 def cleaned(
@@ -164,8 +167,10 @@ def dedup_lines(
     With ``report`` come _n_units and _removed, an array of (start, end), as well.
     """
     prepare(docs.sparkSession)
-    rank = F.coalesce(F.col("doc_id"), F.lit(_LAST)).alias("_rank")
-    units = land(map_slices(docs.select(rank, "text"), _first_units, "_rank long, _place int, _line boolean, _hi long, _lo long"))
+    # Rows of one doc_id and text have the same units, so they may share what is said about them.
+    row = [F.coalesce(F.col("doc_id"), F.lit(_LAST)).alias("_rank"), F.xxhash64("text").alias("_key")]
+    units = land(map_slices(
+        docs.select(*row, "text"), _first_units, "_rank long, _key long, _place int, _line boolean, _hi long, _lo long"))
     # A sentence repeats what any earlier text holds, a line what one holds as a line.
     first = units.groupBy("_hi", "_lo").agg(
         F.min("_rank").alias("_first"), F.min(F.when(F.col("_line"), F.col("_rank"))).alias("_first_line"),
@@ -173,10 +178,10 @@ def dedup_lines(
     first = first.filter(F.col("_first") != F.col("_other")).select("_hi", "_lo", "_first", "_first_line")
     repeats = units.join(first, ["_hi", "_lo"]).filter(F.col("_rank") > F.col("_first"))
     as_line = F.col("_line") & (F.col("_rank") > F.col("_first_line"))
-    repeats = repeats.groupBy("_rank").agg(
+    repeats = repeats.groupBy("_rank", "_key").agg(
         F.collect_set("_place").alias("_repeats"), F.collect_set(F.when(as_line, F.col("_place"))).alias("_lines"))
     others = F.struct(*[F.col(f"`{c}`") for c in carry if c != "text"], F.lit(0).alias("_")).alias("_others")
-    rows = docs.select(rank, others, "text").join(repeats, "_rank", "left").select("_others", "text", "_repeats", "_lines")
+    rows = docs.select(*row, others, "text").join(repeats, ["_rank", "_key"], "left").select("_others", "text", "_repeats", "_lines")
 
     def clean(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, repeated, lines = (batch.column(n).to_pylist() for n in (1, 2, 3))

@@ -9,7 +9,9 @@ bounded size; what a group cannot settle, at most two documents, goes on to the
 next level, where groups are dealt anew. The last group of a source stops a dozen
 documents short: that small landing problem is solved by trying all its ends.
 
-Chance comes from hashes of doc_id and ``seed`` alone, so reruns agree.
+Chance comes from hashes of doc_id, size and ``seed`` alone, so reruns agree. Only where
+more rows of a source than half a group have one doc_id and size, the number of a row in
+its input deals them to groups; such rows are alike in all that the operator returns.
 
 Defined cases: a null or empty text has size 0 and adds nothing; null sources are
 a source, ordered last; a source without words has target 0; repeated rows are
@@ -100,6 +102,21 @@ def landing(sizes: list[int], chances: list[float]) -> list[float]:
     return settled
 
 
+def _dealt(rows: DataFrame, seed: int, level: int, group_rows: int) -> DataFrame:
+    """``rows`` with their order and the part of their source, of ``_parts``, that they are settled in."""
+    sizes = rows.groupBy("source").agg(F.ceil(F.count(F.lit(1)) / group_rows).alias("_parts"))
+    sizes = sizes.select(F.col("source").alias("_source"), "_parts")
+    dealt = rows.join(sizes, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    alike = rows.groupBy("source", "doc_id", "size").count().filter(F.col("count") > group_rows // 2).select(
+        F.col("source").alias("_of_source"), F.col("doc_id").alias("_doc"), F.col("size").alias("_of_size"))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("size") == F.col("_of_size"))
+    dealt = dealt.join(alike, same & F.col("source").eqNullSafe(F.col("_of_source")), "left")
+    order = F.xxhash64("doc_id", "size", F.lit(seed), F.lit(level))
+    own = F.xxhash64("_row", F.lit(seed), F.lit(level))
+    dealt = dealt.withColumn("_order", F.when(F.col("_of_size").isNull(), order).otherwise(own)).drop("_of_source", "_doc", "_of_size")
+    return dealt.withColumn("_part", F.pmod("_order", "_parts"))
+
+
 def _moved(group: pd.DataFrame, seed: int) -> pd.DataFrame:
     last = int(group["_parts"].iloc[0]) == 1  # there the largest are landed: their sizes combine to nearly any sum
     group = group.sort_values(["size", "_order", "doc_id"] if last else ["_order", "doc_id", "size"], kind="stable")
@@ -111,18 +128,14 @@ def _moved(group: pd.DataFrame, seed: int) -> pd.DataFrame:
 
 
 def cube_sample(rows: DataFrame, seed: int = 0, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Settle ``chance`` of (doc_id, source, size, chance, ...) rows at 0 or 1, balanced by source."""
+    """Settle ``chance`` of (_row, doc_id, source, size, chance, ...) rows at 0 or 1, balanced by source."""
     prepare(rows.sparkSession)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     is_open = (F.col("chance") > 0) & (F.col("chance") < 1)
     done, level = rows.filter(~is_open), 0
     open_ = rows.filter(is_open)
     while True:
-        sizes = open_.groupBy("source").agg(F.ceil(F.count(F.lit(1)) / group_rows).alias("_parts"))
-        sizes = sizes.select(F.col("source").alias("_source"), "_parts")
-        dealt = open_.join(sizes, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-        dealt = dealt.withColumn("_order", F.xxhash64("doc_id", "size", F.lit(seed), F.lit(level)))
-        dealt = dealt.withColumn("_part", F.pmod("_order", "_parts"))
+        dealt = _dealt(open_, seed, level, group_rows)
         moved = land(dealt.groupBy("source", "_part").applyInPandas(lambda group: _moved(group, seed), schema))
         done = done.union(moved.filter(~is_open))
         open_ = moved.filter(is_open)
@@ -133,30 +146,32 @@ def cube_sample(rows: DataFrame, seed: int = 0, group_rows: int = GROUP_ROWS) ->
 
 def mix_documents(
     docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST_REPEATS, seed: int = 0,
-    group_rows: int = GROUP_ROWS,
+    group_rows: int = GROUP_ROWS, row: str | None = None,
 ) -> DataFrame:
-    """doc_id, size, source_size, target, taken, repeats of every document."""
+    """_row, doc_id, size, source_size, target, taken, repeats of every document.
+
+    _row is the column that ``row`` names, or else numbers the rows.
+    """
     size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
-    sized = land(docs.select("doc_id", "source", size.alias("size")))
+    number = F.monotonically_increasing_id() if row is None else F.col(row)
+    sized = land(docs.select(number.alias("_row"), "doc_id", "source", size.alias("size")))
     targets = source_targets(sized, weights, most).withColumnRenamed("source", "_source")
     times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = sized.join(targets, F.col("source").eqNullSafe(F.col("_source"))).select(
-        "doc_id", "source", "size", "source_size", "target", F.round(times, 12).alias("_times"))
+        "_row", "doc_id", "source", "size", "source_size", "target", F.round(times, 12).alias("_times"))
     whole = F.floor("_times")
-    rows = land(rows.select("doc_id", "source", "size", "source_size", "target", whole.cast("int").alias("_whole"),
+    rows = land(rows.select("_row", "doc_id", "source", "size", "source_size", "target", whole.cast("int").alias("_whole"),
                             F.round(F.col("_times") - whole, 12).alias("chance")))
     repeats = F.col("_whole") + F.col("chance").cast("int")
     return cube_sample(rows, seed, group_rows).select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * repeats).alias("taken"), repeats.alias("repeats"))
+        "_row", "doc_id", "size", "source_size", "target", (F.col("size") * repeats).alias("taken"), repeats.alias("repeats"))
 
 
-def mixed_rows(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+def mixed_rows(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs``, each as often as ``mix_documents`` takes it."""
-    turns = mixed.groupBy(F.struct("doc_id").alias("_key")).agg(  # in a struct, nulls are equal too
-        F.array_sort(F.collect_list("repeats")).alias("_repeats"))
-    rows = docs.select(F.struct("*").alias("_row"))
-    rows = rows.withColumn("_key", F.struct(F.col("_row.doc_id").alias("doc_id")))
-    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy("_row.text")))
-    rows = rows.join(turns, "_key").withColumn("_times", F.element_at("_repeats", F.col("_nth")))
-    rows = rows.filter(F.col("_times") > 0).withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return rows.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+    numbered = land(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct("*").alias("_all")))
+    measured = numbered.select("_row", "_all.doc_id", "_all.text", "_all.source")
+    taken = mix_documents(measured, **how, row="_row").filter(F.col("repeats") > 0).select("_row", "repeats")
+    rows = numbered.join(taken, "_row")
+    rows = rows.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("repeats"))))
+    return rows.select(*[F.col("_all")[c].alias(c) for c in docs.columns])

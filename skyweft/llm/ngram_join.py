@@ -4,7 +4,8 @@ A document's set are the 64-bit hashes of its distinct n-word shingles. Two sets
 link when their Jaccard similarity reaches a threshold, and linked documents form
 components. The join is exact on the sets:
 
-1. Equal sets become one class, named by its smallest document.
+1. Rows are told apart by a 64-bit hash of doc_id and text, so that neither null nor
+   repeated doc_ids mix their sets. Equal sets become one class, named by its smallest row.
 2. A fixed-size table counts shingles by the first bits of their hash. It gives all
    sets one global order, frequent shingles last. Any order gives right results;
    this one keeps passages that very many documents share out of the prefixes.
@@ -25,8 +26,9 @@ shingle first within chunks, then across them wherever they do not hang together
 yet; whole sets of a large candidate cluster in pairs of chunks.
 
 Defined cases: a null text and one without words have an empty set and link with
-nothing; fewer words than a shingle form one shingle; repeated rows are one class;
-rows with a null doc_id take no part and have no component; no documents give no
+nothing; fewer words than a shingle form one shingle; repeated rows are one class, and
+different texts of one doc_id are two; rows with a null doc_id link like others but
+name no component, which is null where all its rows' doc_ids are; no documents give no
 rows; other columns are not looked at.
 """
 
@@ -40,7 +42,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from skyweft.llm.common import SLICE_ROWS, land, map_slices, prepare, spread
 from skyweft.llm.components import Forest, connected_components
@@ -116,14 +118,14 @@ def _bucket(shingles: np.ndarray) -> np.ndarray:
 def _sets_and_counts(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     """A row per document with its set's size and digest; at the end of a task, its share of the frequency table."""
     table, waiting, held = np.zeros(1 << TABLE_BITS, np.int64), [], 0
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()),
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()),
                         ("part", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
     with np.errstate(over="ignore"):
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(start, SLICE_ROWS)
                 sizes, digests = [], []
-                for text in part.column(1).to_pylist():
+                for text in part.column(2).to_pylist():
                     shingles = shingle_set(text, words)
                     sizes.append(len(shingles))
                     digests.append(np.frombuffer(xxhash.xxh3_128_digest(shingles.data), np.int64))
@@ -135,7 +137,7 @@ def _sets_and_counts(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[
                 both = np.array(digests, np.int64).reshape(-1, 2)
                 none = pa.nulls(part.num_rows)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sizes, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]),
+                    [part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]),
                      none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
     if waiting:
         table += np.bincount(_bucket(np.concatenate(waiting)), minlength=1 << TABLE_BITS)
@@ -173,14 +175,14 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], words: int, percent: int, table: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(token, digest, doc_id, n * 2 ** 32 + place) of prefix shingles; a set met before in the task is left out."""
+    """(token, digest, row, n * 2 ** 32 + place) of prefix shingles; a set met before in the task is left out."""
     seen: set[bytes] = set()
     for batch in batches:
         for start in range(0, batch.num_rows, SLICE_ROWS):
             part = batch.slice(start, SLICE_ROWS)
             tokens, digests, owners, places = [], [], [], []
             with np.errstate(over="ignore"):
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                for row, text in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True):
                     shingles = shingle_set(text, words)
                     digest = xxhash.xxh3_128_digest(shingles.data)
                     n = len(shingles)
@@ -192,10 +194,10 @@ def _prefixes(batches: Iterator[pa.RecordBatch], words: int, percent: int, table
                     prefix = shingles[np.argsort(table[_bucket(shingles)], kind="stable")[: prefix_length(n, percent)]]
                     tokens.append(prefix.view(np.int64))
                     digests.append(np.full(len(prefix), np.frombuffer(digest, np.int64)[0]))
-                    owners.append(np.full(len(prefix), doc_id, np.int64))
+                    owners.append(np.full(len(prefix), row, np.int64))
                     places.append((n << 32) + np.arange(len(prefix), dtype=np.int64))
             joined = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (tokens, digests, owners, places)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in joined], names=["token", "digest", "doc_id", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in joined], names=["token", "digest", "row", "at"])
 
 
 # Candidates
@@ -429,69 +431,111 @@ def _links(group: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _true_links(docs: DataFrame, clusters: DataFrame, words: int, percent: int, group_rows: int) -> DataFrame:
+def _true_links(
+    texts: DataFrame, clusters: DataFrame, words: int, percent: int, group_rows: int, repeated: bool
+) -> DataFrame:
     """Edges between linked classes; ``clusters``: (node, component) by candidates."""
     sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("_rows"))
     chunks = F.ceil(F.col("_rows") / group_rows)
     members = clusters.join(sizes, "component").select(
-        F.col("node").alias("doc_id"), "component", spread(["node"], chunks).alias("_own"), chunks.alias("_chunks"))
+        F.col("node").alias("row"), "component", spread(["node"], chunks).alias("_own"), chunks.alias("_chunks"))
     bit = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS))
     bits = clusters.select(bit("node").alias("_bit")).groupBy(F.shiftright("_bit", 5).alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(_bit & 31 as int))")).alias("bits")).collect()  # 2 ** (FILTER_BITS - 5) rows
     marked = np.zeros(1 << FILTER_BITS - 5, np.int64)
     marked[[row.word for row in bits]] = [row.bits for row in bits]
-    shared = docs.sparkSession.sparkContext.broadcast(np.unpackbits(marked.astype("<u4").view(np.uint8), bitorder="little"))
+    shared = texts.sparkSession.sparkContext.broadcast(np.unpackbits(marked.astype("<u4").view(np.uint8), bitorder="little"))
 
     def as_sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         batch = batch.filter(pa.array(shared.value[batch.column(2).to_numpy()] > 0))
         with np.errstate(over="ignore"):
             sets = [shingle_set(text, words).tobytes() for text in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["row", "shingles"])
 
-    named = docs.select("doc_id", "text", bit("doc_id").alias("_bit")).filter(F.col("doc_id").isNotNull())
-    sets = map_slices(named, as_sets, "doc_id long, shingles binary").join(members, "doc_id")
-    sets = sets.withColumnRenamed("doc_id", "class")
+    named = texts.select("row", "text", bit("row").alias("_bit"))
+    sets = map_slices(named, as_sets, "row long, shingles binary").join(members, "row")
+    if repeated:
+        sets = sets.dropDuplicates(["row"])
+    sets = sets.withColumnRenamed("row", "class")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_chunks") - 1)).alias("_other")
     dealt = sets.select("class", "component", "_own", "shingles", other).select(
         "class", "component", "shingles", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"))
     return dealt.groupBy("component", "_i", "_j").applyInArrow(lambda group: _links(group, percent), "a long, b long")
 
 
-def ngram_components(
-    docs: DataFrame, words: int = WORDS, percent: int = PERCENT, group_rows: int = GROUP_ROWS
-) -> DataFrame:
-    """doc_id, n_shingles, class_id, component_id of every document.
+def row_key() -> Column:
+    """What tells rows apart: doc_id and text."""
+    return F.xxhash64("doc_id", "text")
 
-    ``class_id`` is the smallest doc_id with the same set, ``component_id`` the
-    smallest that is reachable by links, the document itself included.
-    """
+
+def _linked_rows(docs: DataFrame, words: int, percent: int, group_rows: int) -> tuple[DataFrame, DataFrame, bool]:
+    """(row, doc_id, n) of every document; (row, class, component) of every different row with words; whether rows repeat."""
     spark = docs.sparkSession
     prepare(spark)
-    texts = docs.select("doc_id", "text")
+    texts = docs.select(row_key().alias("row"), "doc_id", "text")
     first = land(texts.mapInArrow(
         lambda batches: _sets_and_counts(batches, words),
-        "doc_id long, n long, hi long, lo long, part long, chunk int, counts binary"))
+        "row long, doc_id long, n long, hi long, lo long, part long, chunk int, counts binary"))
     shares = first.filter(F.col("counts").isNotNull())
     n_parts = (shares.agg(F.max("part")).first()[0] or 0) + 1
     table = spark.sparkContext.broadcast(_frequency_table(shares, n_parts))  # 2 ** TABLE_BITS counts
-    sets = first.filter(F.col("counts").isNull()).select("doc_id", "n", "hi", "lo")
-    full = sets.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
+    sets = first.filter(F.col("counts").isNull()).select("row", "doc_id", "n", "hi", "lo")
+    full = sets.filter(F.col("n") > 0).select("row", "hi", "lo", "n")
+    repeated = not full.groupBy("row").count().filter(F.col("count") > 1).isEmpty()
+    if repeated:
+        full = full.distinct()
     # Written first, so that the join can split a class that very many documents are in.
-    classes = land(full.groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("class")))
-    members = land(full.join(classes, ["hi", "lo", "n"]).select("doc_id", "class"))
+    classes = land(full.groupBy("hi", "lo", "n").agg(F.min("row").alias("class")))
+    members = land(full.join(classes, ["hi", "lo", "n"]).select("row", "class"))
 
-    prefixes = texts.filter(F.col("doc_id").isNotNull()).mapInArrow(
+    prefixes = texts.mapInArrow(
         lambda batches: _prefixes(batches, words, percent, table.value),
-        "token long, digest long, doc_id long, at long")
+        "token long, digest long, row long, at long")
     met = prefixes.groupBy("token").agg(F.min("digest").alias("_a"), F.max("digest").alias("_b"))
     met = met.filter(F.col("_a") != F.col("_b")).select("token")
-    shared = land(prefixes.join(met, "token").join(members, "doc_id").select("token", "class", "at"))
+    shared = land(prefixes.join(met, "token").join(members, "row").select("token", "class", "at"))
 
     clusters = connected_components(candidate_edges(shared, percent, group_rows))
-    links = land(_true_links(docs, clusters, words, percent, group_rows).distinct())
+    links = land(_true_links(texts, clusters, words, percent, group_rows, repeated).distinct())
     linked = connected_components(links).select(F.col("node").alias("class"), "component")
-    named = members.join(linked, "class", "left").select(
-        "doc_id", F.col("class").alias("class_id"), F.coalesce("component", "class").alias("component_id")).distinct()
-    return sets.join(named, "doc_id", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"),
-        F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = members.join(linked, "class", "left").select("row", "class", F.coalesce("component", "class").alias("component"))
+    return sets.select("row", "doc_id", "n"), land(named), repeated
+
+
+def ngram_components(
+    docs: DataFrame, words: int = WORDS, percent: int = PERCENT, group_rows: int = GROUP_ROWS
+) -> DataFrame:
+    """doc_id, n_shingles, class_id, component_id of every document.
+
+    ``class_id`` is the smallest doc_id with the same set, ``component_id`` the
+    smallest that is reachable by links, the document itself included.
+    """
+    sets, named, _ = _linked_rows(docs, words, percent, group_rows)
+    rows = sets.join(named, "row", "left")
+    out = rows
+    for group, name in (("class", "class_id"), ("component", "component_id")):
+        least = rows.filter(F.col(group).isNotNull()).groupBy(group).agg(F.min("doc_id").alias(name))
+        out = out.join(least, group, "left")
+    return out.select(
+        "doc_id", F.col("n").alias("n_shingles"),
+        *[F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col(c)).alias(c) for c in ("class_id", "component_id")])
+
+
+def first_of_components(
+    docs: DataFrame, words: int = WORDS, percent: int = PERCENT, group_rows: int = GROUP_ROWS
+) -> DataFrame:
+    """The rows of ``docs`` without all but one of each component: that with the smallest doc_id, nulls last, then row hash.
+
+    Of rows with one doc_id and text, any one stays. Documents without words all stay.
+    """
+    sets, named, repeated = _linked_rows(docs, words, percent, group_rows)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    first = sets.join(named, "row").groupBy("component").agg(F.min(order).alias("_first")).select(F.col("_first.row").alias("_row"))
+    alone = sets.filter(F.col("n") == 0).select(F.col("row").alias("_row")).distinct()
+    key = "_key_of_row"
+    first, alone = (x.select(F.col("_row").alias(key)) for x in (first, alone))
+    keyed = docs.withColumn(key, row_key())
+    if not repeated:
+        return keyed.join(first.union(alone), key, "left_semi").drop(key)
+    kept = keyed.join(first, key, "left_semi").dropDuplicates([key])
+    return kept.unionByName(keyed.join(alone, key, "left_semi")).drop(key)

@@ -365,7 +365,7 @@ def test_odd_rows_have_defined_results(odd_docs):
     assert len(judged) == 9 and all(r.kept is not None for r in judged) and sum(r.n_words == 0 for r in judged) == 3
     mixed = mixing.mix_documents(odd_docs)
     assert mixed.count() == 9 and mixed.filter("taken > 3 * size").count() == 0
-    assert mixing.mixed_rows(odd_docs, mixed).columns == odd_docs.columns
+    assert mixing.mixed_rows(odd_docs).columns == odd_docs.columns
     cleaned = line_dedup.dedup_lines(odd_docs, carry=tuple(odd_docs.columns)).collect()
     assert {r.doc_id: r.text for r in cleaned}[6] == "" and {r.doc_id: r.text for r in cleaned}[1] is None and len(cleaned) == 9
 
