@@ -36,8 +36,7 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of every group with a Jaccard similarity of 0.8 or more on 5-word shingles."""
-    found = ngram_join.ngram_components(docs, words=5, percent=80)
-    return _matching(docs, found.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))))
+    return ngram_join.first_of_components(docs, words=5, percent=80)
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +46,7 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the target weights of their sources take them."""
-    return mixing.mixed_rows(docs, mixing.mix_documents(docs))
+    return mixing.mixed_rows(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
