@@ -20,6 +20,8 @@ repeated rows are judged each for itself; other columns are not looked at.
 
 from __future__ import annotations
 
+import itertools
+import re
 from collections import Counter
 
 import numpy as np
@@ -27,7 +29,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from skyweft.llm.common import land, map_slices, prepare
+from skyweft.llm.common import land, map_slices, prepare, spread
 
 #: Rows of each language.
 SAMPLE_ROWS = 20_000
@@ -36,12 +38,25 @@ DRAWN = 1.5
 MODEL_WORDS = 20_000
 MODEL_GRAMS = 5_000
 GRAMS = (4, 3, 2, 1)
-REMEMBERED = 200_000
+#: Words whose scores a task remembers, and their length.
+REMEMBERED, LONGEST_KNOWN = 400_000, 64
+#: Words of a text whose scores are looked up together.
+AT_ONCE = 50_000
+#: Texts whose words are counted together, and pieces into which the most frequent units of a language are chosen.
+COUNTED_ROWS, PIECES = 2048, 16
 UNKNOWN = "und"
 #: A posterior over more words than this says no more than one over so many.
 WEIGHED_WORDS = 30
 
-letters = regex.compile(r"\p{L}+").findall
+_all_letters = regex.compile(r"\p{L}+").findall
+#: In Latin text without superscripts and fractions these are the same runs, found faster.
+_latin_letters = re.compile(r"[^\W\d_]+").findall
+_beyond_latin = re.compile("[^\x00-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]").search
+
+
+def letters(text: str) -> list[str]:
+    """Runs of letters of a lower-cased text."""
+    return _all_letters(text) if _beyond_latin(text) else _latin_letters(text)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -75,30 +90,48 @@ def _unit_counts(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 class LanguageModel:
-    """Log frequencies of words and n-grams: one number per language."""
+    """Log frequencies of words and n-grams: a row of ``scores`` with one number per language for each."""
 
     def __init__(self, rows: list[tuple[str, int, str, int]], totals: dict[tuple[str, int], int]):
         self.langs = sorted({row[0] for row in rows})
         place = {lang: i for i, lang in enumerate(self.langs)}
-        counts: dict[tuple[int, str], np.ndarray] = {}
-        for lang, size, unit, n in rows:
-            counts.setdefault((size, unit), np.zeros(len(self.langs)))[place[lang]] = n
-        kinds = Counter(size for size, _ in counts)
+        self.units: dict[tuple[int, str], int] = {}
+        for _, size, unit, _ in rows:
+            self.units.setdefault((size, unit), len(self.units))
+        kinds = Counter(size for size, _ in self.units)
         whole = {
             size: np.log([totals.get((lang, size), 0) + 0.5 * kinds[size] for lang in self.langs]) for size in kinds
         }
-        self.units = {key: np.log(n + 0.5) - whole[key[0]] for key, n in counts.items()}
-        self.nothing = np.zeros(len(self.langs))
-
-    def word(self, word: str) -> np.ndarray:
-        known = self.units.get((0, word))
+        counts = np.zeros((len(self.units), len(self.langs)))
+        for lang, size, unit, n in rows:
+            counts[self.units[size, unit], place[lang]] = n
+        self.scores = np.log(counts + 0.5)
+        for (size, _), at in self.units.items():
+            self.scores[at] -= whole[size]
+
+    def known_units(self, word: str) -> list[int]:
+        """The word itself, or else its longest n-grams that are known; their mean is the word's score."""
+        get = self.units.get
+        known = get((0, word))
         if known is not None:
-            return known
+            return [known]
         for size in GRAMS:
-            found = [v for g in grams_of(word, size) if (v := self.units.get((size, g))) is not None]
+            found = [at for g in grams_of(word, size) if (at := get((size, g))) is not None]
             if found:
-                return np.mean(found, axis=0)
-        return self.nothing
+                return found
+        return []
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """Scores of words, one row each; none where not even a letter is known."""
+        known = [self.known_units(word) for word in words]
+        sizes = np.array([len(units) for units in known])
+        out = np.zeros((len(words), len(self.langs)))
+        if sizes.any():
+            starts = np.cumsum(sizes) - sizes
+            flat = np.fromiter(itertools.chain.from_iterable(known), np.int64, int(sizes.sum()))
+            some = sizes > 0
+            out[some] = np.add.reduceat(self.scores[flat], starts[some], axis=0) / sizes[some, None]
+        return out
 
 
 class Judge:
@@ -106,25 +139,31 @@ class Judge:
 
     def __init__(self, model: LanguageModel):
         self.model, self.places = model, {}
-        self.scores = np.zeros((REMEMBERED + 1, len(model.langs)))
-
-    def _place(self, word: str) -> int:
-        place = len(self.places)
-        self.scores[place] = self.model.word(word)
-        self.places[word] = place
-        return place
+        self.scores = np.zeros((REMEMBERED, len(model.langs)))
+
+    def _sum(self, words: list[str]) -> np.ndarray:
+        """Sum of the scores of no more words than are remembered."""
+        places = self.places
+        new = [w for w in dict.fromkeys(words) if w not in places]
+        if new:
+            if len(places) + len(new) > REMEMBERED:
+                places.clear()
+                new = list(dict.fromkeys(words))
+            long = [w for w in new if len(w) > LONGEST_KNOWN]
+            if long:  # scored, but not remembered
+                kept = [w for w in words if len(w) <= LONGEST_KNOWN]
+                extra = self.model.words([w for w in words if len(w) > LONGEST_KNOWN]).sum(axis=0)
+                return extra + self._sum(kept) if kept else extra
+            self.scores[len(places) : len(places) + len(new)] = self.model.words(new)
+            places.update(zip(new, range(len(places), len(places) + len(new)), strict=True))
+        return self.scores.take(np.fromiter(map(places.__getitem__, words), np.int64, len(words)), axis=0).sum(axis=0)
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         words = letters(text.lower()) if text else []
         if not words or not self.model.langs:
             return UNKNOWN, 0.0
-        total = self.model.nothing.copy()
-        for start in range(0, len(words), 50_000):
-            some = words[start : start + 50_000]
-            if len(self.places) + len(some) > REMEMBERED:
-                self.places.clear()
-            get, put = self.places.get, self._place
-            total += self.scores[[p if (p := get(w)) is not None else put(w) for w in some]].sum(axis=0)
+        step = min(AT_ONCE, REMEMBERED)
+        total = sum(self._sum(words[start : start + step]) for start in range(0, len(words), step))
         best = int(np.argmax(total))
         weighed = (total - total[best]) * min(1.0, WEIGHED_WORDS / len(words))
         return self.model.langs[best], 1.0 / float(np.exp(weighed).sum())
@@ -152,14 +191,19 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
     prepare(docs.sparkSession)
     usable = F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()
     sample = _sample(docs.select("doc_id", "text", "lang").filter(usable), sample_rows)
-    counted = map_slices(sample, _unit_counts, "lang string, size int, unit string, n long")
-    units = counted.groupBy("lang", "size", "unit").agg(F.sum("n").alias("n"))
-    most = F.row_number().over(Window.partitionBy("lang", "size").orderBy(F.desc("n"), "unit"))
-    sums = F.sum("n").over(Window.partitionBy("lang", "size"))
+    # A bounded number of texts, but of any length: dealt evenly, whatever the sizes of the blocks they came in.
+    sample = sample.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    counted = map_slices(sample, _unit_counts, "lang string, size int, unit string, n long", COUNTED_ROWS)
+    units = land(counted.groupBy("lang", "size", "unit").agg(F.sum("n").alias("n")))
+    totals = units.groupBy("lang", "size").agg(F.sum("n").alias("total")).collect()
     bound = F.when(F.col("size") == 0, MODEL_WORDS).otherwise(MODEL_GRAMS)
-    rows = units.withColumn("total", sums).withColumn("_at", most).filter(F.col("_at") <= bound).collect()
+    # The most frequent of each piece of a language's units, then of those.
+    for keys in (("lang", "size", "_piece"), ("lang", "size")):
+        most = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "unit"))
+        units = units.withColumn("_piece", spread(["unit"], F.lit(PIECES))).withColumn("_at", most).filter(F.col("_at") <= bound)
+    rows = units.collect()
     return LanguageModel(
-        [(r.lang, r.size, r.unit, r.n) for r in rows], {(r.lang, r.size): r.total for r in rows}
+        [(r.lang, r.size, r.unit, r.n) for r in rows], {(r.lang, r.size): r.total for r in totals}
     )
 
 
