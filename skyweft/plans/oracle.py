@@ -253,6 +253,7 @@ _RELATIONS: dict[str, str] = {
     "nn_raw": _nearest("g", "source_id", "ra", "dec", "w", "designation", "ra", "dec", 2.0),
     "nn_pm": _nearest("g_moved", "source_id", "ra_epoch", "dec_epoch", "w", "designation", "ra", "dec", 2.0),
     "nn_five": _nearest("g_moved", "source_id", "ra_epoch", "dec_epoch", "w", "designation", "ra", "dec", 5.0),
+    "nn_alerts": _nearest("alerts", "alert_id", "ra", "dec", "simbad", "main_id", "ra", "dec", 5.0),
     "nn_scan": _nearest("g_scan", "source_id", "ra_epoch", "dec_epoch", "w", "designation", "ra", "dec", 5.0),
     "sigma_g": (
         "SELECT source_id, least(1e0, greatest(0.001e0, sqrt(pow(coalesce(ra_error, 1e0)/1000e0, 2)"
@@ -556,8 +557,9 @@ _QUERIES: dict[str, str] = {
         "SELECT lk AS gaia_source_id, rk AS wise_designation, CAST(place AS INTEGER) AS rank, round(sep, 6) AS distance_arcsec FROM near_three"),
     "xmatch_pairs_within": "SELECT lk AS gaia_source_id, rk AS wise_designation, round(sep, 6) AS distance_arcsec FROM near_twenty",
     **dict.fromkeys(
-        ("xmatch_of_landed", "xmatch_in_landed"),
+        ("xmatch_of_landed", "xmatch_in_landed", "xmatch_incremental"),
         "SELECT lk AS gaia_source_id, rk AS wise_designation, round(sep, 6) AS distance_arcsec FROM nn_pm"),
+    "stream_alert_matches": "SELECT lk AS alert_id, rk AS main_id, round(sep, 6) AS distance_arcsec FROM nn_alerts",
     "xmatch_coarse_filter": (
         "SELECT lk AS gaia_source_id, rk AS wise_designation, round(sep, 6) AS distance_arcsec"
         " FROM nn_pm JOIN g ON lk = source_id WHERE phot_g_mean_mag < 8.3e0"

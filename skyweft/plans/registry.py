@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from skyweft.config import INFRARED_EPOCH, OPTICAL_EPOCH, REFERENCE_EPOCH, FieldConfig
 from skyweft.functions import astrometry, bayes, photometry, sphere
-from skyweft.operators import clusters, density, enrich, histogram as hist, lightcurve, members, metrics, quadtree, ranked
+from skyweft.operators import clusters, density, enrich, histogram as hist, incremental, lightcurve, members, metrics, quadtree, ranked
 from skyweft.operators.assign import assign_components, one_to_one
 from skyweft.operators.nearest import NearestOptions, crossmatch_k_nearest, crossmatch_nearest, pairs_within
 from skyweft.plans import crossmatch as xm, validation
 from skyweft.plans.survey import CLUSTER_NAMES, FIELD_CONE, FIELD_RADIUS_DEG, Survey
-from skyweft.session import cut_lineage, ship_code
+from skyweft.session import cut_lineage, shared_folder, ship_code
 from skyweft.sources import catalogs, schemas, skycells
 from skyweft.sources.conform import conform, prefixed
+from skyweft.streaming import alerts
 
 Query = Callable[[SparkSession, str], DataFrame]
 FIELD = FieldConfig(*FIELD_CONE)
@@ -307,6 +309,33 @@ def xmatch_in_landed(s: Survey) -> DataFrame:
     return rounded(near.select("gaia_source_id", "wise_designation", "distance_arcsec"))
 
 
+@query
+def xmatch_incremental(s: Survey) -> DataFrame:
+    """Nearest infrared sources in a landed table: the bright optical sources first, then an update with the whole catalog."""
+    path = f"{shared_folder(s.spark)}/skyweft-{uuid.uuid4().hex}"
+    places = {"left_ra": "ra_epoch", "left_dec": "dec_epoch"}
+    wise = s.wise.select("designation", "ra", "dec")
+    moved = _moved(s).select("source_id", "ra_epoch", "dec_epoch", "phot_g_mean_mag")
+    incremental.update_matches(path, moved.filter("phot_g_mean_mag < 12"), wise, **places)
+    incremental.update_matches(path, moved, wise, **places)
+    found = incremental.read_matches(s.spark, path)
+    return rounded(found.select("gaia_source_id", "wise_designation", "distance_arcsec"))
+
+
+@query
+def stream_alert_matches(s: Survey) -> DataFrame:
+    """Nearest known object of every alert, the alerts read as a stream of files."""
+    folder = f"{shared_folder(s.spark)}/skyweft-{uuid.uuid4().hex}"
+    arrived = s.alerts.withColumn("time", F.col("time").cast("timestamp"))
+    arrived.write.parquet(f"{folder}/alerts")
+    stream = alerts.read_alerts(s.spark, f"{folder}/alerts", arrived.schema)
+    alerts.catch_up(alerts.match_alerts(
+        stream, s.simbad, f"{folder}/matched", f"{folder}/progress", right_key="main_id", threshold_arcsec=5.0, watermark="3650 days"))
+    found = alerts.read_matched(s.spark, f"{folder}/matched")
+    return rounded(found.select("gaia_alert_id", "wise_main_id", "distance_arcsec").withColumnsRenamed(
+        {"gaia_alert_id": "alert_id", "wise_main_id": "main_id"}))
+
+
 @query
 def xmatch_coarse_filter(s: Survey) -> DataFrame:
     """Nearest infrared source of bright sources alone, far rows of the catalog dropped before they are copied."""

@@ -15,6 +15,7 @@ simbad      one known object per customer
 members     gaia sources near the cluster; bright ones are listed twice
 clusters    one cluster per supplier: a disc with boxes of parallax and motion
 lightcurve  one flux per event
+alerts      one place and time per event, near the known object of its user's number
 ==========  =========================================================
 """
 
@@ -56,6 +57,7 @@ _SEEDS = {
         "SELECT o_orderkey AS k, 1000000 + o_orderkey AS tic FROM {orders} WHERE o_orderpriority <> '5-LOW'"
         " UNION ALL SELECT s_suppkey * 10 AS k, 9000000000 + s_suppkey AS tic FROM {supplier}"
     ),
+    "alert_seed": "SELECT user_id * 10 AS k, event_id, ts FROM {events}",
     "cluster_seed": "SELECT s_suppkey * 10 AS k FROM {supplier}",
     "simbad_seed": "SELECT c_custkey * 10 AS k, c_custkey AS c, c_mktsegment FROM {customer}",
 }
@@ -124,6 +126,15 @@ _CATALOGS: dict[str, tuple[str, dict[str, str]]] = {
     ),
 }
 
+_CATALOGS["alerts"] = (
+    "alert_seed",
+    {
+        "alert_id": "event_id",
+        "time": "ts",
+        "ra": f"{_RA} + ((event_id * 59) % 401 - 200) / 200e0 * 4e0 / 3600e0",
+        "dec": f"{_DEC} + ((event_id * 71) % 401 - 200) / 200e0 * 4e0 / 3600e0",
+    },
+)
 _CATALOGS["clusters"] = (
     "cluster_seed",
     {
@@ -208,7 +219,7 @@ class Survey:
     """The derived catalogs over one directory of parquet tables, as lazy DataFrames."""
 
     def __init__(self, spark: SparkSession, table_dir: str):
-        self._spark = spark
+        self.spark = spark
         self._dir = table_dir.rstrip("/")
         self._plans: dict[str, DataFrame] = {}
 
@@ -220,9 +231,9 @@ class Survey:
 
     def _plan(self, name: str) -> DataFrame:
         if name not in _TEMPLATES:
-            return self._spark.read.parquet(f"{self._dir}/{name}.parquet")
+            return self.spark.read.parquet(f"{self._dir}/{name}.parquet")
         template = _TEMPLATES[name].replace('"', "`")
-        return self._spark.sql(template, **{i: self.relation(i) for i in _inputs(template)})
+        return self.spark.sql(template, **{i: self.relation(i) for i in _inputs(template)})
 
     def area_sr(self) -> Column:
         """Solid angle of all places that fields take: one cone each, as a single value of its own small plan."""
@@ -236,4 +247,5 @@ class Survey:
     simbad = property(lambda self: self.relation("simbad"), doc="Known objects.")
     members = property(lambda self: self.relation("members"), doc="Published member list, epoch 2015.5.")
     clusters = property(lambda self: self.relation("clusters"), doc="Clusters with discs and boxes.")
+    alerts = property(lambda self: self.relation("alerts"), doc="Places and times of events.")
     lightcurve = property(lambda self: self.relation("lightcurve"), doc="Flux per target and time.")
