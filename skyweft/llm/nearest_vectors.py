@@ -60,9 +60,13 @@ class ProjectionIndex:
         rest = np.sqrt(np.maximum(largest_norm**2 - (vectors**2).sum(axis=1), 0.0))
         values = np.column_stack([vectors, rest]) @ self.directions
         order = np.argsort(values, axis=0, kind="stable")
-        self.sorted = np.ascontiguousarray(np.take_along_axis(values, order, axis=0).T)
-        self.place = np.empty((PROJECTIONS, self.rows), np.int32)
-        np.put_along_axis(self.place, order.T, np.arange(self.rows, dtype=np.int32)[None, :], axis=1)
+        # The sorted arrays one after the other, each moved past the one before, so that one search serves all.
+        self.limit = 1.0 + float(np.abs(values).max())
+        self.starts = np.arange(PROJECTIONS)
+        self.sorted = (np.take_along_axis(values, order, axis=0).T + 4.0 * self.limit * self.starts[:, None]).ravel()
+        self.kind = np.uint16 if self.rows < 1 << 16 else np.uint32
+        self.place = np.empty((PROJECTIONS, self.rows), self.kind)
+        np.put_along_axis(self.place, order.T, np.arange(self.rows, dtype=self.kind)[None, :], axis=1)
         self.trial = values[chance.permutation(self.rows)[:TRIAL_ROWS]]
         self.least_window = FIRST_WINDOW * float(values.std(axis=0).mean()) or 1.0
         self.least = int(np.ceil(COLLISIONS * PROJECTIONS))
@@ -79,10 +83,14 @@ class ProjectionIndex:
 
     def colliding(self, values: np.ndarray, reach: float) -> np.ndarray:
         """Rows that lie in the query-centred windows of enough sorted arrays."""
-        low = np.array([np.searchsorted(a, v - reach, side="left") for a, v in zip(self.sorted, values, strict=True)])
-        high = np.array([np.searchsorted(a, v + reach, side="right") for a, v in zip(self.sorted, values, strict=True)])
-        inside = (self.place - low[:, None].astype(np.int32)).view(np.uint32) < (high - low)[:, None].astype(np.uint32)
-        return np.flatnonzero(inside.sum(axis=0, dtype=np.int16) >= self.least)
+        moved = 4.0 * self.limit * self.starts
+        # Two limits away lies between an array and its neighbours.
+        low, high = (np.clip(values + side, -2.0 * self.limit, 2.0 * self.limit) + moved for side in (-reach, reach))
+        low = np.searchsorted(self.sorted, low, side="left") - self.starts * self.rows
+        high = np.searchsorted(self.sorted, high, side="right") - self.starts * self.rows
+        # Places before ``low`` wrap around to large numbers.
+        inside = (self.place - low[:, None].astype(self.kind)) < (high - low)[:, None].astype(self.kind)
+        return np.flatnonzero(inside.view(np.uint8).sum(axis=0, dtype=np.uint8) >= self.least)
 
 
 class NormBands:
@@ -114,7 +122,8 @@ class NormBands:
             def verify(rows: np.ndarray) -> None:
                 nonlocal best
                 verified.append(rows)  # noqa: B023
-                best = np.r_[best, self.vectors[rows] @ query]  # noqa: B023
+                scores = (self.vectors @ query)[rows] if 2 * len(rows) > len(self.vectors) else self.vectors[rows] @ query  # noqa: B023
+                best = np.r_[best, scores]  # noqa: B023
                 if len(best) > wanted:
                     best = np.partition(best, -wanted)[-wanted:]
 
@@ -163,7 +172,7 @@ def _searched(queries: pa.Table, vectors: pa.Table, nearest: int) -> pa.Table:
     out: list[tuple[int, int, float]] = []
     for q, rows in index.candidates(asked, nearest):
         own, best = asked_ids[q], []
-        close = distinct[rows] @ asked[q]
+        close = (distinct @ asked[q])[rows] if 2 * len(rows) > len(distinct) else distinct[rows] @ asked[q]
         if len(rows) > nearest + 1:  # a last digit may differ from the score itself
             least = np.partition(close, -nearest - 1)[-nearest - 1]
             rows = rows[~(close < least - 1e-9 * max(1.0, abs(least)))]
