@@ -7,8 +7,9 @@ their mean. A text takes the language with the highest sum.
 
 The model is fitted on a bounded sample of labelled rows and itself bounded: of each
 language the ``SAMPLE_ROWS`` rows with the smallest hashes of doc_id and text, or all
-rows where there are fewer, and per language the ``MODEL_WORDS`` most frequent words and
-``MODEL_GRAMS`` most frequent n-grams of each length. A row that is repeated with the
+rows where there are fewer, and per language about the ``MODEL_WORDS`` most frequent words
+and ``MODEL_GRAMS`` most frequent n-grams of each length; of the last that are equally
+frequent, a hash tells which. A row that is repeated with the
 same doc_id, text and language teaches once, so the bound holds whatever repeats.
 Every text is judged whole.
 
@@ -23,13 +24,14 @@ from __future__ import annotations
 import itertools
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from skyweft.llm.common import land, map_slices, prepare, spread
+from skyweft.llm.common import land, map_slices, prepare
 
 #: Rows of each language.
 SAMPLE_ROWS = 20_000
@@ -42,8 +44,8 @@ GRAMS = (4, 3, 2, 1)
 REMEMBERED, LONGEST_KNOWN = 400_000, 64
 #: Words of a text whose scores are looked up together.
 AT_ONCE = 50_000
-#: Texts whose words are counted together, and pieces into which the most frequent units of a language are chosen.
-COUNTED_ROWS, PIECES = 2048, 16
+#: Different units that a task sums up before it hands them on.
+HELD_UNITS = 300_000
 UNKNOWN = "und"
 #: A posterior over more words than this says no more than one over so many.
 WEIGHED_WORDS = 30
@@ -70,23 +72,37 @@ def grams_of(word: str, n: int) -> list[str]:
     return [padded[i : i + n] for i in range(max(1, len(padded) - n + 1))]
 
 
-def _unit_counts(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Counts of words (size 0) and n-grams in a slice of labelled texts."""
-    words: Counter = Counter()
-    for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-        words.update((lang, word) for word in letters(text.lower()))
+def _handed_on(counts: Counter) -> pa.RecordBatch:
+    """Rows (lang, size, unit, n) of what a task has counted so far, which it then forgets."""
+    langs, sizes, units = zip(*counts, strict=True) if counts else ((), (), ())
+    columns = [pa.array(langs, pa.string()), pa.array(sizes, pa.int32()), pa.array(units, pa.string()),
+               pa.array(counts.values(), pa.int64())]
+    counts.clear()
+    return pa.RecordBatch.from_arrays(columns, names=["lang", "size", "unit", "n"])
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the words (size 0) of labelled texts, summed up within a task as far as it can hold them."""
     counts: Counter = Counter()
-    for (lang, word), n in words.items():
-        counts[lang, 0, word] += n
-        for size in GRAMS:
-            for gram in grams_of(word, size):
-                counts[lang, size, gram] += n
-    rows = [(*unit, n) for unit, n in counts.items()]
-    columns = list(zip(*rows, strict=True)) or [[]] * 4
-    types = [pa.string(), pa.int32(), pa.string(), pa.int64()]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["lang", "size", "unit", "n"]
-    )
+    for batch in batches:
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            counts.update(zip(itertools.repeat(lang), itertools.repeat(0), letters(text.lower()), strict=False))
+            if len(counts) > HELD_UNITS:
+                yield _handed_on(counts)
+    yield _handed_on(counts)
+
+
+def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of n-grams from counted words."""
+    counts: Counter = Counter()
+    for batch in batches:
+        for lang, word, n in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for size in GRAMS:
+                for gram in grams_of(word, size):
+                    counts[lang, size, gram] += n
+            if len(counts) > HELD_UNITS:
+                yield _handed_on(counts)
+    yield _handed_on(counts)
 
 
 class LanguageModel:
@@ -181,9 +197,30 @@ def _sample(labelled: DataFrame, sample_rows: int) -> DataFrame:
     drawn = keys.join(sizes.select("lang", below.alias("_below")), "lang").filter(F.col("_key") < F.col("_below"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("_key"))
     least = drawn.select("lang", "_key").distinct().withColumn("_at", place).filter(F.col("_at") <= sample_rows)
-    last = least.groupBy("lang").agg(F.max("_key").alias("_last"))
-    taken = keyed.join(last, "lang").filter(F.col("_key") <= F.col("_last"))
-    return taken.groupBy("lang", "_key").agg(F.min("text").alias("text")).select("lang", "text")
+    last = land(least.groupBy("lang").agg(F.max("_key").alias("_last")))
+    taken = keyed.join(last, "lang").filter(F.col("_key") <= F.col("_last")).select("lang", "_key", "text")
+    # Only texts of rows that are repeated have to meet.
+    again = keys.join(last, "lang").filter(F.col("_key") <= F.col("_last")).groupBy("lang", "_key").count()
+    again = land(again.filter(F.col("count") > 1).select("lang", "_key"))
+    if again.isEmpty():
+        return taken.select("lang", "text")
+    once = taken.join(again, ["lang", "_key"], "left_semi").groupBy("lang", "_key").agg(F.min("text").alias("text"))
+    return taken.join(again, ["lang", "_key"], "left_anti").select("lang", "text").union(once.select("lang", "text"))
+
+
+def _most_frequent(units: DataFrame) -> DataFrame:
+    """Of each language and size the units of the counts that fit its bound, and by hash as many of the next as still do.
+
+    What is ordered are the different counts of a language and size, not its units.
+    """
+    bound = F.when(F.col("size") == 0, MODEL_WORDS).otherwise(MODEL_GRAMS)
+    sizes = units.groupBy("lang", "size", "n").agg(F.count(F.lit(1)).alias("_same"))
+    down = Window.partitionBy("lang", "size").orderBy(F.desc("n"))
+    above = F.coalesce(F.sum("_same").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    share = (bound - above) / F.col("_same")
+    kept = sizes.withColumn("_share", share).filter(F.col("_share") > 0).select("lang", "size", "n", "_share")
+    chance = F.pmod(F.xxhash64("unit"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    return units.join(kept, ["lang", "size", "n"]).filter(chance < F.col("_share")).select("lang", "size", "unit", "n")
 
 
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
@@ -191,17 +228,12 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
     prepare(docs.sparkSession)
     usable = F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()
     sample = _sample(docs.select("doc_id", "text", "lang").filter(usable), sample_rows)
-    # A bounded number of texts, but of any length: dealt evenly, whatever the sizes of the blocks they came in.
-    sample = sample.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    counted = map_slices(sample, _unit_counts, "lang string, size int, unit string, n long", COUNTED_ROWS)
-    units = land(counted.groupBy("lang", "size", "unit").agg(F.sum("n").alias("n")))
+    unit = "lang string, size int, unit string, n long"
+    words = land(sample.mapInArrow(_word_counts, unit).groupBy("lang", "size", "unit").agg(F.sum("n").alias("n")))
+    grams = words.select("lang", "unit", "n").mapInArrow(_gram_counts, unit).groupBy("lang", "size", "unit").agg(F.sum("n").alias("n"))
+    units = land(words.unionByName(grams))
     totals = units.groupBy("lang", "size").agg(F.sum("n").alias("total")).collect()
-    bound = F.when(F.col("size") == 0, MODEL_WORDS).otherwise(MODEL_GRAMS)
-    # The most frequent of each piece of a language's units, then of those.
-    for keys in (("lang", "size", "_piece"), ("lang", "size")):
-        most = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "unit"))
-        units = units.withColumn("_piece", spread(["unit"], F.lit(PIECES))).withColumn("_at", most).filter(F.col("_at") <= bound)
-    rows = units.collect()
+    rows = _most_frequent(units).collect()
     return LanguageModel(
         [(r.lang, r.size, r.unit, r.n) for r in rows], {(r.lang, r.size): r.total for r in totals}
     )
