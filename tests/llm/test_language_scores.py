@@ -81,3 +81,18 @@ def test_text_with_more_words_than_are_remembered(monkeypatch):
     monkeypatch.setattr(language_id, "REMEMBERED", 100)
     lang, sure = language_id.Judge(model)(text)
     assert lang == plain[0] and abs(sure - plain[1]) < 1e-9
+
+
+def test_most_frequent_units_keep_their_bounds(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MODEL_WORDS", 50)
+    monkeypatch.setattr(language_id, "MODEL_GRAMS", 10)
+    rows = [("en", 0, f"w{i}", 100 - i if i < 40 else 3) for i in range(1000)] + [("de", 0, f"v{i}", 1) for i in range(30)]
+    rows += [("en", 4, f"g{i}", 7) for i in range(2000)]
+    units = spark.createDataFrame(rows, "lang string, size int, unit string, n long")
+    kept = {}
+    for r in language_id._most_frequent(units).collect():
+        kept.setdefault((r.lang, r.size), set()).add(r.unit)
+    assert {f"w{i}" for i in range(40)} <= kept["en", 0] and 42 <= len(kept["en", 0]) <= 62
+    assert len(kept["de", 0]) == 30 and 2 <= len(kept["en", 4]) <= 25
+    again = {r.unit for r in language_id._most_frequent(units.repartition(3)).collect()}
+    assert again == set().union(*kept.values())
