@@ -20,7 +20,8 @@ SMALL = "/root/testdata/sf0.001"
 CHECKED = (
     "scan_cone", "scan_members_cascade", "pm_shift_stats", "xmatch_nearest_pm", "quick_run", "posterior_describe",
     "crossmatch_flagship", "isolation_forest_score", "novelty_topk", "top_candidate_lightcurve", "lightcurve_normalize", "ref_scatter_last", "class_report",
-    "ablation_rounded", "roc_curve", "fp_fn_summary", "hist_parallax_by_category",
+    "ablation_rounded", "roc_curve", "fp_fn_summary", "hist_parallax_by_category", "xmatch_k_nearest_crowded", "xmatch_pairs_within",
+    "assign_general", "xmatch_in_landed", "xmatch_incremental", "stream_alert_matches", "posterior_local", "clusters_best", "cmd_adaptive_bins",
 )
 
 
