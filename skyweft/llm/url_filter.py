@@ -8,9 +8,13 @@ followed it. A url that no rule fits is blocked where the difference of the log
 likelihoods per character lies above a threshold, calibrated on labelled urls
 that the models have not seen.
 
-The models are fitted on a bounded sample, ``SAMPLE_ROWS`` urls a class, and keep
-the ``MODEL_GRAMS`` most frequent contexts; urls longer than ``FIT_CHARS`` do not
-teach. Every url is judged whole.
+All urls that a rule fits are learned from, whole and at any length, but each
+different url once, so one that fills much of the table says no more than others.
+Only the longest contexts are counted; shorter ones are their sums. A character after
+a context stays in the model if it makes up at least one in ``LEAST_SHARE`` of its
+verdict's characters, at every size of table; rarer ones are left to the shorter
+contexts. So a model has at most ``LEAST_SHARE`` entries for each context length.
+Every url is judged whole.
 
 Defined cases: a null url and one without ``://`` have an empty host and path; no
 rule fits them; a url without characters says nothing and is allowed, and so is
@@ -22,17 +26,17 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from skyweft.llm.common import map_slices, prepare
+from skyweft.llm.common import land, map_slices, prepare
 
 ORDER = 4
-SAMPLE_ROWS = 20_000
-MODEL_GRAMS = 200_000
-FIT_CHARS = 2_000
+LEAST_SHARE = 200_000
+#: A task hands its counts on when they are so many, and looks at so many characters before it asks.
+COUNTED_TOGETHER, COUNTED_BETWEEN = 500_000, 100_000
 REMEMBERED = 300_000
 START, END = "\x02", "\x03"
 CHARACTERS = 256
@@ -67,19 +71,27 @@ def fitting_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]] =
     return rule, verdict
 
 
-def _grams(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """(verdict, context, next character, count) of a slice of labelled urls, for every context length."""
-    counts: Counter = Counter()
-    for verdict, url in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-        text = START * ORDER + url + END
-        for at in range(ORDER, len(text)):
-            for size in range(ORDER + 1):
-                counts[verdict, text[at - size : at], text[at]] += 1
-    columns = list(zip(*((*key, n) for key, n in counts.items()), strict=True)) or [[]] * 4
-    types = [pa.string(), pa.string(), pa.string(), pa.int64()]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["verdict", "context", "next", "n"]
-    )
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(verdict, gram, count) of labelled urls; a gram is a longest context and the character after it."""
+    counts: dict[str, Counter] = {}
+
+    def counted() -> pa.RecordBatch:
+        rows = [(verdict, gram, n) for verdict, own in counts.items() for gram, n in own.items()]
+        counts.clear()
+        columns = list(zip(*rows, strict=True)) or [[]] * 3
+        types = [pa.string(), pa.string(), pa.int64()]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["verdict", "gram", "n"])
+
+    for batch in batches:
+        for verdict, url in zip(batch.column(0), batch.column(1), strict=True):
+            text = START * ORDER + url.as_py() + END
+            for start in range(0, len(text) - ORDER, COUNTED_BETWEEN):
+                places = range(start, min(start + COUNTED_BETWEEN, len(text) - ORDER))
+                counts.setdefault(verdict.as_py(), Counter()).update(text[at : at + ORDER + 1] for at in places)
+                if sum(map(len, counts.values())) >= COUNTED_TOGETHER:
+                    yield counted()
+    yield counted()
 
 
 class CharacterModel:
@@ -129,36 +141,41 @@ class UrlRatio:
         return total / (len(url) + 1)
 
 
-def _sample(labelled: DataFrame, rows: int) -> DataFrame:
-    """At most about ``rows`` rows of each verdict, drawn by hash of the url."""
-    sizes = {r[0]: r[1] for r in labelled.groupBy("verdict").count().collect()}  # two verdicts
-    share = F.lit(0)
-    for verdict, n in sizes.items():
-        share = F.when(F.col("verdict") == verdict, math.floor((1 << 62) * min(1.0, rows / n))).otherwise(share)
-    return labelled.filter(F.pmod(F.xxhash64("url", F.lit("sample")), F.lit(1 << 62)) <= share)
-
-
-def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[UrlRatio, float] | None:
-    """Models and threshold from (verdict, url) rows; None where a verdict has no urls.
-
-    Four of five sampled urls teach, the fifth sets the threshold: the one with
+def _models(urls: DataFrame) -> dict[str, CharacterModel]:
+    """The model of each verdict that has urls. ``urls``: (verdict, url), to be learned once each."""
+    grams = urls.mapInArrow(_grams, "verdict string, gram string, n long")
+    grams = land(grams.groupBy("verdict", "gram").agg(F.sum("n").alias("n")))
+    totals = {r.verdict: r.n for r in grams.groupBy("verdict").agg(F.sum("n").alias("n")).collect()}  # two verdicts
+    least = F.lit(0)
+    for verdict, total in totals.items():
+        least = F.when(F.col("verdict") == verdict, -(-total // LEAST_SHARE)).otherwise(least)
+    size = F.explode(F.sequence(F.lit(0), F.lit(ORDER))).alias("size")
+    parts = grams.select("verdict", "gram", "n", size).groupBy(
+        "verdict", F.expr(f"substring(gram, {ORDER + 1} - size, size)").alias("context"),
+        F.expr(f"substring(gram, {ORDER + 1}, 1)").alias("next"))
+    kept = parts.agg(F.sum("n").alias("n")).filter(F.col("n") >= least)  # bounded by LEAST_SHARE
+    counts: dict[str, dict] = {verdict: {} for verdict in totals}
+    for batch in kept.toArrow().to_batches():
+        for verdict, context, char, n in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            counts[verdict][context, char] = n
+    return {verdict: CharacterModel(own) for verdict, own in counts.items()}
+
+
+def fit(labelled: DataFrame) -> tuple[UrlRatio, float] | None:
+    """Models and threshold from (verdict, url) rows; None where a verdict has no urls to learn from.
+
+    Four of five different urls teach, the fifth sets the threshold: the one with
     the fewest errors, both verdicts weighed equally, nearest to 0 among equals.
     """
-    spark = labelled.sparkSession
-    prepare(spark)
-    sample = _sample(labelled.filter(F.length("url").between(1, FIT_CHARS)), sample_rows)
+    prepare(labelled.sparkSession)
+    urls = land(labelled.filter(F.length("url") > 0).select("verdict", "url").distinct())
     fifth = F.pmod(F.xxhash64("url", F.lit("fold")), F.lit(5)) == 0
-    grams = map_slices(sample.filter(~fifth), _grams, "verdict string, context string, next string, n long")
-    grams = grams.groupBy("verdict", "context", "next").agg(F.sum("n").alias("n"))
-    most = F.row_number().over(Window.partitionBy("verdict").orderBy(F.desc("n"), F.length("context"), "context", "next"))
-    counts: dict[str, dict] = {"allow": {}, "block": {}}
-    for row in grams.withColumn("_at", most).filter(F.col("_at") <= MODEL_GRAMS).collect():
-        counts[row.verdict][row.context, row.next] = row.n
-    if not all(counts.values()):
+    models = _models(urls.filter(~fifth))
+    if models.keys() != {"allow", "block"}:
         return None
-    ratio = UrlRatio(CharacterModel(counts["allow"]), CharacterModel(counts["block"]))
+    ratio = UrlRatio(models["allow"], models["block"])
     place = F.floor(F.col("ratio") / STEP)
-    held = scored(sample.filter(fifth), ratio).groupBy("verdict", place.alias("place")).count().collect()
+    held = scored(urls.filter(fifth), ratio).groupBy("verdict", place.alias("place")).count().collect()
     return ratio, best_threshold([(r.verdict, r.place, r["count"]) for r in held])
 
 
@@ -181,7 +198,7 @@ def best_threshold(places: list[tuple[str, int, int]]) -> float:
 
 def scored(urls: DataFrame, ratio: UrlRatio) -> DataFrame:
     """Add ``ratio`` to a table with a column ``url``; null where the url has no characters."""
-    shared = urls.sparkSession.sparkContext.broadcast(ratio)  # bounded by MODEL_GRAMS
+    shared = urls.sparkSession.sparkContext.broadcast(ratio)  # bounded by LEAST_SHARE
     place = urls.columns.index("url")
 
     def score(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -194,16 +211,14 @@ def scored(urls: DataFrame, ratio: UrlRatio) -> DataFrame:
     return map_slices(urls, score, f"{schema}, ratio double")
 
 
-def filter_urls(
-    pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, sample_rows: int = SAMPLE_ROWS
-) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, ratio of every page. Only page_id and url are read."""
     prepare(pages.sparkSession)
     host, path = host_and_path(F.col("url"))
     parted = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     rule, says = fitting_rule(F.col("host"), F.col("path"), rules)
     ruled = parted.select("*", rule.alias("rule"), says.alias("says"))
-    fitted = fit(ruled.filter(F.col("says").isNotNull()).select(F.col("says").alias("verdict"), "url"), sample_rows)
+    fitted = fit(ruled.filter(F.col("says").isNotNull()).select(F.col("says").alias("verdict"), "url"))
     if fitted is None:
         judged = ruled.withColumn("ratio", F.lit(None).cast("double"))
         by_method = F.lit("allow")
