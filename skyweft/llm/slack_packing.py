@@ -8,8 +8,9 @@ often as the counts allow. Pieces then take the places of their length in
 parallel, by their rank among the pieces of that length.
 
 Defined cases: a null text is an empty document and still has its end token;
-repeated rows are packed each for itself; no documents give no rows; other
-columns of the input are not looked at.
+repeated rows are packed each for itself, and rows that share one doc_id, null
+included, are ranked in parallel like others; no documents give no rows; other columns
+of the input are not looked at.
 """
 
 from __future__ import annotations
@@ -103,35 +104,36 @@ def _placed(batch: pa.RecordBatch, places: np.ndarray) -> pa.RecordBatch:
     )
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Add sequence_id and offset to a written table of pieces (doc_id, piece, length and what else it carries).
+def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, number: str = "_number") -> DataFrame:
+    """Add sequence_id and offset to a written table of pieces (length, ``number`` and what else it carries).
 
-    A length that very many pieces share is dealt over parts of about
-    ``RANKED_TOGETHER`` pieces, so ranking never gathers it in one task.
+    ``number`` tells the rows apart and goes. A length that very many pieces share is
+    dealt by it over parts of about ``RANKED_TOGETHER`` pieces, so ranking never
+    gathers a length in one task, nor the pieces of one doc_id.
     """
     spark = pieces.sparkSession
     prepare(spark)
     counts = {row[0]: row[1] for row in pieces.groupBy("length").count().collect()}  # at most ``capacity`` rows
-    places = _places(counts, capacity)
+    places = spark.sparkContext.broadcast(_places(counts, capacity))  # bounded by the combinations of lengths
     parts = spark.createDataFrame(
         [(n, -(-c // RANKED_TOGETHER)) for n, c in counts.items()], "length long, _parts long"
     )
-    dealt = pieces.join(F.broadcast(parts), "length").withColumn("_part", spread(["doc_id", "piece"], F.col("_parts")))
+    dealt = pieces.join(F.broadcast(parts), "length").withColumn("_part", spread([number], F.col("_parts")))
     before = (
         dealt.groupBy("length", "_part").agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_before", F.sum("_n").over(
             Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"))
         .drop("_n")
     )
-    order = Window.partitionBy("length", "_part").orderBy("doc_id", "piece")
+    order = Window.partitionBy("length", "_part").orderBy(number)
     ranked = (
         dealt.withColumn("_within", F.row_number().over(order) - 1)
         .join(before, ["length", "_part"])
-        .select(*pieces.columns, (F.col("_before") + F.col("_within")).alias("_rank"))
+        .select(*[f"`{c}`" for c in pieces.columns if c != number], (F.col("_before") + F.col("_within")).alias("_rank"))
     )
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.drop("_rank").schema.fields)
     return map_slices(
-        ranked, lambda batch: _placed(batch, places), f"{schema}, sequence_id bigint, offset bigint", rows=10_000
+        ranked, lambda batch: _placed(batch, places.value), f"{schema}, sequence_id bigint, offset bigint", rows=10_000
     )
 
 
@@ -150,6 +152,7 @@ def pack_documents(
     """Tokenise, cut and pack: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and ids if asked for."""
     pieces = token_pieces(docs, tokenizer_path, capacity, end_id)
     pieces = pieces.select(
-        "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), *["ids"] * with_ids
+        "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), *["ids"] * with_ids,
+        F.monotonically_increasing_id().alias("_number"),
     )
     return pack_pieces(land(pieces), capacity)

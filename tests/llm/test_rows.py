@@ -9,7 +9,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from skyweft.llm import line_dedup, mixing, ngram_join
+from skyweft.llm import line_dedup, mixing, ngram_join, slack_packing
 from test_llm_operators import WORD, components_by_hand
 
 LAST = (1 << 63) - 1
@@ -169,3 +169,24 @@ def test_mix_settles_rows_and_splits_equal_ones(spark):
     again = Counter((r.doc_id, r.size, r.taken) for r in mixing.mix_documents(frame.repartition(3), group_rows=50).collect() if r.doc_id not in (None, 5))
     assert again == Counter((r.doc_id, r.size, r.taken) for r in found if r.doc_id not in (None, 5))
     assert mixing.mixed_rows(frame).count() == sum(r.repeats for r in mixing.mix_documents(frame).collect())
+
+
+def test_equal_pieces_of_one_doc_id_are_ranked_apart(spark, monkeypatch):
+    monkeypatch.setattr(slack_packing, "RANKED_TOGETHER", 8)
+    lengths = [7] * 600 + [n % 40 + 1 for n in range(500)] + [100] * 20
+    rows = [(None if i < 400 else 5, 0, n, i) for i, n in enumerate(lengths)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, length long, _number long")
+    packed = slack_packing.pack_pieces(pieces, 100)
+    assert packed.columns == ["doc_id", "piece", "length", "sequence_id", "offset"]
+    sequences = defaultdict(list)
+    found = packed.collect()
+    for r in found:
+        sequences[r.sequence_id].append((r.offset, r.length))
+    assert Counter((r.doc_id, r.length) for r in found) == Counter((d, n) for d, _, n, _ in rows)
+    for own in sequences.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 100
+    assert len(sequences) <= -(-sum(lengths) // 100) + 1
