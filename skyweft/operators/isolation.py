@@ -51,7 +51,10 @@ def depth_limit(samples: int) -> int:
 
 
 def _grow(rows: pd.DataFrame, features: Sequence[str], seed: int) -> pd.DataFrame:
-    """One tree over one subsample, as a table of nodes."""
+    """One tree over one subsample, as a table of nodes.
+
+    A side of a split that no drawn row takes is a leaf that adds nothing to a path.
+    """
     tree = int(rows["tree"].iloc[0])
     data = rows.sort_values("_draw")[list(features)].to_numpy(float)
     limit = depth_limit(len(data))
@@ -62,6 +65,9 @@ def _grow(rows: pd.DataFrame, features: Sequence[str], seed: int) -> pd.DataFram
         number = len(nodes)
         if parent is not None:
             nodes[parent][side] = number
+        if len(members) == 0:  # a threshold between neighbouring numbers can round up to the largest of them
+            nodes.append([tree, number, LEAF, 0.0, LEAF, LEAF, 0.0])
+            continue
         part = data[members]
         spread = np.flatnonzero(part.max(axis=0) > part.min(axis=0))
         if depth >= limit or len(members) <= 1 or len(spread) == 0:

@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from skyweft.config import Scenario
 from skyweft.operators import enrich, histogram as hist, isolation, lightcurve, members, metrics, ranked
 from skyweft.operators.assign import one_to_one
 from skyweft.operators.topk import first_rows
+from skyweft.plans import oracle
 
 
 # One-to-one
@@ -265,6 +267,21 @@ def test_subsamples_have_the_wanted_size_without_repeats(spark):
     assert drawn.select("_key").distinct().count() > 150
 
 
+def test_thresholds_between_neighbouring_numbers_as_in_sql(spark):
+    following = math.nextafter(1.0, 2.0)
+    rows = [(str(i), 1.0 if i % 3 else following, 2.0, 3.0, True) for i in range(399)] + [("399", 5.0, 2.0, 3.0, True)]
+    df = spark.createDataFrame(rows, "fkey string, bp_rp double, w1_w2 double, m_g double, quality boolean")
+    features = ["bp_rp", "w1_w2", "m_g"]
+    forest = isolation.fit_isolation_forest(df, features, "fkey")
+    scored = {r.fkey: r.anomaly_score for r in isolation.score_isolation_forest(df, forest, features, "quality").collect()}
+    values = ", ".join(f"('{key}', {x!r}::DOUBLE, {y}::DOUBLE, {z}::DOUBLE, true)" for key, x, y, z, _ in rows)
+    relations = {"own(fkey, bp_rp, w1_w2, m_g, quality)": f"VALUES {values}", **oracle._forest("f", "own")}
+    text = "WITH " + ", ".join(f"{name} AS ({sql})" for name, sql in relations.items()) + " SELECT * FROM f_scores"
+    expected = dict(duckdb.connect().execute(text).fetchall())
+    assert scored == pytest.approx(expected, abs=1e-9)
+    assert scored["399"] > scored["0"]
+
+
 def test_average_path():
     assert [isolation.average_path(n) for n in (0, 1, 2)] == [0.0, 0.0, 1.0]
     assert isolation.average_path(256) == pytest.approx(10.2448, abs=1e-3)
