@@ -6,36 +6,44 @@ them. Every right row is copied to the cells its search ball touches, so a left
 row finds all its candidates in its own cell alone:
 
 * right rows are grouped into one array per cell (one shuffle);
-* left rows are joined to that array and take its minimum (one shuffle).
+* left rows are joined to that array and take its minimum (one shuffle);
+* for the ``k`` nearest, whose candidates are many, both sides of a cell are brought
+  to one task (one shuffle a side) that compares them in blocks of an array.
 
 No second shuffle per left row is needed, and both sides keep their columns.
 Bounding the search loses nothing: a nearest neighbour below the threshold
 exists exactly where some pair is below it.
 
-The left side is read once. Before planning, one aggregation counts the right
-rows per cell, from their coordinates alone:
+Before planning, one aggregation counts the right rows per cell, from their
+coordinates alone:
 
 * A cell with too many *left* rows is split by adaptive execution, which the
   arrays allow as they hold one row per cell; ``salt_left`` splits it by salting
   instead, for sessions without adaptive execution, and counts the left rows first.
+  Cells that are compared in blocks are always counted and salted.
 * With ``coarse_filter``, for a left side that covers little of the sky, its rows first
   mark the coarse cells around them in a bitmap of fixed size, and right rows outside
   are dropped before any copy of them is made. This reads the left side once more.
-* A cell with too many *right* rows gets no array. Its left rows descend a tree
-  of ever smaller boxes instead, and keep a box only while it can still hold
+* A cell with more than ``max_candidates`` right rows gets no array but is compared in
+  blocks, where left rows are streamed past its right rows.
+* A cell with more than ``block_rows`` right rows fits no block. Its left rows descend a
+  tree of ever smaller boxes instead, and keep a box only while it can still hold
   the nearest neighbour. Copies of a position count once, so boxes always get
   smaller and the descent ends with short arrays. The result is exact.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from skyweft.functions.sphere import chord_length, unit_vector
-from skyweft.operators.skew import salted_join
-from skyweft.session import cut_lineage
+from skyweft.operators.skew import PARTS, SALT, hot_keys, salted_join
+from skyweft.session import cut_lineage, ship_code
 
 CELL = ("_cx", "_cy", "_cz")
 AXES = ("_x", "_y", "_z")
@@ -43,6 +51,8 @@ PLACE = ("_ra", "_dec")
 SLACK = 1e-13  # chord length; far above rounding, far below any useful radius
 #: Smallest edge of a coarse cell (some 7 arcmin), and the bitmap's length: 2 ** 14 words of 64 bits.
 COARSE_EDGE, BITMAP_BITS = 1.0 / 512.0, 20
+#: Pairs that a task compares at once.
+PAIRS_AT_ONCE = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -51,6 +61,7 @@ class NearestOptions:
 
     cell_factor: float = 4.0
     max_candidates: int = 256
+    block_rows: int = 4096
     leaf_rows: int = 32
     max_left_rows: int = 500_000
     max_broadcast_rows: int = 50_000
@@ -301,29 +312,160 @@ def _crossmatch(
 
     tally = rights.groupBy(*CELL).agg(F.count(F.lit(1)).alias("_rows"))
     densest = tally.agg(F.max("_rows")).first()[0] or 0
-    crowded = None
-    if densest > options.max_candidates:
-        lefts, rights, crowded = _set_apart(lefts, rights, tally, options)
-
-    arrays = rights.groupBy(*CELL).agg(F.collect_list(_right_body(right_key, right_columns)).alias("_near"))
-    if options.salt_left:
-        joined = salted_join(lefts, arrays, CELL, left_key, how, options.max_left_rows)
-    else:
-        joined = lefts.join(arrays, list(CELL), how)
     explode = F.posexplode if inner else F.posexplode_outer
     kept = [F.col(f"`{c}`") for c in left_columns]
-    matched = joined.select(*kept, explode(_closest("_near", threshold, k)).alias("_at", "_best"))
-
-    if crowded is not None:
-        crowded_left, crowded_right = crowded
-        found = _descend(crowded_left, crowded_right, right_key, right_columns, threshold, reach, k, options)
-        descended = salted_join(crowded_left, found, PLACE, left_key, how, options.max_left_rows)
-        matched = matched.unionByName(descended.select(*kept, explode("_found").alias("_at", "_best")))
-    return matched
-
+    matched = []
+    if densest > options.block_rows:
+        lefts, rights, vast = _set_apart(lefts, rights, tally, options.block_rows, options)
+        if vast is not None:
+            found = _descend(*vast, right_key, right_columns, threshold, reach, k, options)
+            descended = salted_join(vast[0], found, PLACE, left_key, how, options.max_left_rows)
+            matched.append(descended.select(*kept, explode("_found").alias("_at", "_best")))
+    blocks = (lefts, rights) if k > 1 else None
+    if k == 1 and min(densest, options.block_rows) > options.max_candidates:
+        lefts, rights, blocks = _set_apart(lefts, rights, tally, options.max_candidates, options)
+    if blocks is not None:
+        compared = _compare_blocks(*blocks, left_columns, left_key, right_key, right_columns, reach, k, options)
+        matched.append(compared.select(
+            *[F.col("_own").getField(c).alias(c) for c in left_columns],
+            explode(_closest("_near", threshold, k)).alias("_at", "_best")))
+    if k == 1:
+        arrays = rights.groupBy(*CELL).agg(F.collect_list(_right_body(right_key, right_columns)).alias("_near"))
+        if options.salt_left:
+            joined = salted_join(lefts, arrays, CELL, left_key, how, options.max_left_rows)
+        else:
+            joined = lefts.join(arrays, list(CELL), how)
+        matched.append(joined.select(*kept, explode(_closest("_near", threshold, k)).alias("_at", "_best")))
+    out = matched[0]
+    for more in matched[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _compare_blocks(
+    lefts: DataFrame, rights: DataFrame, left_columns: list[str], left_key: str, right_key: str, right_columns: list[str],
+    reach: float, k: int, options: NearestOptions,
+) -> DataFrame:
+    """Each left row (``_own``, ``_ra``, ``_sin``, ``_cos``) with an array ``_near`` of right rows that holds its ``k`` nearest.
 
-def _set_apart(lefts: DataFrame, rights: DataFrame, tally: DataFrame, options: NearestOptions) -> tuple:
-    """Both sides of ordinary cells, and both sides of cells with too many right rows.
+    A task gets whole cells, right rows first, and keeps those of one cell only; left
+    rows stream past them. The array holds whatever may be among the ``k`` nearest within
+    rounding, at most ``k`` copies of a position; it is ranked by the caller.
+    """
+    ship_code(lefts.sparkSession)
+    cell = list(CELL)
+    hot = cut_lineage(hot_keys(lefts, cell, options.max_left_rows))
+    salts = [F.lit(0), F.lit(0)]
+    if not hot.isEmpty():
+        lefts, rights = lefts.join(hot, cell, "left"), rights.join(hot, cell, "left")
+        parts = F.coalesce(F.col(PARTS), F.lit(1))
+        salts = [F.pmod(F.xxhash64(left_key), parts).cast("int"), F.explode(F.sequence(F.lit(0), parts - 1))]
+    own = F.struct(*[F.col(f"`{c}`") for c in left_columns])
+    body = F.struct(F.col(f"`{right_key}`").alias("key"), F.struct(*[F.col(f"`{c}`") for c in right_columns]).alias("row"))
+    types = {"_own": lefts.select(own.alias("o")).schema["o"].dataType, "_body": rights.select(body.alias("b")).schema["b"].dataType}
+    none = {name: F.lit(None).cast(kind).alias(name) for name, kind in types.items()}
+    both = rights.select(*cell, salts[1].alias(SALT), F.lit(0).alias("_side"), *PLACE, body.alias("_body"), none["_own"]).unionByName(
+        lefts.select(*cell, salts[0].alias(SALT), F.lit(1).alias("_side"), *PLACE, none["_body"], own.alias("_own")))
+    dealt = both.repartition(*cell, SALT).sortWithinPartitions(*cell, SALT, "_side", *PLACE, "_body")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return nearest_in_blocks(batches, reach, k)
+
+    near = T.StructType([T.StructField("ra", T.DoubleType()), T.StructField("dec", T.DoubleType()),
+                         *types["_body"].fields])
+    schema = T.StructType([T.StructField("_own", types["_own"]), *[T.StructField(c, T.DoubleType()) for c in PLACE],
+                           T.StructField("_found", T.ArrayType(near))])
+    compared = dealt.mapInArrow(compare, schema)
+    latitude = F.radians("_dec")
+    whole = lambda r: F.struct(
+        r["ra"].alias("ra"), F.sin(F.radians(r["dec"])).alias("sin"), F.cos(F.radians(r["dec"])).alias("cos"),
+        r["key"].alias("key"), r["row"].alias("row"))
+    return compared.select(
+        "_own", "_ra", F.sin(latitude).alias("_sin"), F.cos(latitude).alias("_cos"), F.transform("_found", whole).alias("_near"))
+
+
+def nearest_in_blocks(batches: Iterator[pa.RecordBatch], reach: float, k: int) -> Iterator[pa.RecordBatch]:
+    """Left rows of batches sorted by cell, salt and side, each with the right rows of its cell that may be its ``k`` nearest."""
+    held: pa.StructArray | None = None  # right rows of the cell that the last batch ended in
+    last: np.ndarray | None = None
+    repeats = 0  # how many rows at the end of the held ones stand at one position
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        names = batch.schema.names
+        column = dict(zip(names, batch.columns, strict=True))
+        cells = np.column_stack([column[c].to_numpy(zero_copy_only=False) for c in (*CELL, SALT)])
+        ra, dec = (column[c].to_numpy(zero_copy_only=False) for c in PLACE)
+        side = column["_side"].to_numpy(zero_copy_only=False)
+        key, row = column["_body"].flatten()
+        rights = pa.StructArray.from_arrays([column["_ra"], column["_dec"], key, row], ["ra", "dec", "key", "row"])
+        goes_on = last is not None and bool((cells[0] == last).all())
+        starts = np.flatnonzero(np.r_[True, (cells[1:] != cells[:-1]).any(axis=1)])
+        ends = np.r_[starts[1:], len(cells)]
+
+        # Of right rows at one position, which stand side by side in the order of their keys, k count.
+        at = np.flatnonzero(side == 0)
+        new = np.ones(len(at), dtype=bool)
+        if len(at) > 1:
+            new[1:] = (ra[at][1:] != ra[at][:-1]) | (dec[at][1:] != dec[at][:-1]) | (cells[at][1:] != cells[at][:-1]).any(axis=1)
+        before = 0
+        if goes_on and held is not None and len(held) and len(at) and at[0] == 0:
+            if tuple(held.field(c)[len(held) - 1].as_py() for c in ("ra", "dec")) == (ra[0], dec[0]):
+                before = repeats
+        run = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
+        nth = np.arange(len(at)) - run + np.where(run == 0, before, 0)
+        at, nth = at[nth < k], nth[nth < k]
+        base = held if goes_on and held is not None else rights.slice(0, 0)
+        pool = pa.concat_arrays([base, rights.take(pa.array(at))])
+        px, py = (pool.field(c).to_numpy(zero_copy_only=False) for c in ("ra", "dec"))
+        there, here = _vectors(px, py), _vectors(ra, dec)
+
+        counts, chosen, rows = [], [], []
+        for start, end in zip(starts, ends, strict=True):
+            low, high = np.searchsorted(at, (start, end)) + len(base)
+            if start == 0 and goes_on:
+                low = 0
+            lefts = start + np.searchsorted(side[start:end], 1)
+            block = there[low:high]
+            step = max(1, PAIRS_AT_ONCE // max(1, len(block)))
+            for first in range(lefts, end, step):
+                points = here[first:min(first + step, end)]
+                rows.append(np.arange(first, first + len(points)))
+                if not len(block):
+                    counts.append(np.zeros(len(points), dtype=np.int64))
+                    continue
+                apart = np.zeros((len(points), len(block)))
+                for axis in range(3):
+                    apart += (points[:, axis, None] - block[None, :, axis]) ** 2
+                apart = np.sqrt(apart)
+                bound = np.full(len(points), reach)
+                if len(block) > k:
+                    bound = np.minimum(bound, np.partition(apart, k - 1, axis=1)[:, k - 1])
+                inside = apart <= bound[:, None] + 2 * SLACK
+                counts.append(inside.sum(axis=1))
+                chosen.append(np.nonzero(inside)[1] + low)
+        if rows:
+            offsets = np.r_[0, np.cumsum(np.concatenate(counts))].astype(np.int32)
+            taken = pool.take(pa.array(np.concatenate([*chosen, np.zeros(0, dtype=np.int64)])))
+            picked = pa.array(np.concatenate(rows))
+            yield pa.RecordBatch.from_arrays(
+                [column["_own"].take(picked), *[column[c].take(picked) for c in PLACE],
+                 pa.ListArray.from_arrays(pa.array(offsets), taken)], ["_own", *PLACE, "_found"])
+
+        start = int(starts[-1])
+        low = 0 if start == 0 and goes_on else int(np.searchsorted(at, start)) + len(base)
+        if len(at) and at[-1] >= start:
+            repeats = int(nth[-1]) + 1
+        held, last = pool.slice(low), cells[-1]
+
+
+def _vectors(ra: np.ndarray, dec: np.ndarray) -> np.ndarray:
+    lon, lat = np.radians(ra), np.radians(dec)
+    return np.column_stack([np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)])
+
+
+def _set_apart(lefts: DataFrame, rights: DataFrame, tally: DataFrame, most: int, options: NearestOptions) -> tuple:
+    """Both sides of ordinary cells, and both sides of cells with more than ``most`` right rows.
 
     The latter is None if no left row lies in such a cell; their right rows can
     then match nothing.
@@ -333,7 +475,7 @@ def _set_apart(lefts: DataFrame, rights: DataFrame, tally: DataFrame, options: N
     def marks(cells: DataFrame) -> DataFrame:
         return F.broadcast(cells) if cells.count() <= options.max_broadcast_rows else cells
 
-    crowded = marks(cut_lineage(tally.filter(F.col("_rows") > options.max_candidates).select(*CELL)))
+    crowded = marks(cut_lineage(tally.filter(F.col("_rows") > most).select(*CELL)))
     in_use = cut_lineage(lefts.select(*CELL).join(crowded, on, "left_semi").distinct())
     apart = None
     if not in_use.isEmpty():

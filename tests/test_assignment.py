@@ -72,6 +72,20 @@ def test_k_nearest_equals_brute_force(catalogs, k, options):
             assert [name for _, _, name in own] == [name for _, name in near]
 
 
+@pytest.mark.parametrize("k, block_rows, batch", [(1, 20, 5), (3, 20, 5), (3, 4096, 5)])
+def test_k_nearest_in_blocks_of_any_size(catalogs, spark, k, batch, block_rows):
+    left, right, _, _ = catalogs
+    options = NearestOptions(max_candidates=3, block_rows=block_rows, leaf_rows=2, max_left_rows=10)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        rows = crossmatch_k_nearest(left, right, k=k, threshold_arcsec=6.0, options=options).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    expected = crossmatch_k_nearest(left, right, k=k, threshold_arcsec=6.0, options=NearestOptions(block_rows=1000)).collect()
+    plain = lambda found: sorted((r.gaia_source_id, r["rank"], r.wise_designation, r.distance_arcsec) for r in found)
+    assert plain(rows) == plain(expected)
+
+
 def test_k_nearest_keeps_rows_without_neighbours(catalogs):
     left, right, lefts, _ = catalogs
     found = crossmatch_k_nearest(left, right, k=3, threshold_arcsec=0.0001, how="left").collect()

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import plan_text
+from skyweft.operators import nearest
 from skyweft.operators.nearest import NearestOptions, crossmatch_nearest
 from skyweft.operators.skew import hot_keys, salted_join
 
@@ -74,6 +75,35 @@ def test_equals_brute_force(spark, options, how):
     assert got == brute_force(left, right, 5.0, how)
 
 
+@pytest.mark.parametrize("block_rows, max_candidates, batch", [(8, 256, 10000), (30, 2, 7), (4096, 2, 7)])
+def test_blocks_of_any_size_equal_brute_force(spark, block_rows, max_candidates, batch):
+    left, right = scattered(420, 1), scattered(560, 2)
+    options = NearestOptions(max_candidates=max_candidates, block_rows=block_rows, leaf_rows=6, max_left_rows=20)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        rows = crossmatch_nearest(
+            spark.createDataFrame(left, SCHEMA_LEFT), spark.createDataFrame(right, SCHEMA_RIGHT),
+            threshold_arcsec=5.0, how="left", options=options).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = {r.gaia_source_id: r.wise_designation for r in rows}
+    assert len(rows) == len(got)
+    assert got == brute_force(left, right, 5.0, "left")
+
+
+def test_crowded_cells_are_compared_without_writing_boxes(spark, monkeypatch):
+    """Every cell here is crowded; neither points nor boxes of them are written, and each row comes once."""
+    written = []
+    plain = nearest.cut_lineage
+    monkeypatch.setattr(nearest, "cut_lineage", lambda df: written.append(df.columns) or plain(df))
+    left = spark.range(400).select(F.col("id").alias("source_id"), (F.col("id") % 20 / 5000).alias("ra"), (F.col("id") / 50000).alias("dec"))
+    right = left.withColumnRenamed("source_id", "designation")
+    found = crossmatch_nearest(left, right, threshold_arcsec=5.0, options=NearestOptions(max_candidates=1, leaf_rows=1, max_left_rows=2, salt_left=True))
+    assert {(r.gaia_source_id, r.wise_designation) for r in found.collect()} == {(i, i) for i in range(400)}
+    assert found.count() == 400
+    assert all(set(columns) <= {*nearest.CELL, nearest.PARTS} for columns in written)
+
+
 def test_threshold_is_strict_and_ties_take_the_smaller_key(spark):
     left = spark.createDataFrame([(1, 10.0, 0.0), (2, 20.0, 0.0)], SCHEMA_LEFT)
     right = spark.createDataFrame([(7, 10.0, 1 / 3600), (9, 20.0, 0.5 / 3600), (8, 20.0, -0.5 / 3600)], SCHEMA_RIGHT)
