@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from skyweft.config import INFRARED_EPOCH, MAS_PER_DEGREE, OPTICAL_EPOCH
 from skyweft.functions.nulls import clip
+from skyweft.functions.once import with_columns_once
 
 POLE_COSINE = 1e-12
 
@@ -36,11 +37,12 @@ def propagate_position(
     }
     ra_deg, dec_deg = F.col(f"`{ra}`").cast("double"), F.col(f"`{dec}`").cast("double")
     cos_dec = F.cos(F.radians(dec_deg))
-    return df.withColumns(
+    return with_columns_once(
+        df,
         {
             out_ra: F.when(F.abs(cos_dec) >= F.lit(POLE_COSINE), ra_deg + F.try_divide(moved[pmra], cos_dec)),
             out_dec: dec_deg + moved[pmdec],
-        }
+        },
     )
 
 

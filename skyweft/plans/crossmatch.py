@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from skyweft.config import ClusterConfig, FieldConfig, MatchConfig
 from skyweft.functions import bayes, photometry
 from skyweft.functions.astrometry import gaia_radial_sigma, propagate_position, wise_radial_sigma
+from skyweft.functions.once import with_columns_once
 from skyweft.operators.assign import one_to_one
 from skyweft.operators.enrich import enrich_known_objects, flag_known_objects, join_tic
 from skyweft.operators.isolation import fit_isolation_forest, score_isolation_forest
@@ -102,12 +103,15 @@ def all_candidate_pairs(
 
 def with_evidence(near: DataFrame) -> DataFrame:
     """Pairs with both positional errors and the log of the Bayes factor."""
-    return near.withColumns(
+    errors = with_columns_once(
+        near,
         {
             "sigma_gaia": gaia_radial_sigma(F.col("gaia_ra_error"), F.col("gaia_dec_error")),
             "sigma_wise": wise_radial_sigma(F.col("wise_sigra"), F.col("wise_sigdec")),
-        }
-    ).withColumn("ln_b", bayes.log_bayes_factor(F.col("psi_arcsec"), F.col("sigma_gaia"), F.col("sigma_wise")))
+        },
+    )
+    return with_columns_once(
+        errors, {"ln_b": bayes.log_bayes_factor(F.col("psi_arcsec"), F.col("sigma_gaia"), F.col("sigma_wise"))})
 
 
 def prior_odds(

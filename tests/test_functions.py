@@ -6,8 +6,9 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
+from conftest import plan_text
 from skyweft.config import ClusterConfig, Scenario
-from skyweft.functions import astrometry, bayes, nulls, photometry, sphere
+from skyweft.functions import astrometry, bayes, nulls, once, photometry, sphere
 
 
 def evaluate(spark, schema, rows, **columns):
@@ -163,3 +164,13 @@ def test_nan_becomes_null(spark):
     assert [tuple(r) for r in nulls.nan_to_null(df).collect()] == [(None, "x", 1), (1.0, None, 2)]
     clipped = evaluate(spark, "v double", [(None,), (5.0,), (-5.0,)], c=nulls.clip(F.col("v"), -1, 1))
     assert [r["c"] for r in clipped] == [None, 1.0, -1.0]
+
+
+def test_columns_computed_once_stay_below_filters(spark):
+    df = spark.createDataFrame([(1.0, "a"), (None, "b"), (4.0, "c")], "x double, name string")
+    out = once.with_columns_once(df, {"x": F.sqrt("x"), "y": F.exp("x")})
+    assert out.columns == ["x", "name", "y"]
+    kept = out.filter((F.col("y") > 3.0) & (F.col("y") < 100.0))
+    assert [(r["x"], r["name"]) for r in kept.collect()] == [(2.0, "c")]
+    assert {r["name"]: r["y"] for r in out.collect()}["b"] is None
+    assert plan_text(kept).count("EXP(") == 1

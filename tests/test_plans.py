@@ -2,15 +2,18 @@ from __future__ import annotations
 
 import math
 import os
+import re
 from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from conftest import plan_text
 from skyweft import cli
 from skyweft.config import FieldConfig
+from skyweft.functions.astrometry import propagate_position
 from skyweft.plans import crossmatch, oracle, registry, report, runs
 from skyweft.plans.survey import CLUSTER_NAMES, FIELD_CONE, Survey
 from skyweft.session import cut_lineage, own_tables
@@ -154,3 +157,25 @@ def test_a_run_removes_its_tables(spark, tmp_path):
 
     assert run(spark) == 5
     assert not Path(seen[0]).parent.exists() and not Path(seen[0]).parent.parent.exists()
+
+
+def test_generated_methods_are_short_enough_to_be_compiled(spark):
+    """The JVM interprets methods of more than 8,000 bytes, which made these stages several times slower."""
+    debug = getattr(getattr(spark._jvm, "org.apache.spark.sql.execution.debug.package$"), "MODULE$")
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {name: spark.conf.get(name) for name in settings}
+    s = Survey(spark, SMALL)
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        pairs = crossmatch.all_candidate_pairs(registry._gaia(s), crossmatch.needed_columns(s.wise))
+        scored = crossmatch.score_pairs(pairs, crossmatch.prior_odds(registry._gaia(s), s.wise, s.area_sr()))
+        body = F.struct("gaia_source_id", "wise_designation", "psi_arcsec", "ln_b", "posterior")
+        best = scored.filter((F.col("posterior") > 0.01) & F.col("ln_b").isNotNull()).groupBy("gaia_source_id", "wise_designation").agg(F.max_by(body, "ln_b"))
+        listed = propagate_position(registry._members(s), 2015.5, 2016.0).filter(F.col("ra_epoch") + F.col("dec_epoch") < 1e9)
+        for df in (registry._matches(s), best, listed):
+            code = debug.codegenString(df._jdf.queryExecution().executedPlan())
+            assert max(int(size) for size in re.findall(r"maxMethodCodeSize:(\d+)", code)) < 8000
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
