@@ -10,8 +10,9 @@ components. The join is exact on the sets:
    sets one global order, frequent shingles last. Any order gives right results;
    this one keeps passages that very many documents share out of the prefixes.
 3. Similar sets share a shingle among the first ``n - ceil(t n) + 1`` in that order.
-   Prefix shingles that only one class has are dropped, and of those that the same
-   classes have all but the first; few are left.
+   Prefix shingles are brought together once. Those that only one class has are dropped,
+   and of those that the same classes have all but the first; few are left. Up to step 5
+   a class goes by the first half of its set's digest.
 4. Classes that share a prefix shingle meet, each with the rest of its prefix. The
    rests are stored in a trie; every class walks it, sharing the overlap of common
    paths, and leaves subtrees whose remaining length cannot reach the overlap that
@@ -36,13 +37,14 @@ from __future__ import annotations
 
 import functools
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from skyweft.llm.common import SLICE_ROWS, land, map_slices, prepare, spread
 from skyweft.llm.components import Forest, connected_components
@@ -56,7 +58,7 @@ GROUP_ROWS = 4096
 ROWS_AT_ONCE = 2000
 SEEN_SETS = 200_000
 HASHED_BYTES = 1 << 20
-#: Bits of the filter that tells which texts need not be looked at again. When full, it lets all through.
+#: Bits of the filter that tells which rows need not be looked at again. When full, it lets all through.
 FILTER_BITS = 23
 _BASE = 0x9E3779B97F4A7C15
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -115,6 +117,15 @@ def _bucket(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Mostly small numbers, as a few bits each."""
+    return zlib.compress(counts.astype("<i8").tobytes(), 1)
+
+
+def _unpacked(counts: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(counts), "<i8")
+
+
 def _sets_and_counts(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     """A row per document with its set's size and digest; at the end of a task, its share of the frequency table."""
     table, waiting, held = np.zeros(1 << TABLE_BITS, np.int64), [], 0
@@ -144,14 +155,14 @@ def _sets_and_counts(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[
     if table.any():
         step, number = 1 << CHUNK_BITS, TaskContext.get().partitionId()
         for chunk in range(len(table) // step):
-            counts = table[chunk * step : (chunk + 1) * step].astype("<i8").tobytes()
+            counts = _packed(table[chunk * step : (chunk + 1) * step])
             yield pa.RecordBatch.from_pylist([{"part": number, "chunk": chunk, "counts": counts}], schema=schema)
 
 
 def _added(rows: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x.as_py(), "<i8") for x in rows.column("counts"))
+    total = sum(_unpacked(x.as_py()) for x in rows.column("counts"))
     return pa.table({"part": [rows.column("part")[0].as_py()], "chunk": pa.array([rows.column("chunk")[0].as_py()], pa.int32()),
-                     "counts": pa.array([total.tobytes()], pa.binary())})
+                     "counts": pa.array([_packed(total)], pa.binary())})
 
 
 def _frequency_table(shares: DataFrame, n_parts: int) -> np.ndarray:
@@ -163,7 +174,7 @@ def _frequency_table(shares: DataFrame, n_parts: int) -> np.ndarray:
         n_parts = math.ceil(n_parts / MERGED_AT_ONCE)
     table = np.zeros(1 << TABLE_BITS, np.int64)
     for row in shares.collect():  # at most 2 ** TABLE_BITS numbers
-        table[row.chunk << CHUNK_BITS : (row.chunk + 1) << CHUNK_BITS] += np.frombuffer(row.counts, "<i8")
+        table[row.chunk << CHUNK_BITS : (row.chunk + 1) << CHUNK_BITS] += _unpacked(row.counts)
     return table
 
 
@@ -175,14 +186,14 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], words: int, percent: int, table: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(token, digest, row, n * 2 ** 32 + place) of prefix shingles; a set met before in the task is left out."""
+    """(token, class, n * 2 ** 32 + place) of prefix shingles; a set met before in the task is left out."""
     seen: set[bytes] = set()
     for batch in batches:
         for start in range(0, batch.num_rows, SLICE_ROWS):
             part = batch.slice(start, SLICE_ROWS)
-            tokens, digests, owners, places = [], [], [], []
+            tokens, classes, places = [], [], []
             with np.errstate(over="ignore"):
-                for row, text in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True):
+                for text in part.column(0).to_pylist():
                     shingles = shingle_set(text, words)
                     digest = xxhash.xxh3_128_digest(shingles.data)
                     n = len(shingles)
@@ -193,11 +204,10 @@ def _prefixes(batches: Iterator[pa.RecordBatch], words: int, percent: int, table
                     seen.add(digest)
                     prefix = shingles[np.argsort(table[_bucket(shingles)], kind="stable")[: prefix_length(n, percent)]]
                     tokens.append(prefix.view(np.int64))
-                    digests.append(np.full(len(prefix), np.frombuffer(digest, np.int64)[0]))
-                    owners.append(np.full(len(prefix), row, np.int64))
+                    classes.append(np.full(len(prefix), np.frombuffer(digest, np.int64)[0]))
                     places.append((n << 32) + np.arange(len(prefix), dtype=np.int64))
-            joined = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (tokens, digests, owners, places)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in joined], names=["token", "digest", "row", "at"])
+            joined = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (tokens, classes, places)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in joined], names=["token", "class", "at"])
 
 
 # Candidates
@@ -351,10 +361,17 @@ def _viable(rows: DataFrame, percent: int) -> DataFrame:
     return met.filter(kept).select(*rows.columns)
 
 
-def _found(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
+def _marked(rows: DataFrame, marks: DataFrame, column: str) -> DataFrame:
+    """Rows whose ``column`` stands in ``marks``, and a few by chance, told by a bitmap of fixed size before any shuffle."""
+    bit = F.pmod(F.xxhash64(column), F.lit(1 << FILTER_BITS))
+    word, flag = F.shiftright(bit, 6).alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(63).cast("int"))
+    bitmap = F.broadcast(marks.groupBy(word).agg(F.bit_or(flag).alias("_bits")))  # 2 ** (FILTER_BITS - 6) rows
+    return rows.withColumn("_word", word).join(bitmap, "_word").filter(F.col("_bits").bitwiseAND(flag) != 0).drop("_word", "_bits")
+
+
+def _found(rows: DataFrame, n_rows: int, keys: list[str], percent: int) -> DataFrame:
     """Candidate edges of all groups named by ``keys``; tasks take many small groups at a time."""
-    rows = land(rows)
-    buckets = F.lit(-(-rows.count() // ROWS_AT_ONCE) or 1)
+    buckets = F.lit(-(-n_rows // ROWS_AT_ONCE) or 1)
 
     def find(table: pa.Table) -> pa.Table:
         table = table.sort_by([(k, "ascending") for k in keys])
@@ -372,16 +389,16 @@ def candidate_edges(shared: DataFrame, percent: int, group_rows: int = GROUP_ROW
     """
     place = F.col("at").bitwiseAND(0xFFFFFFFF)
     listed = F.array_sort(F.collect_set(F.struct(place.alias("place"), "token"))).alias("_list")
-    all_lists = shared.groupBy("class").agg(F.max(F.shiftright("at", 32)).alias("n"), listed)
-    rows = all_lists.select("class", "n", F.size("_list").alias("_size"), F.posexplode("_list").alias("_i", "_x")).select(
+    lists = land(shared.groupBy("class").agg(F.max(F.shiftright("at", 32)).alias("n"), listed))
+    rows = lists.select("class", "n", F.size("_list").alias("_size"), F.posexplode("_list").alias("_i", "_x")).select(
         "_x.token", "class", "n", "_x.place", (F.col("_size") - F.col("_i") - 1).alias("rest"))
-    rows = land(_viable(land(_viable(land(_telling(land(rows))), percent)), percent))
+    rows = land(_viable(land(_viable(land(_telling(rows)), percent)), percent))
     shared = land(rows.select("token", "class", (F.shiftleft("n", 32) + F.col("place")).alias("at")))
-    lists = all_lists.select("class", "_list").join(shared.select("class").distinct(), "class", "left_semi")
+    lists = _marked(lists.select("class", "_list"), shared, "class")
     sizes = shared.groupBy("token").agg(F.count(F.lit(1)).alias("_rows"))
     dealt = shared.join(sizes, "token").withColumn("_chunk", spread(["token", "class"], F.ceil(F.col("_rows") / group_rows)))
     within = _met(dealt.drop("_rows"), lists).withColumn("known", F.lit(None).cast("long"))
-    within = land(_found(within, ["token", "_chunk"], percent).distinct())
+    within = land(_found(within, shared.count(), ["token", "_chunk"], percent).distinct())
     large = land(sizes.filter(F.col("_rows") > group_rows))
     if large.isEmpty():
         return within
@@ -398,9 +415,9 @@ def candidate_edges(shared: DataFrame, percent: int, group_rows: int = GROUP_ROW
     own = F.when(F.col("_in"), outer + spread(["class"], inner)).otherwise(spread(["class"], outer))
     meets = F.when(F.col("_in"), F.sequence(F.lit(0).cast("long"), outer - 1)).otherwise(
         F.sequence(F.lit(0).cast("long"), outer + inner - 1))
-    rows = rows.withColumn("_own", own).withColumn("_other", F.explode(meets)).select(
-        "token", "class", "at", "known", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"))
-    across = _found(_met(rows, lists), ["token", "_i", "_j"], percent)
+    rows = land(rows.withColumn("_own", own).withColumn("_other", F.explode(meets)).select(
+        "token", "class", "at", "known", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j")))
+    across = _found(_met(rows, lists), rows.count(), ["token", "_i", "_j"], percent)
     return land(within.union(across).distinct())
 
 
@@ -439,23 +456,18 @@ def _true_links(
     chunks = F.ceil(F.col("_rows") / group_rows)
     members = clusters.join(sizes, "component").select(
         F.col("node").alias("row"), "component", spread(["node"], chunks).alias("_own"), chunks.alias("_chunks"))
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS))
-    bits = clusters.select(bit("node").alias("_bit")).groupBy(F.shiftright("_bit", 5).alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(_bit & 31 as int))")).alias("bits")).collect()  # 2 ** (FILTER_BITS - 5) rows
-    marked = np.zeros(1 << FILTER_BITS - 5, np.int64)
-    marked[[row.word for row in bits]] = [row.bits for row in bits]
-    shared = texts.sparkSession.sparkContext.broadcast(np.unpackbits(marked.astype("<u4").view(np.uint8), bitorder="little"))
 
     def as_sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-        batch = batch.filter(pa.array(shared.value[batch.column(2).to_numpy()] > 0))
         with np.errstate(over="ignore"):
-            sets = [shingle_set(text, words).tobytes() for text in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["row", "shingles"])
+            sets = [shingle_set(text, words).tobytes() for text in batch.column(4).to_pylist()]
+        return pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sets, pa.binary())], names=[*names, "shingles"])
 
-    named = texts.select("row", "text", bit("row").alias("_bit"))
-    sets = map_slices(named, as_sets, "row long, shingles binary").join(members, "row")
+    # Texts are moved instead of sets, of which each has 8 bytes a word.
+    names = ["row", "component", "_own", "_chunks"]
+    sets = _marked(texts.select("row", "text"), members, "row").join(members, "row")
     if repeated:
         sets = sets.dropDuplicates(["row"])
+    sets = map_slices(sets.select(*names, "text"), as_sets, "row long, component long, _own long, _chunks long, shingles binary")
     sets = sets.withColumnRenamed("row", "class")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_chunks") - 1)).alias("_other")
     dealt = sets.select("class", "component", "_own", "shingles", other).select(
@@ -488,14 +500,14 @@ def _linked_rows(docs: DataFrame, words: int, percent: int, group_rows: int) ->
     classes = land(full.groupBy("hi", "lo", "n").agg(F.min("row").alias("class")))
     members = land(full.join(classes, ["hi", "lo", "n"]).select("row", "class"))
 
-    prefixes = texts.mapInArrow(
-        lambda batches: _prefixes(batches, words, percent, table.value),
-        "token long, digest long, row long, at long")
-    met = prefixes.groupBy("token").agg(F.min("digest").alias("_a"), F.max("digest").alias("_b"))
-    met = met.filter(F.col("_a") != F.col("_b")).select("token")
-    shared = land(prefixes.join(met, "token").join(members, "row").select("token", "class", "at"))
+    prefixes = texts.select("text").mapInArrow(
+        lambda batches: _prefixes(batches, words, percent, table.value), "token long, class long, at long")
+    same = Window.partitionBy("token")
+    met = prefixes.withColumns({"_a": F.min("class").over(same), "_b": F.max("class").over(same)}).filter(F.col("_a") != F.col("_b"))
+    shared = land(met.select("token", "class", "at"))
 
     clusters = connected_components(candidate_edges(shared, percent, group_rows))
+    clusters = land(classes.join(clusters, F.col("hi") == F.col("node")).select(F.col("class").alias("node"), "component"))
     links = land(_true_links(texts, clusters, words, percent, group_rows, repeated).distinct())
     linked = connected_components(links).select(F.col("node").alias("class"), "component")
     named = members.join(linked, "class", "left").select("row", "class", F.coalesce("component", "class").alias("component"))
