@@ -5,8 +5,8 @@ Directions become unit vectors, which need no special case at the poles or at
 them. Every right row is copied to the cells its search ball touches, so a left
 row finds all its candidates in its own cell alone:
 
-* right rows are grouped into one array per cell (one shuffle);
-* left rows are joined to that array and take its minimum (one shuffle);
+* both sides are joined on the cell with the distance as residual (one shuffle a side),
+  and each left row, which lies in one cell, keeps its nearest where the join put it;
 * for the ``k`` nearest, whose candidates are many, both sides of a cell are brought
   to one task (one shuffle a side) that compares them in blocks of an array.
 
@@ -14,17 +14,19 @@ No second shuffle per left row is needed, and both sides keep their columns.
 Bounding the search loses nothing: a nearest neighbour below the threshold
 exists exactly where some pair is below it.
 
-Before planning, one aggregation counts the right rows per cell, from their
-coordinates alone:
+Before planning, one aggregation counts the right rows of wider cells, which bounds
+those of the cells inside, from their coordinates alone; cells themselves are counted
+only where this bound does not tell:
 
-* A cell with too many *left* rows is split by adaptive execution, which the
-  arrays allow as they hold one row per cell; ``salt_left`` splits it by salting
-  instead, for sessions without adaptive execution, and counts the left rows first.
-  Cells that are compared in blocks are always counted and salted.
+* A cell with too many *left* rows streams past its few right rows in one task; ``salt_left``
+  splits it by salting, counts the left rows first and groups right rows into one array
+  per cell. Cells that are compared in blocks are always counted and salted.
+* More than ``max_broadcast_rows`` right rows are shuffled, whatever Spark makes of the size
+  of their files, which says little about rows that are computed and copied.
 * With ``coarse_filter``, for a left side that covers little of the sky, its rows first
   mark the coarse cells around them in a bitmap of fixed size, and right rows outside
   are dropped before any copy of them is made. This reads the left side once more.
-* A cell with more than ``max_candidates`` right rows gets no array but is compared in
+* A cell with more than ``max_candidates`` right rows is not joined but compared in
   blocks, where left rows are streamed past its right rows.
 * A cell with more than ``block_rows`` right rows fits no block. Its left rows descend a
   tree of ever smaller boxes instead, and keep a box only while it can still hold
@@ -41,6 +43,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from skyweft.functions.once import with_columns_once
 from skyweft.functions.sphere import chord_length, unit_vector
 from skyweft.operators.skew import PARTS, SALT, hot_keys, salted_join
 from skyweft.session import cut_lineage, ship_code
@@ -51,6 +54,8 @@ PLACE = ("_ra", "_dec")
 SLACK = 1e-13  # chord length; far above rounding, far below any useful radius
 #: Smallest edge of a coarse cell (some 7 arcmin), and the bitmap's length: 2 ** 14 words of 64 bits.
 COARSE_EDGE, BITMAP_BITS = 1.0 / 512.0, 20
+#: Edge, in cells, of the wider cells that are counted first.
+WIDER = 4
 #: Pairs that a task compares at once.
 PAIRS_AT_ONCE = 1 << 20
 
@@ -305,13 +310,17 @@ def _crossmatch(
     inner = how == "inner"
     lefts = left.filter(_has_place(*left_place)) if inner else left
     lefts = _own_cell(_with_geometry(lefts, *left_place, inner), edge, left_key)
-    placed = _with_geometry(right.filter(_has_place(*right_place)), *right_place, True)
+    placed = with_columns_once(right, {place: F.col(f"`{c}`").cast("double") for place, c in zip(PLACE, right_place)})
+    placed = _with_geometry(placed.filter(_has_place(*PLACE)), *PLACE, True)
     if options.coarse_filter:
         placed = near_occupied(placed, lefts if inner else lefts.filter(_has_place(*left_place)), reach)
-    rights = _touched_cells(placed, edge, reach)
+    packed = with_columns_once(placed, {"_packed": _right_body(right_key, right_columns)})
+    rights = _touched_cells(packed, edge, reach)
 
-    tally = rights.groupBy(*CELL).agg(F.count(F.lit(1)).alias("_rows"))
-    densest = tally.agg(F.max("_rows")).first()[0] or 0
+    tally = _count_cells(rights)
+    densest, n_rights = _most_and_all(_count_cells(_touched_cells(placed, edge * WIDER, reach)))
+    if densest > (options.block_rows if k > 1 else min(options.max_candidates, options.block_rows)):
+        densest, n_rights = _most_and_all(tally)
     explode = F.posexplode if inner else F.posexplode_outer
     kept = [F.col(f"`{c}`") for c in left_columns]
     matched = []
@@ -329,19 +338,50 @@ def _crossmatch(
         matched.append(compared.select(
             *[F.col("_own").getField(c).alias(c) for c in left_columns],
             explode(_closest("_near", threshold, k)).alias("_at", "_best")))
-    if k == 1:
-        arrays = rights.groupBy(*CELL).agg(F.collect_list(_right_body(right_key, right_columns)).alias("_near"))
-        if options.salt_left:
-            joined = salted_join(lefts, arrays, CELL, left_key, how, options.max_left_rows)
-        else:
-            joined = lefts.join(arrays, list(CELL), how)
+    if k == 1 and options.salt_left:
+        arrays = rights.groupBy(*CELL).agg(F.collect_list("_packed").alias("_near"))
+        joined = salted_join(lefts, arrays, CELL, left_key, how, options.max_left_rows)
         matched.append(joined.select(*kept, explode(_closest("_near", threshold, k)).alias("_at", "_best")))
+    elif k == 1:
+        bodies = rights.select(*CELL, F.col("_packed").alias("_near"))
+        if n_rights > options.max_broadcast_rows:
+            bodies = bodies.hint("merge")
+        matched.append(_join_nearest(lefts, bodies, threshold, how).select(*kept, "_at", "_best"))
     out = matched[0]
     for more in matched[1:]:
         out = out.unionByName(more)
     return out
 
 
+def _count_cells(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*CELL).agg(F.count(F.lit(1)).alias("_rows"))
+
+
+def _most_and_all(tally: DataFrame) -> tuple[int, int]:
+    most, total = tally.agg(F.max("_rows"), F.sum("_rows")).first()
+    return most or 0, total or 0
+
+
+def _join_nearest(lefts: DataFrame, bodies: DataFrame, threshold: float, how: str) -> DataFrame:
+    """Left rows with ``_best``, their nearest of the right rows (``CELL``, ``_near``) of their cell, and ``_at``, 0 if there is one.
+
+    Cells meet by their hash, which sorts as one number; where two share one, the distance tells.
+    Pairs are ranked under it and a number given to each left row, so they stay where the join put them.
+    """
+    cell = F.xxhash64(*CELL)
+    apart = _separation(
+        F.col("_ra"), F.col("_sin"), F.col("_cos"), F.col("_near.ra"), F.col("_near.sin"), F.col("_near.cos"))
+    level = F.abs(F.col("_near.sin") - F.col("_sin")) <= F.lit(_reach(threshold))
+    near = (F.col("_cell") == F.col("_near_cell")) & level & (apart < F.lit(threshold))
+    numbered = lefts.withColumns({"_cell": cell, "_number": F.monotonically_increasing_id()}).drop(*CELL)
+    pairs = numbered.join(bodies.select(cell.alias("_near_cell"), "_near"), near, how).withColumn("_apart", apart)
+    nearest_first = Window.partitionBy("_cell", "_number").orderBy("_apart", "_near.key", "_near.row")
+    first = pairs.withColumn("_nth", F.row_number().over(nearest_first)).filter(F.col("_nth") == 1)
+    found = F.col("_near").isNotNull()
+    best = F.struct(F.col("_apart").alias("separation"), F.col("_near.key").alias("key"), F.col("_near.row").alias("row"))
+    return first.withColumns({"_at": F.when(found, F.lit(0)), "_best": F.when(found, best)})
+
+
 def _compare_blocks(
     lefts: DataFrame, rights: DataFrame, left_columns: list[str], left_key: str, right_key: str, right_columns: list[str],
     reach: float, k: int, options: NearestOptions,

@@ -650,8 +650,8 @@ def novelty_with_forest(s: Survey) -> DataFrame:
 
 @query
 def top_candidate_lightcurve(s: Survey) -> DataFrame:
-    """Normalised light curve of the best candidate with an input-catalog entry, as one plan."""
-    best = xm.first_with_tic(xm.top_candidates(_novel(s))).select(F.col("tic_id").alias("target_id"))
+    """Normalised light curve of the best candidate with an input-catalog entry, found once."""
+    best = cut_lineage(xm.first_with_tic(xm.top_candidates(_novel(s))).select(F.col("tic_id").alias("target_id")))
     curve = catalogs.scan_lightcurve(s.lightcurve).join(F.broadcast(best), "target_id", "left_semi")  # one row
     return rounded(lightcurve.relative_flux(curve).select("target_id", "event_id", "flux"))
 
