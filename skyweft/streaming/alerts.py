@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from skyweft.operators.nearest import NearestOptions, crossmatch_nearest
-from skyweft.session import own_tables
+from skyweft.session import cut_lineage, own_tables
 
 BATCH = "_batch"
 
@@ -40,7 +40,8 @@ def match_alerts(
 
     @own_tables
     def write(spark: SparkSession, batch: DataFrame, number: int) -> None:
-        matched = crossmatch_nearest(batch, catalog, left_key=key, options=options, **match)
+        # Written first: the join goes over the batch several times, each of which would repeat the deduplication and its state.
+        matched = crossmatch_nearest(cut_lineage(batch), catalog, left_key=key, options=options, **match)
         matched.write.mode("overwrite").parquet(f"{out}/{BATCH}={number}")
 
     def run(batch: DataFrame, number: int) -> None:

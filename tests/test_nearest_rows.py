@@ -3,6 +3,7 @@ from __future__ import annotations
 import __spark_entry__ as entry
 from conftest import plan_text
 from skyweft.operators.nearest import NearestOptions, crossmatch_nearest
+from skyweft.streaming import alerts
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -30,3 +31,21 @@ def test_many_right_rows_are_joined_as_rows_and_not_broadcast(spark):
 
 def test_the_best_candidate_is_found_once(spark):
     assert "ArrowEvalPython" not in plan_text(entry.queries()["top_candidate_lightcurve"](spark, SMALL))
+
+
+def test_a_batch_of_alerts_is_deduplicated_once(spark, tmp_path, monkeypatch):
+    seen = []
+
+    def near(left, *args, **kwargs):
+        seen.append(plan_text(left))
+        return crossmatch_nearest(left, *args, **kwargs)
+
+    monkeypatch.setattr(alerts, "crossmatch_nearest", near)
+    rows = "name alert_id", "ra", "dec", "timestamp '2020-01-01' + make_interval(0, 0, 0, 0, 0, name % 7) time"
+    arrived = _sky(spark, 200, 0.0, "id").selectExpr(*rows)
+    arrived.union(arrived).write.parquet(f"{tmp_path}/in")
+    stream = alerts.read_alerts(spark, f"{tmp_path}/in", arrived.schema)
+    alerts.catch_up(alerts.match_alerts(
+        stream, _sky(spark, 200, 0.0, "concat('W', id)").withColumnRenamed("name", "designation"), f"{tmp_path}/out", f"{tmp_path}/state"))
+    assert alerts.read_matched(spark, f"{tmp_path}/out").count() == 200
+    assert seen and not any("Dedup" in plan for plan in seen)
