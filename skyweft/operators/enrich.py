@@ -9,6 +9,9 @@ from skyweft.operators.skew import hot_keys, salted_join
 from skyweft.operators.topk import first_rows
 from skyweft.session import cut_lineage
 
+#: Hashes of identifiers whose entries are counted before those of each identifier.
+BUCKETS = 1 << 12
+
 
 def join_tic(
     matches: DataFrame,
@@ -22,8 +25,8 @@ def join_tic(
 
     Entries without an identifier are dropped first. Several entries of one
     source give several rows, or with ``dedupe`` only the smallest entry.
-    The entries of each identifier are counted once, and one with very many is spread
-    over several tasks.
+    An identifier with very many entries is spread over several tasks. The entries of each are
+    counted only where some of ``BUCKETS`` hashes of identifiers has so many, which needs next to no shuffle.
     """
     lookup = tic.filter(F.col("GAIA").isNotNull()).select(
         F.col("ID").alias("tic_id"), F.col("Tmag").alias("tic_Tmag"), F.col("GAIA").cast("string").alias("_key")
@@ -33,6 +36,9 @@ def join_tic(
         lookup = lookup.groupBy("_key").agg(F.min(F.struct("tic_id", "tic_Tmag")).alias("t")).select("_key", "t.*")
         return keyed.join(lookup, "_key", "left").drop("_key")
 
+    hashed = lookup.select(F.pmod(F.xxhash64("_key"), F.lit(BUCKETS)).alias("_bucket"))
+    if hot_keys(hashed, ["_bucket"], max_rows_per_key).isEmpty():
+        return keyed.join(lookup, "_key", "left").drop("_key")
     counted = cut_lineage(hot_keys(lookup, ["_key"], max_rows_per_key))
     if counted.isEmpty():
         return keyed.join(lookup, "_key", "left").drop("_key")

@@ -17,6 +17,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from skyweft.functions.once import with_columns_once
+
 #: Draws and splits come from MD5 and this prime alone, so any engine can repeat them.
 PRIME, FACTOR = 2**31 - 1, 1103515245
 EULER_GAMMA = 0.5772156649015329
@@ -92,7 +94,8 @@ def draw_subsamples(
     In one pass every row is offered to all trees; a tree takes it when its own
     draw is below a threshold that lets about twice as many rows through as it
     needs, and keeps those with the smallest. A row's key is hashed once, to two
-    numbers below ``PRIME``; each tree combines them with its own factor.
+    numbers below ``PRIME``; each tree combines them with its own factor. Rows are offered
+    by a plain explode, which is compiled, unlike functions over arrays.
     """
     keys = [key] if isinstance(key, str) else list(key)
     below = F.lit(int(min(1.0, 2 * max_samples / max(1, n_rows)) * PRIME * (PRIME + 1)))
@@ -104,9 +107,8 @@ def draw_subsamples(
     text = F.concat_ws(":", *[F.col(k).cast("string") for k in keys])
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col("_key")))
     number = lambda start: F.conv(F.substring(digest, start, 8), 16, 10).cast("long") % PRIME
-    hashed = df.select(text.alias("_key"), *features).withColumns({"_h": number(1), "_k": number(9)})
-    offered = hashed.withColumn(
-        "tree", F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: draw(tree) <= below)))
+    hashed = with_columns_once(df.select(text.alias("_key"), *features), {"_h": number(1), "_k": number(9)})
+    offered = hashed.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).filter(draw(F.col("tree")) <= below)
     first = Window.partitionBy("tree").orderBy("_draw", "_key")
     drawn = offered.withColumn("_draw", draw(F.col("tree"))).withColumn("_rank", F.row_number().over(first))
     return drawn.filter(F.col("_rank") <= max_samples).drop("_h", "_k")
@@ -144,17 +146,23 @@ def fit_isolation_forest(
 
 
 def path_lengths(forest: Forest, data: np.ndarray) -> np.ndarray:
-    """Mean path length of each row over all trees."""
+    """Mean path length of each row over all trees.
+
+    At a leaf both sides lead to the leaf itself, so every row takes the same steps.
+    """
     total = np.zeros(len(data))
-    rows = np.arange(len(data))
+    flat, width = np.ascontiguousarray(data).ravel(), data.shape[1]
+    first = np.arange(len(data)) * width
+    own = np.arange(forest.feature.shape[1])
     for t in range(len(forest.feature)):
-        node = np.zeros(len(data), dtype=np.int32)
+        leaf = forest.feature[t] < 0
+        feature = np.where(leaf, 0, forest.feature[t]).astype(np.int64)
+        sides = np.column_stack([np.where(leaf, own, forest.high[t]), np.where(leaf, own, forest.low[t])]).astype(np.int64).ravel()
+        node = np.zeros(len(data), dtype=np.int64)
         for _ in range(forest.depth):
-            feature = forest.feature[t, node]
-            inner = feature >= 0
-            below = data[rows, np.maximum(feature, 0)] <= forest.threshold[t, node]
-            node = np.where(inner, np.where(below, forest.low[t, node], forest.high[t, node]), node)
-        total += forest.path[t, node]
+            below = flat.take(first + feature.take(node)) <= forest.threshold[t].take(node)
+            node = sides.take(2 * node + below)
+        total += forest.path[t].take(node)
     return total / len(forest.feature)
 
 

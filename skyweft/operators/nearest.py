@@ -14,15 +14,19 @@ No second shuffle per left row is needed, and both sides keep their columns.
 Bounding the search loses nothing: a nearest neighbour below the threshold
 exists exactly where some pair is below it.
 
-Before planning, one aggregation counts the right rows of wider cells, which bounds
-those of the cells inside, from their coordinates alone; cells themselves are counted
-only where this bound does not tell:
+Before planning, one aggregation counts the right rows of wider cells, each in its own
+cell alone; the fullest, or where that does not tell the fullest block of neighbouring ones,
+bounds what the cells inside hold, copies included. Where the sky is so thin that cells of
+``thin_factor`` radii stay below ``max_candidates``, these are taken for the single nearest: fewer
+copies of right rows are made. Other cells are counted only where the bound does not tell:
 
 * A cell with too many *left* rows streams past its few right rows in one task; ``salt_left``
   splits it by salting, counts the left rows first and groups right rows into one array
   per cell. Cells that are compared in blocks are always counted and salted.
 * More than ``max_broadcast_rows`` right rows are shuffled, whatever Spark makes of the size
   of their files, which says little about rows that are computed and copied.
+* Many right rows that few tasks read, as from small files, are dealt to all tasks before
+  they are copied to cells.
 * With ``coarse_filter``, for a left side that covers little of the sky, its rows first
   mark the coarse cells around them in a bitmap of fixed size, and right rows outside
   are dropped before any copy of them is made. This reads the left side once more.
@@ -54,8 +58,10 @@ PLACE = ("_ra", "_dec")
 SLACK = 1e-13  # chord length; far above rounding, far below any useful radius
 #: Smallest edge of a coarse cell (some 7 arcmin), and the bitmap's length: 2 ** 14 words of 64 bits.
 COARSE_EDGE, BITMAP_BITS = 1.0 / 512.0, 20
-#: Edge, in cells, of the wider cells that are counted first.
-WIDER = 4
+#: Far above what rounding adds to the square of a chord that comes from sines and cosines.
+CHORD_SLACK = 1e-14
+#: Right rows a task may read before they are dealt to more tasks, where most would have none.
+ROWS_PER_TASK = 100_000
 #: Pairs that a task compares at once.
 PAIRS_AT_ONCE = 1 << 20
 
@@ -65,6 +71,7 @@ class NearestOptions:
     """Sizes that steer the plan; none of them changes the result."""
 
     cell_factor: float = 4.0
+    thin_factor: float = 8.0
     max_candidates: int = 256
     block_rows: int = 4096
     leaf_rows: int = 32
@@ -119,18 +126,18 @@ def _own_cell(df: DataFrame, edge: float, key: str) -> DataFrame:
 
 
 def _touched_cells(df: DataFrame, edge: float, reach: float) -> DataFrame:
-    """One row per cell that a ball of ``reach`` touches and that meets the sphere."""
+    """One row per cell that a ball of ``reach`` touches and that may meet the sphere, by its centre's distance.
+
+    An exact test on the corners drops few cells more, and its formulas keep the JVM from compiling the loop for long.
+    """
     for cell, axis in zip(CELL, AXES):
         low = F.floor((F.col(axis) - F.lit(reach)) / F.lit(edge))
         high = F.floor((F.col(axis) + F.lit(reach)) / F.lit(edge))
         df = df.withColumn(cell, F.explode(F.sequence(low, high)))
-    nearest, farthest = F.lit(0.0), F.lit(0.0)
-    for cell in CELL:
-        low, high = F.col(cell) * F.lit(edge), (F.col(cell) + 1) * F.lit(edge)
-        inner = F.when((low <= 0) & (high >= 0), F.lit(0.0)).otherwise(F.least(F.abs(low), F.abs(high)))
-        outer = F.greatest(F.abs(low), F.abs(high))
-        nearest, farthest = nearest + inner * inner, farthest + outer * outer
-    return df.filter((nearest <= F.lit(1.0 + 1e-9)) & (farthest >= F.lit(1.0 - 1e-9)))
+    x, y, z = [F.col(cell) + F.lit(0.5) for cell in CELL]
+    half = 0.5 * 3**0.5 * edge * (1.0 + 1e-9) + 1e-9
+    low, high = (max(0.0, 1.0 - half) / edge) ** 2, ((1.0 + half) / edge) ** 2
+    return df.filter((x * x + y * y + z * z).between(low, high))
 
 
 def near_occupied(rights: DataFrame, lefts: DataFrame, reach: float) -> DataFrame:
@@ -308,18 +315,29 @@ def _crossmatch(
     left_columns, right_columns = left.columns, right.columns
 
     inner = how == "inner"
-    lefts = left.filter(_has_place(*left_place)) if inner else left
-    lefts = _own_cell(_with_geometry(lefts, *left_place, inner), edge, left_key)
-    placed = with_columns_once(right, {place: F.col(f"`{c}`").cast("double") for place, c in zip(PLACE, right_place)})
-    placed = _with_geometry(placed.filter(_has_place(*PLACE)), *PLACE, True)
-    if options.coarse_filter:
-        placed = near_occupied(placed, lefts if inner else lefts.filter(_has_place(*left_place)), reach)
-    packed = with_columns_once(placed, {"_packed": _right_body(right_key, right_columns)})
+    lefts = _with_geometry(left.filter(_has_place(*left_place)) if inner else left, *left_place, inner)
+
+    def place(rows: DataFrame) -> DataFrame:
+        rows = with_columns_once(rows, {name: F.col(f"`{c}`").cast("double") for name, c in zip(PLACE, right_place)})
+        rows = _with_geometry(rows.filter(_has_place(*PLACE)), *PLACE, True)
+        if not options.coarse_filter:
+            return rows
+        return near_occupied(rows, lefts if inner else lefts.filter(_has_place(*left_place)), reach)
+
+    rows_below = options.block_rows if k > 1 else min(options.max_candidates, options.block_rows)
+    thin = max(edge, reach * options.thin_factor) if k == 1 else edge
+    densest, n_rights, n_tasks = _bound_of_cells(place(right), thin, reach, rows_below)
+    if densest <= rows_below:
+        edge = thin
+    lefts = _own_cell(lefts, edge, left_key)
+    cores = right.sparkSession.sparkContext.defaultParallelism
+    if n_rights > ROWS_PER_TASK * n_tasks and 2 * n_tasks <= cores:
+        right = right.repartition(cores)
+    packed = with_columns_once(place(right), {"_packed": _right_body(right_key, right_columns)})
     rights = _touched_cells(packed, edge, reach)
 
     tally = _count_cells(rights)
-    densest, n_rights = _most_and_all(_count_cells(_touched_cells(placed, edge * WIDER, reach)))
-    if densest > (options.block_rows if k > 1 else min(options.max_candidates, options.block_rows)):
+    if densest > rows_below:
         densest, n_rights = _most_and_all(tally)
     explode = F.posexplode if inner else F.posexplode_outer
     kept = [F.col(f"`{c}`") for c in left_columns]
@@ -343,10 +361,11 @@ def _crossmatch(
         joined = salted_join(lefts, arrays, CELL, left_key, how, options.max_left_rows)
         matched.append(joined.select(*kept, explode(_closest("_near", threshold, k)).alias("_at", "_best")))
     elif k == 1:
-        bodies = rights.select(*CELL, F.col("_packed").alias("_near"))
+        lean = F.struct(*[F.col("_packed").getField(c).alias(c) for c in ("sin", "cos", "row")])
+        bodies = rights.select(*CELL, lean.alias("_near"))
         if n_rights > options.max_broadcast_rows:
             bodies = bodies.hint("merge")
-        matched.append(_join_nearest(lefts, bodies, threshold, how).select(*kept, "_at", "_best"))
+        matched.append(_join_nearest(lefts, bodies, right_place[0], right_key, threshold, how).select(*kept, "_at", "_best"))
     out = matched[0]
     for more in matched[1:]:
         out = out.unionByName(more)
@@ -362,23 +381,52 @@ def _most_and_all(tally: DataFrame) -> tuple[int, int]:
     return most or 0, total or 0
 
 
-def _join_nearest(lefts: DataFrame, bodies: DataFrame, threshold: float, how: str) -> DataFrame:
+def _bound_of_cells(placed: DataFrame, edge: float, reach: float, enough: int) -> tuple[int, int, int]:
+    """No less than the most right rows of a cell, copies included; all right rows; and the tasks that read them.
+
+    Whatever touches a cell lies within a cube as wide as a wider cell, so in two of these
+    along each axis at most. Right rows are counted in their own wider cell; where eight times
+    the fullest is more than ``enough``, the counts are added up over all blocks of two by two by two.
+    """
+    wide = 1.01 * (edge + 2.0 * reach)
+    own = placed.select(*[F.floor(F.col(a) / F.lit(wide)).alias(c) for c, a in zip(CELL, AXES)], F.spark_partition_id().alias("_task"))
+    counted = own.groupBy(*CELL).agg(F.count(F.lit(1)).alias("_rows"), F.max("_task").alias("_task"))
+    most, total, last = counted.agg(F.max("_rows"), F.sum("_rows"), F.max("_task")).first()
+    bound = 8 * (most or 0)
+    if bound > enough >= (most or 0):
+        blocks = counted.select("_rows", *CELL)
+        for c in CELL:
+            blocks = blocks.withColumn(c, F.explode(F.array(F.col(c), F.col(c) - 1)))
+        bound, _ = _most_and_all(blocks.groupBy(*CELL).agg(F.sum("_rows").alias("_rows")))
+    return bound, total or 0, (last or 0) + 1
+
+
+def _join_nearest(
+    lefts: DataFrame, bodies: DataFrame, right_ra: str, right_key: str, threshold: float, how: str
+) -> DataFrame:
     """Left rows with ``_best``, their nearest of the right rows (``CELL``, ``_near``) of their cell, and ``_at``, 0 if there is one.
 
     Cells meet by their hash, which sorts as one number; where two share one, the distance tells.
-    Pairs are ranked under it and a number given to each left row, so they stay where the join put them.
+    The join's own residual is the square of the chord within its rounding, a short formula; the separation
+    is computed once, of the few pairs that are left, and settles which of them are near enough.
+    Pairs are ranked under the hash and a number given to each left row, so they stay where the join put them.
     """
     cell = F.xxhash64(*CELL)
-    apart = _separation(
-        F.col("_ra"), F.col("_sin"), F.col("_cos"), F.col("_near.ra"), F.col("_near.sin"), F.col("_near.cos"))
-    level = F.abs(F.col("_near.sin") - F.col("_sin")) <= F.lit(_reach(threshold))
-    near = (F.col("_cell") == F.col("_near_cell")) & level & (apart < F.lit(threshold))
+    there, key = F.col("_near.row").getField(right_ra).cast("double"), F.col("_near.row").getField(right_key)
+    sin, cos, reach = F.col("_near.sin"), F.col("_near.cos"), _reach(threshold)
+    rise, wider = sin - F.col("_sin"), cos - F.col("_cos")
+    chord = rise * rise + wider * wider + F.lit(2.0) * cos * F.col("_cos") * (F.lit(1.0) - F.cos(F.radians(there - F.col("_ra"))))
+    near = (F.col("_cell") == F.col("_near_cell")) & (F.abs(rise) <= F.lit(reach)) & (chord <= F.lit(reach * reach + CHORD_SLACK))
     numbered = lefts.withColumns({"_cell": cell, "_number": F.monotonically_increasing_id()}).drop(*CELL)
-    pairs = numbered.join(bodies.select(cell.alias("_near_cell"), "_near"), near, how).withColumn("_apart", apart)
-    nearest_first = Window.partitionBy("_cell", "_number").orderBy("_apart", "_near.key", "_near.row")
-    first = pairs.withColumn("_nth", F.row_number().over(nearest_first)).filter(F.col("_nth") == 1)
-    found = F.col("_near").isNotNull()
-    best = F.struct(F.col("_apart").alias("separation"), F.col("_near.key").alias("key"), F.col("_near.row").alias("row"))
+    pairs = numbered.join(bodies.select(cell.alias("_near_cell"), "_near"), near, how)
+    apart = _separation(F.col("_ra"), F.col("_sin"), F.col("_cos"), there, sin, cos)
+    measured = pairs.withColumn("_apart", F.when(apart < F.lit(threshold), apart))
+    nearest_first = Window.partitionBy("_cell", "_number").orderBy(F.col("_apart").asc_nulls_last(), key, "_near.row")
+    found = F.col("_apart").isNotNull()
+    first = measured.withColumn("_nth", F.row_number().over(nearest_first)).filter(F.col("_nth") == 1)
+    if how == "inner":
+        first = first.filter(found)
+    best = F.struct(F.col("_apart").alias("separation"), key.alias("key"), F.col("_near.row").alias("row"))
     return first.withColumns({"_at": F.when(found, F.lit(0)), "_best": F.when(found, best)})
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from skyweft.config import ClusterConfig, FieldConfig, MatchConfig
@@ -67,9 +69,14 @@ def quick_summary(gaia: DataFrame, wise: DataFrame, raw: DataFrame, matches: Dat
     )
 
 
-def needed_columns(wise: DataFrame) -> DataFrame:
-    """The infrared columns a full match uses, so that the scan reads no others."""
-    return select_present(wise, ("designation", "sigra", "sigdec", *WISE_KEPT))
+def needed_columns(wise: DataFrame, wanted: Sequence[str] | None = None) -> DataFrame:
+    """The infrared columns that a full match uses, or that ``wanted`` columns of its result need, so that no others are read and moved.
+
+    Right columns ride through the join as one value, from which Spark drops none by itself.
+    """
+    needs = {*(wanted or ()), *(("wise_w1mpro", "wise_w2mpro") if "w1_w2" in (wanted or ()) else ())}
+    kept = [c for c in WISE_KEPT if wanted is None or c in ("ra", "dec") or f"wise_{c}" in needs]
+    return select_present(wise, ("designation", "sigra", "sigdec", *kept))
 
 
 def candidate_pairs(
@@ -138,6 +145,7 @@ def resolve_matches(
     """Posterior floor, one-to-one resolution, kept columns, colour and member flag."""
     chosen = one_to_one(scored.filter(F.col("posterior") > F.lit(config.posterior_floor)))
     wise_kept = [f"wise_{c}" for c in WISE_KEPT if f"wise_{c}" in chosen.columns]
+    colour = photometry.color_index(F.col("wise_w1mpro"), F.col("wise_w2mpro")).alias("w1_w2")
     return chosen.select(
         *[f"gaia_{c}" for c in GAIA_KEPT],
         "wise_designation",
@@ -145,7 +153,7 @@ def resolve_matches(
         "psi_arcsec",
         "ln_b",
         "posterior",
-        photometry.color_index(F.col("wise_w1mpro"), F.col("wise_w2mpro")).alias("w1_w2"),
+        *([colour] if {"wise_w1mpro", "wise_w2mpro"} <= set(wise_kept) else []),
         photometry.cluster_member(
             F.col("gaia_parallax"), F.col("gaia_pmra"), F.col("gaia_pmdec"), cluster
         ).alias("cluster_member"),

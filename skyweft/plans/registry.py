@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -23,6 +23,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 FIELD = FieldConfig(*FIELD_CONE)
 SMOKE_FIELD = FieldConfig(119.5, -60.83, 0.05)
 LANDED_BUCKETS = 8
+#: Columns of matches that looking up takes, and those that comparisons with the member list show.
+PLACED = ("gaia_source_id", "gaia_ra", "gaia_dec")
+COMPARED = (*PLACED, "gaia_parallax", "gaia_pmra", "gaia_pmdec", "gaia_phot_g_mean_mag", "gaia_bp_rp")
 _QUERIES: dict[str, Query] = {}
 
 
@@ -64,21 +67,21 @@ def _moved(s: Survey) -> DataFrame:
     return astrometry.propagate_position(s.gaia, OPTICAL_EPOCH, INFRARED_EPOCH)
 
 
-def _pairs(s: Survey) -> DataFrame:
-    return xm.candidate_pairs(_gaia(s), xm.needed_columns(s.wise))
+def _pairs(s: Survey, wanted: Sequence[str] | None = None) -> DataFrame:
+    return xm.candidate_pairs(_gaia(s), xm.needed_columns(s.wise, wanted))
 
 
-def _scored(s: Survey) -> DataFrame:
-    return xm.score_pairs(_pairs(s), xm.prior_odds(_gaia(s), s.wise, s.area_sr()))
+def _scored(s: Survey, wanted: Sequence[str] | None = None) -> DataFrame:
+    return xm.score_pairs(_pairs(s, wanted), xm.prior_odds(_gaia(s), s.wise, s.area_sr()))
 
 
 def _matches(s: Survey) -> DataFrame:
     return xm.resolve_matches(_scored(s))
 
 
-def _landed_matches(s: Survey) -> DataFrame:
-    """Matches written out once, for plans that go over them several times."""
-    return cut_lineage(_matches(s))
+def _landed_matches(s: Survey, *columns: str) -> DataFrame:
+    """Columns of the matches written out once, for plans that go over them several times; no others are moved."""
+    return cut_lineage(xm.resolve_matches(_scored(s, columns)).select(*columns))
 
 
 def _members(s: Survey) -> DataFrame:
@@ -86,19 +89,14 @@ def _members(s: Survey) -> DataFrame:
 
 
 def _labelled(s: Survey) -> DataFrame:
-    return validation.labelled_matches(_landed_matches(s), _members(s))
+    return validation.labelled_matches(_landed_matches(s, *COMPARED, "cluster_member"), _members(s))
 
 
 def _landed_labels(s: Survey) -> DataFrame:
-    columns = ("gaia_source_id", "y_true", "y_pred", "category", "membership_score", "list_proba",
-               "gaia_parallax", "gaia_pmra", "gaia_pmdec", "gaia_phot_g_mean_mag", "gaia_bp_rp", "gaia_ra", "gaia_dec")
+    columns = ("y_true", "y_pred", "category", "membership_score", "list_proba", *COMPARED)
     return cut_lineage(_labelled(s).select(*columns))
 
 
-def _enriched(s: Survey) -> DataFrame:
-    return xm.enrich_matches(_landed_matches(s), catalogs.scan_tic(s.tic, clean=False), s.simbad)
-
-
 def _count(name: str) -> Column:
     return F.count(F.lit(1)).alias(name)
 
@@ -545,7 +543,9 @@ def crossmatch_flagship(s: Survey) -> DataFrame:
         "gaia_source_id", "gaia_ra", "gaia_dec", "wise_designation", "psi_arcsec", "posterior", "w1_w2",
         "cluster_member", "known_in_simbad", "simbad_otype", "simbad_main_id", "tic_id", "tic_Tmag",
     ]
-    return rounded(_enriched(s).select(*columns))
+    found = ("simbad_otype", "simbad_main_id", "known_in_simbad", "tic_id", "tic_Tmag")
+    matches = _landed_matches(s, *[c for c in columns if c not in found])
+    return rounded(xm.enrich_matches(matches, catalogs.scan_tic(s.tic, clean=False), s.simbad).select(*columns))
 
 
 # Enrichment
@@ -579,7 +579,7 @@ def tic_match_rate(s: Survey) -> DataFrame:
 
 @query
 def simbad_enrich_nearest(s: Survey) -> DataFrame:
-    found = enrich.enrich_known_objects(_landed_matches(s), s.simbad)
+    found = enrich.enrich_known_objects(_landed_matches(s, *PLACED), s.simbad)
     return found.select("gaia_source_id", "known_in_simbad", "simbad_otype", "simbad_main_id")
 
 
@@ -599,7 +599,7 @@ def simbad_lookup_all(s: Survey) -> DataFrame:
 
 @query
 def simbad_type_counts(s: Survey) -> DataFrame:
-    found = enrich.enrich_known_objects(_landed_matches(s), s.simbad).filter("known_in_simbad = 1")
+    found = enrich.enrich_known_objects(_landed_matches(s, *PLACED), s.simbad).filter("known_in_simbad = 1")
     return found.groupBy("simbad_otype").agg(_count("n")).orderBy(F.col("n").desc(), "simbad_otype").limit(15)
 
 
@@ -615,7 +615,13 @@ def abs_mag(s: Survey) -> DataFrame:
 
 
 def _novel(s: Survey) -> DataFrame:
-    return xm.with_novelty(xm.with_anomaly(cut_lineage(xm.with_features(_enriched(s)))))
+    """Scores of the enriched matches; what features are made of is not moved beyond them."""
+    errors = ("wise_w1sigmpro", "wise_w2sigmpro")
+    shown = (*PLACED, "gaia_phot_g_mean_mag", "gaia_bp_rp", "w1_w2", "gaia_parallax", "gaia_ruwe", "posterior")
+    matches = xm.resolve_matches(_scored(s, (*shown, *errors)))
+    featured = cut_lineage(xm.with_features(matches).select(*shown, "m_g_approx", "quality", "valid_features"))
+    enriched = xm.enrich_matches(featured, catalogs.scan_tic(s.tic, clean=False), s.simbad)
+    return xm.with_novelty(xm.with_anomaly(cut_lineage(enriched.drop("gaia_ra", "gaia_dec", "simbad_main_id", "tic_Tmag"))))
 
 
 @query
@@ -638,7 +644,8 @@ def first_candidate_with_tic(s: Survey) -> DataFrame:
 
 @query
 def isolation_forest_score(s: Survey) -> DataFrame:
-    featured = xm.with_features(_landed_matches(s))
+    features = ("gaia_source_id", "gaia_phot_g_mean_mag", "gaia_parallax", "gaia_bp_rp", "w1_w2", "wise_w1sigmpro", "wise_w2sigmpro")
+    featured = xm.with_features(_landed_matches(s, *features))
     return rounded(xm.with_anomaly(featured).select("gaia_source_id", "valid_features", "anomaly_score"))
 
 
@@ -675,33 +682,33 @@ def run_summary(s: Survey) -> DataFrame:
 
 @query
 def ref_match_1as(s: Survey) -> DataFrame:
-    matched = members.match_members(_members(s), _landed_matches(s), how="inner")
+    matched = members.match_members(_members(s), _landed_matches(s, *PLACED), how="inner")
     return rounded(matched.select("ordinal", "source_key", "separation_arcsec"))
 
 
 @query
 def ref_match_rate(s: Survey) -> DataFrame:
-    matched = members.match_members(_members(s), _landed_matches(s))
+    matched = members.match_members(_members(s), _landed_matches(s, *PLACED))
     return rounded(validation.match_rate(cut_lineage(matched.select("source_key", "separation_arcsec"))))
 
 
 @query
 def ref_unmatched(s: Survey) -> DataFrame:
     listed = _members(s)
-    matched = members.match_members(listed, _landed_matches(s), how="inner")
+    matched = members.match_members(listed, _landed_matches(s, *PLACED), how="inner")
     return listed.join(matched.select("ordinal"), "ordinal", "left_anti").select("ordinal", "member_id")
 
 
 @query
 def ref_scatter_last(s: Survey) -> DataFrame:
-    ours = _landed_matches(s)
+    ours = _landed_matches(s, *PLACED)
     marked = members.mark_listed(ours, members.match_members(_members(s), ours, how="inner"))
     return rounded(marked.select("gaia_source_id", "in_list", "list_proba"))
 
 
 @query
 def ours_only_counts(s: Survey) -> DataFrame:
-    ours = _landed_matches(s)
+    ours = _landed_matches(s, *PLACED)
     hits = members.match_members(_members(s), ours, how="inner").select(F.col("source_key").alias("gaia_source_id"))
     hits = cut_lineage(hits.distinct())
     keys = ours.select("gaia_source_id")
@@ -726,7 +733,7 @@ def prf_metrics(s: Survey) -> DataFrame:
 
 @query
 def validation_summary(s: Survey) -> DataFrame:
-    ours = _landed_matches(s)
+    ours = _landed_matches(s, *COMPARED, "cluster_member")
     listed = cut_lineage(members.match_members(_members(s), ours).select("source_key"))
     labels = cut_lineage(validation.labelled_matches(ours, _members(s)).select("y_true", "y_pred", "membership_score"))
     return rounded(validation.validation_summary(labels, listed))
