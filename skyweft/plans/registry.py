@@ -371,7 +371,8 @@ def bf_arcsec_posterior(s: Survey) -> DataFrame:
 
 @query
 def quick_run(s: Survey) -> DataFrame:
-    out = xm.match_field(s.gaia, s.wise, s.simbad, FIELD)
+    gaia = s.gaia.select("source_id", "ra", "dec", "pmra", "pmdec", "bp_rp", "phot_g_mean_mag")
+    out = xm.match_field(gaia, s.wise.select("designation", "ra", "dec"), s.simbad, FIELD)
     return rounded(out.select(
         "gaia_source_id", "wise_designation", "gaia_bp_rp", "gaia_phot_g_mean_mag", "distance_arcsec",
         "posterior_match", "known_in_simbad", "simbad_main_id", "simbad_type"))
@@ -379,7 +380,8 @@ def quick_run(s: Survey) -> DataFrame:
 
 @query
 def quick_run_summary(s: Survey) -> DataFrame:
-    out = xm.match_field(s.gaia, s.wise, s.simbad, FIELD)
+    gaia, wise = s.gaia.select("source_id", "ra", "dec", "pmra", "pmdec"), s.wise.select("designation", "ra", "dec")
+    out = xm.match_field(gaia, wise, s.simbad, FIELD)
     return xm.quick_summary(s.gaia, s.wise, xm.quick_match_raw(s.gaia, s.wise, FIELD), out)
 
 
